@@ -50,7 +50,7 @@ def _encoder(numeric: list[str], categorical: list[str]) -> Pipeline:
             StringIndexer(
                 inputCols=texts, outputCols=indexes, handleInvalid="keep", stringOrderType="alphabetAsc"
             ),
-            OneHotEncoder(inputCols=indexes, outputCols=blocks, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexes, outputCols=blocks, dropLast=True),
         ]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=numbers + blocks, outputCol="_features")])
 
