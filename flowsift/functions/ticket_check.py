@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.fixed_values import (
     MAX_QUERY_CHARS,
@@ -12,6 +12,7 @@ from flowsift.fixed_values import (
     SECTION_TITLES,
 )
 from flowsift.functions import fmt
+from flowsift.functions.bind import let
 from flowsift.functions.text import body_lines, count_of, strip
 
 FENCE = r"(?is)```spl[ \t]*\r?\n(.*?)\r?\n```"
@@ -50,17 +51,19 @@ def _content_text(content: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def extract(response: Column) -> Column:
-    """Ticket text in a JSON response: last message with text, else ``output``/``text``/``content``."""
-    v = F.try_parse_json(response)
+def extract(df: DataFrame, response: str, out: str = "candidate") -> DataFrame:
+    """Adds the ticket text found in JSON responses: the last message with text, else
+    ``output``, ``text`` or ``content``."""
+    v = F.col("_v")
     messages = F.try_variant_get(v, "$.messages", "array<variant>")
     texts = F.transform(messages, lambda m: _content_text(F.try_variant_get(m, "$.content", "variant")))
-    spoken = F.filter(texts, lambda t: t.isNotNull())
-    last = F.get(spoken, F.size(spoken) - 1)
     keys = [_content_text(F.try_variant_get(v, f"$.{k}", "variant")) for k in ("output", "text", "content")]
-    return F.when(_kind(v) == "STRING", F.nullif(strip(_string(v)), F.lit(""))).when(
-        _kind(v).startswith("OBJECT"), F.coalesce(last, *keys)
+    text = F.when(_kind(v) == "STRING", F.nullif(strip(_string(v)), F.lit(""))).when(
+        _kind(v).startswith("OBJECT"), F.coalesce(F.try_element_at("_spoken", F.lit(-1)), *keys)
     )
+    parsed = df.withColumn("_v", F.try_parse_json(F.col(response)))
+    spoken = F.filter(texts, lambda t: t.isNotNull())
+    return parsed.withColumn("_spoken", spoken).withColumn(out, text).drop("_v", "_spoken")
 
 
 # ---- search queries ---------------------------------------------------------------------------
@@ -69,15 +72,22 @@ def extract(response: Column) -> Column:
 def query_is_safe(query: Column, source_ip: Column) -> Column:
     """One index, no OR/NOT, bound to the source, read-only commands only."""
     segments = F.split(query, r"\|", -1)
-    base = strip(F.get(segments, F.lit(0)))
     quoted = lambda ip: F.concat(F.lit('"'), ip, F.lit('"'))
-    # The address is put in as a mark first, so one constant pattern serves every row.
-    marked = F.replace(
-        F.replace(F.lower(base), F.lit(BOUND_MARK), F.lit(STRAY_MARK)),
-        quoted(F.lower(source_ip)),
-        quoted(F.lit(BOUND_MARK)),
-    )
-    bound = (source_ip == "unknown") | marked.rlike(rf'\bsrc_ip\s*=\s*"{BOUND_MARK}"(?=\s|\z)')
+
+    def base_is_safe(base: Column) -> Column:
+        # The address is put in as a mark first, so one constant pattern serves every row.
+        marked = F.replace(
+            F.replace(F.lower(base), F.lit(BOUND_MARK), F.lit(STRAY_MARK)),
+            quoted(F.lower(source_ip)),
+            quoted(F.lit(BOUND_MARK)),
+        )
+        bound = marked.rlike(rf'\bsrc_ip\s*=\s*"{BOUND_MARK}"(?=\s|\z)')
+        return (
+            base.rlike(INDEX_SOURCE)
+            & ~base.rlike(r"(?i)\b(?:OR|NOT)\b")
+            & ((source_ip == "unknown") | bound)
+        )
+
     commands = F.transform(
         F.slice(segments, 2, MAX_QUERY_CHARS),
         lambda s: F.lower(F.regexp_extract(s, r"\A\s*([A-Za-z][A-Za-z0-9_-]*)\b", 1)),
@@ -87,9 +97,7 @@ def query_is_safe(query: Column, source_ip: Column) -> Column:
         (strip(query) != "")
         & (F.length(query) <= MAX_QUERY_CHARS)
         & ~query.rlike(r"[`$\[\];]")
-        & base.rlike(INDEX_SOURCE)
-        & ~base.rlike(r"(?i)\b(?:OR|NOT)\b")
-        & bound
+        & let(strip(F.get(segments, F.lit(0))), base_is_safe)
         & F.forall(commands, allowed)
     )
 
@@ -111,13 +119,16 @@ def _section(ticket: Column, index: int) -> Column:
     title, following = SECTION_TITLES[index], SECTION_TITLES[index + 1]
     start = F.instr(ticket, title)
     before = F.substring_index(F.substring(ticket, F.lit(1), start - 1), "\n", -1)
-    rest = F.substring(ticket, start + len(title), F.length(ticket))
-    after = F.substring_index(rest, "\n", 1)
-    body = F.substring(rest, F.length(after) + 2, F.length(rest))
-    body = F.substring(body, F.lit(1), F.instr(body, following) - 1)
-    body = F.regexp_replace(body, r"[^\n]*\z", "")
-    ok = before.rlike(HEADING_MARKS) & after.rlike(HEADING_MARKS) & rest.contains("\n")
-    return F.when(ok, body_lines(body))
+
+    def body(rest: Column) -> Column:
+        after = F.substring_index(rest, "\n", 1)
+        below = F.substring(rest, F.length(after) + 2, F.length(rest))
+        upto = F.substring(below, F.lit(1), F.instr(below, following) - 1)
+        whole_lines = F.regexp_replace(upto, r"[^\n]*\z", "")
+        fine = before.rlike(HEADING_MARKS) & after.rlike(HEADING_MARKS) & rest.contains("\n")
+        return F.when(fine, body_lines(whole_lines))
+
+    return let(F.substring(ticket, start + len(title), F.length(ticket)), body)
 
 
 def leaks_attribution(ticket: Column, shap_values: Column) -> Column:
@@ -135,34 +146,47 @@ def leaks_attribution(ticket: Column, shap_values: Column) -> Column:
     return F.coalesce(F.exists(F.coalesce(literals, F.array().cast("array<string>")), found), F.lit(False))
 
 
-def reject_reason(
-    candidate: Column, rendered: Column, source_ip: Column, shap_values: Column
-) -> Column:
-    """First failed check, or null for an acceptable candidate."""
-    ticket = strip(candidate)
+def check(
+    df: DataFrame,
+    candidate: str,
+    rendered: str,
+    source_ip: str,
+    shap_values: Column,
+    out: str = "reject_reason",
+) -> DataFrame:
+    """Adds the first failed check of each candidate, null for an acceptable one.
+
+    ``rendered`` is the deterministic ticket, whose classification and evidence bodies the
+    candidate must repeat.
+    """
+    ticket = F.col("_ticket")
     starts = [F.instr(ticket, title) for title in SECTION_TITLES]
-    ordered = F.lit(True)
+    present = ordered = once = F.lit(True)
     for left, right in zip(starts, starts[1:]):
         ordered = ordered & (left < right)
-    present = F.lit(True)
-    once = F.lit(True)
     for title, start in zip(SECTION_TITLES, starts):
         present = present & (start > 0)
         once = once & (count_of(ticket, title) == 1)
-    same = lambda i: F.coalesce(_section(ticket, i) == _section(rendered, i), F.lit(False))
-    return (
-        F.when(candidate.isNull() | (ticket == ""), F.lit("empty"))
+    same = lambda i: F.coalesce(_section(ticket, i) == _section(F.col(rendered), i), F.lit(False))
+    structure = (
+        F.when(ticket.isNull() | (ticket == ""), F.lit("empty"))
         .when(F.length(ticket) > MAX_TICKET_CHARS, F.lit("too_long"))
         .when(~present, F.lit("missing_section"))
         .when(~starts[0].isin(1, 3, 4), F.lit("text_before_ticket"))
         .when(~ordered, F.lit("section_order"))
         .when(~once, F.lit("repeated_section"))
-        .when(~F.coalesce(fences_are_safe(ticket, source_ip), F.lit(False)), F.lit("unsafe_query"))
+    )
+    safe_queries = F.coalesce(fences_are_safe(ticket, F.col(source_ip)), F.lit(False))
+    reason = (
+        F.when(F.col("_structure").isNotNull(), F.col("_structure"))
+        .when(~safe_queries, F.lit("unsafe_query"))
         .when(~same(1), F.lit("changed_classification"))
         .when(~same(2), F.lit("changed_evidence"))
         .when(ticket.rlike(r"(?i)\bshap[_ ]?value\b"), F.lit("attribution_word"))
         .when(leaks_attribution(ticket, shap_values), F.lit("attribution_value"))
     )
+    prepared = df.withColumn("_ticket", strip(F.col(candidate))).withColumn("_structure", structure)
+    return prepared.withColumn(out, reason).drop("_ticket", "_structure")
 
 
 def resolve(candidate: Column, reason: Column, rendered: Column) -> Column:

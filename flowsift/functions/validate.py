@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.fixed_values import SERVICE_NAME_PATTERN
+from flowsift.functions.bind import let
 from flowsift.functions.text import strip
 from flowsift.schema import MODEL_INPUTS
 
@@ -72,41 +73,49 @@ def _v6(text: Column) -> Column:
     All in JVM expressions, so an address check never sends rows to Python.
     """
     low = F.lower(text)
+    return let(_without_dotted_tail(low), lambda flat: let(F.split(flat, "::", -1), _groups))
+
+
+def _without_dotted_tail(low: Column) -> Column:
+    """A dotted IPv4 tail becomes two groups; a bad one makes the whole address null."""
     tail = F.regexp_extract(low, r"(?:\A|:)((?:\d{1,3}\.){3}\d{1,3})\z", 1)
-    has_tail = tail != ""
     octets = F.transform(F.split(_v4(tail), r"\."), lambda o: o.cast("int"))
-    pair = lambda i: F.lower(F.hex(F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))))
-    head = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
-    # a bad dotted tail makes the concatenation null and so the address invalid
-    flat = F.when(has_tail, F.concat(head, pair(0), F.lit(":"), pair(2))).otherwise(low)
-
-    halves = F.split(flat, "::", -1)
-    groups = lambda half: F.filter(F.split(half, ":", -1), lambda g: (half != "") | (g != ""))
-    left = groups(F.get(halves, F.lit(0)))
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    given = F.size(left) + F.size(right)
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
-    full = F.concat(left, zeros, right)
-    well_formed = (
-        ((F.size(halves) == 1) & (given == 8)) | ((F.size(halves) == 2) & (given <= 7))
-    ) & F.forall(full, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
-    short = F.array_join(F.transform(full, lambda g: F.regexp_replace(g, r"\A0+(?=.)", "")), ":")
-
-    shown = short
+
+    def joined(o: Column) -> Column:
+        pair = lambda i: F.lower(F.hex(F.get(o, F.lit(i)) * 256 + F.get(o, F.lit(i + 1))))
+        head = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
+        return F.concat(head, pair(0), F.lit(":"), pair(2))
+
+    return F.when(tail != "", let(octets, joined)).otherwise(low)
+
+
+def _groups(halves: Column) -> Column:
+    part = lambda half: F.filter(F.split(half, ":", -1), lambda g: half != "")
+    left = part(F.get(halves, F.lit(0)))
+    none = F.array().cast("array<string>")
+    right = F.when(F.size(halves) == 2, part(F.get(halves, F.lit(1)))).otherwise(none)
+
+    def padded(sides: Column) -> Column:
+        given = F.size(sides["l"]) + F.size(sides["r"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))
+        full = F.concat(sides["l"], zeros, sides["r"])
+        fits = F.when(F.size(halves) == 1, given == 8).otherwise((F.size(halves) == 2) & (given <= 7))
+        hex_only = F.forall(full, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+        short = F.transform(full, lambda g: F.regexp_replace(g, r"\A0+(?=.)", ""))
+        return F.when(fits & hex_only, let(F.array_join(short, ":"), _squeeze))
+
+    return let(F.struct(left.alias("l"), right.alias("r")), padded)
+
+
+def _squeeze(short: Column) -> Column:
+    """The first of the longest runs of two or more zero groups becomes ``::``."""
     options = []
     for run in range(8, 1, -1):
-        zero_run = r"0" + r":0" * (run - 1)
-        pattern = rf"\A(|.*?:){zero_run}(|:.*)\z"
-        squeezed = F.concat(
-            F.regexp_replace(F.regexp_extract(short, pattern, 1), r":\z", ""),
-            F.lit("::"),
-            F.regexp_replace(F.regexp_extract(short, pattern, 2), r"\A:", ""),
-        )
-        options.append(F.when(short.rlike(pattern), squeezed))
-    shown = F.coalesce(*options, short)
-    return F.when(well_formed, shown)
+        pattern = rf"\A(|.*?:)0(?::0){{{run - 1}}}(|:.*)\z"
+        before = F.regexp_replace(F.regexp_extract(short, pattern, 1), r":\z", "")
+        after = F.regexp_replace(F.regexp_extract(short, pattern, 2), r"\A:", "")
+        options.append(F.when(short.rlike(pattern), F.concat(before, F.lit("::"), after)))
+    return F.coalesce(*options, short)
 
 
 def canonical_ip(col: Column) -> Column:
@@ -129,37 +138,40 @@ def service_name(col: Column) -> Column:
     return F.when(text.rlike(SERVICE_NAME_PATTERN), text)
 
 
+CLOCK, SIXTY = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
+EXTENDED_TIME = rf"{CLOCK}(?::{SIXTY}(?::{SIXTY}(?:[.,]\d+)?)?)?"
+BASIC_TIME = rf"{CLOCK}(?:{SIXTY}(?:{SIXTY}(?:[.,]\d+)?)?)?"
+TIME = rf"(?:{EXTENDED_TIME}|{BASIC_TIME})"
+REST = rf"(?:[\s\S]{TIME}(?:[+-]{TIME})?)?\z"
+DAY = r"\A(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d))"
+WEEK = r"\A(\d{4})(?:-W(\d\d)(?:-(\d))?|W(\d\d)(\d)?)(?!\d)"
+
+
 def iso_timestamp(col: Column) -> Column:
     """The trimmed text when it is a valid ISO-8601 date or date-time, else null."""
     text = strip(col)
-    plain = F.regexp_replace(text, "Z", "+00:00")
-    year = r"(\d{4})"
-    day_pattern = rf"\A(?:{year}-(\d\d)-(\d\d)|{year}(\d\d)(\d\d))"
-    week_pattern = rf"\A(?:{year}-W(\d\d)(?:-(\d))?|{year}W(\d\d)(\d)?)(?!\d)"
-    clock = r"(?:[01]\d|2[0-3])"
-    sixty = r"[0-5]\d"
-    extended = rf"{clock}(?::{sixty}(?::{sixty}(?:[.,]\d+)?)?)?"
-    basic = rf"{clock}(?:{sixty}(?:{sixty}(?:[.,]\d+)?)?)?"
-    time_of_day = rf"(?:{extended}|{basic})"
-    rest_ok = lambda rest: rest.rlike(rf"\A(?:[\s\S]{time_of_day}(?:[+-]{time_of_day})?)?\z")
+    short = (F.length(col) <= 64) & ~col.rlike(r"[\n\r]")
+    valid = let(F.regexp_replace(text, "Z", "+00:00"), _real_day_or_week)
+    return F.when(short & F.coalesce(valid, F.lit(False)), text)
 
+
+def _real_day_or_week(plain: Column) -> Column:
     def part(pattern: str, first: int, second: int) -> Column:
         one, two = F.regexp_extract(plain, pattern, first), F.regexp_extract(plain, pattern, second)
         return F.when(one != "", one).otherwise(two).try_cast("int")
 
-    y, m, d = part(day_pattern, 1, 4), part(day_pattern, 2, 5), part(day_pattern, 3, 6)
-    month_days = F.when(m == 2, 28 + ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int"))
-    month_days = month_days.when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    day_ok = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= month_days)
-    wy, w = part(week_pattern, 1, 4), part(week_pattern, 2, 5)
-    wd = F.coalesce(part(week_pattern, 3, 6), F.lit(1))
-    last_week = F.weekofyear(F.make_date(F.greatest(wy, F.lit(1)), F.lit(12), F.lit(28)))
-    week_ok = (wy >= 1) & (w >= 1) & (w <= last_week) & wd.between(1, 7)
-
-    after_day = rest_ok(F.regexp_replace(plain, day_pattern, ""))
-    after_week = rest_ok(F.regexp_replace(plain, week_pattern, ""))
-    valid = (plain.rlike(day_pattern) & day_ok & after_day) | (
-        plain.rlike(week_pattern) & week_ok & after_week
+    def day_exists(p: Column) -> Column:
+        leap = (p["y"] % 4 == 0) & ((p["y"] % 100 != 0) | (p["y"] % 400 == 0))
+        days = F.when(p["m"] == 2, 28 + leap.cast("int")).when(p["m"].isin(4, 6, 9, 11), 30).otherwise(31)
+        return (p["y"] >= 1) & p["m"].between(1, 12) & p["d"].between(F.lit(1), days)
+
+    def week_exists(p: Column) -> Column:
+        last = F.weekofyear(F.make_date(F.greatest(p["y"], F.lit(1)), F.lit(12), F.lit(28)))
+        return (p["y"] >= 1) & p["w"].between(F.lit(1), last) & F.coalesce(p["d"], F.lit(1)).between(1, 7)
+
+    year = lambda pattern: F.regexp_extract(plain, pattern, 1).try_cast("int").alias("y")
+    day = F.struct(year(DAY), part(DAY, 2, 4).alias("m"), part(DAY, 3, 5).alias("d"))
+    week = F.struct(year(WEEK), part(WEEK, 2, 4).alias("w"), part(WEEK, 3, 5).alias("d"))
+    return F.when(plain.rlike(DAY + REST), let(day, day_exists)).when(
+        plain.rlike(WEEK + REST), let(week, week_exists)
     )
-    short = (F.length(col) <= 64) & ~col.rlike(r"[\n\r]")
-    return F.when(short & F.coalesce(valid, F.lit(False)), text)

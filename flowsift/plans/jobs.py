@@ -34,7 +34,7 @@ from flowsift.operators import (
     transfer,
 )
 from flowsift.operators.artifact import Artifact
-from flowsift.operators.bounded import shared_dir
+from flowsift.operators.bounded import checkpointed, shared_dir
 from flowsift.schema import NUMERIC
 
 
@@ -123,53 +123,64 @@ def analyze(
     row_id: str = "event_id",
     detected_at: Column | None = None,
     explain_normal: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """Scores rows, explains alerts, and writes their tickets.
 
-    ``df`` has the model inputs, ``source_ip`` and ``row_id``. Only alerts reach the attribution
-    step (unless ``explain_normal``), spread evenly by row identity; normal rows join the result
-    by union, so nothing is joined back.
+    ``df`` has the model inputs, ``source_ip`` and ``row_id``. Attribution costs far more than
+    scoring and alerts come in bursts, so with ``spread`` the scored rows are checkpointed once
+    and only the alerts are shuffled, evenly by row identity, before they are explained. Without
+    it everything happens in one narrow pass, which suits micro-batches.
     """
-    spark = df.sparkSession
     artifacts.check_schema(found)
     scored = score(found, df)
     wanted = F.lit(True) if explain_normal else F.col("fused_anomaly")
-    chosen = scored.where(wanted).repartition(F.xxhash64(row_id))
-    explained = shap.explain(chosen, found.nodes(spark))
+    if spread:
+        scored = checkpointed(scored)
+        chosen = scored.where(wanted).repartition(F.xxhash64(row_id))
+        done = add_ticket(_explained(found, chosen), detected_at)
+        if explain_normal:
+            return done
+        rest = evidence.build(scored.where(~wanted), found.threshold, found.version)
+        return done.unionByName(add_ticket(rest, detected_at))
+    gated = scored.withColumn("_gated", F.when(wanted, F.col("scaled_features")))
+    return add_ticket(_explained(found, gated, "_gated").drop("_gated"), detected_at)
+
+
+def _explained(found: Artifact, df: DataFrame, values: str = "scaled_features") -> DataFrame:
+    """Adds the evidence bundle with the top drivers of rows that have ``values``."""
+    out = shap.explain(df, found.nodes(df.sparkSession), values)
     top = drivers.top_drivers(F.col("shap"), F.col("raw_features"), found.features.names)
-    explained = evidence.build(
-        explained.withColumn("drivers", top), found.threshold, found.version, "drivers", "base_value"
-    ).drop("shap", "base_value", "drivers")
-    if explain_normal:
-        whole = explained
-    else:
-        rest = scored.where(~wanted)
-        whole = explained.unionByName(evidence.build(rest, found.threshold, found.version))
-    return add_ticket(whole, detected_at)
+    explained = F.col("shap").isNotNull()
+    out = out.withColumns(
+        {"_top": F.when(explained, top), "base_value": F.when(explained, F.col("base_value"))}
+    )
+    built = evidence.build(out, found.threshold, found.version, "_top", "base_value")
+    return built.drop("shap", "base_value", "_top")
 
 
 def add_ticket(df: DataFrame, detected_at: Column | None = None) -> DataFrame:
-    """Adds ``ticket_text`` for alerts, ``verdict`` and ``evidence_json``.
+    """Adds ``ticket_text`` for alerts, ``verdict``, ``message`` and ``evidence_json``.
 
-    A source address that is neither absent nor valid stops the job for that alert.
+    An alert whose source address is neither absent nor valid stops the job.
     """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    address = source_ip(F.col("source_ip"))
-    checked = F.coalesce(
-        address, F.raise_error(F.lit("a valid source IP address is required")).cast("string")
-    )
-    safe = evidence.sanitize("evidence").withField("source_ip", checked)
-    text = ticket_text.render(safe, now if detected_at is None else detected_at)
     alert = F.col("fused_anomaly")
-    return df.withColumns(
+    failure = F.raise_error(F.lit("a valid source IP address is required")).cast("string")
+    address = F.when(alert, F.coalesce(source_ip(F.col("source_ip")), failure))
+    prepared = df.withColumn("_ip", address).withColumn(
+        "_safe", F.when(alert, evidence.sanitize("evidence", F.col("_ip")))
+    )
+    texts = ticket_text.render(prepared, "_safe", now if detected_at is None else detected_at)
+    return texts.withColumns(
         {
-            "ticket_text": F.when(alert, text),
+            "ticket_text": F.when(alert, F.col("ticket_text")),
             "verdict": F.when(alert, F.lit("alert")).otherwise(F.lit("normal")),
-            "message": F.when(alert, text).otherwise(F.lit(NORMAL_VERDICT)),
+            "message": F.when(alert, F.col("ticket_text")).otherwise(F.lit(NORMAL_VERDICT)),
             "predicted_class": F.col("evidence.predicted_class"),
             "evidence_json": evidence.to_json("evidence"),
         }
-    )
+    ).drop("_ip", "_safe", "ticket_text_classification", "ticket_text_evidence")
 
 
 def ticket_rows(analysed: DataFrame, inputs: list[str], source: str | Column = "batch") -> DataFrame:
