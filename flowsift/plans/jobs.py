@@ -34,7 +34,7 @@ from flowsift.operators import (
     transfer,
 )
 from flowsift.operators.artifact import Artifact
-from flowsift.operators.bounded import checkpointed, shared_dir
+from flowsift.operators.bounded import checkpointed, shared_dir, small
 from flowsift.schema import NUMERIC
 
 
@@ -211,7 +211,7 @@ def ticket_rows(analysed: DataFrame, inputs: list[str], source: str | Column = "
 
 def report(scored: DataFrame, truth: str, prediction: str, labels: list | None = None) -> dict[str, DataFrame]:
     """Headline, per-class and confusion tables from one pass over the predictions."""
-    cells = metrics.cell_counts(scored, truth, prediction).persist()
+    cells, _ = small(metrics.cell_counts(scored, truth, prediction))
     matrix = metrics.confusion(cells, labels)
     classes = metrics.per_class(matrix)
     return {
