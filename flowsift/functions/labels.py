@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.fixed_values import FAMILIES, FAMILY_LABELS
@@ -10,7 +11,8 @@ from flowsift.fixed_values import FAMILIES, FAMILY_LABELS
 def family_dim(spark: SparkSession, mapping: dict[str, list[str]] = FAMILY_LABELS) -> DataFrame:
     """``(label, family)``: one row per known label (at most a few dozen, safe to broadcast)."""
     pairs = [(label, family) for family, labels in mapping.items() for label in labels]
-    return spark.createDataFrame(pairs, "label string, family string")
+    labels, families = zip(*pairs)
+    return spark.createDataFrame(pa.table({"label": labels, "family": families}))
 
 
 def add_family(

@@ -6,13 +6,16 @@ from string import Formatter
 
 from pyspark.sql import Column, functions as F
 
-# Everything Unicode calls white space plus the four ASCII separators.
+# Everything Unicode calls white space plus the four ASCII separators, as a pattern and as text.
 SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "".join(map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def clean(col: Column, fallback: str, max_chars: int) -> Column:

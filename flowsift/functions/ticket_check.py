@@ -124,7 +124,8 @@ def _section(ticket: Column, index: int) -> Column:
         after = F.substring_index(rest, "\n", 1)
         below = F.substring(rest, F.length(after) + 2, F.length(rest))
         upto = F.substring(below, F.lit(1), F.instr(below, following) - 1)
-        whole_lines = F.regexp_replace(upto, r"[^\n]*\z", "")
+        partial = F.length(F.substring_index(upto, "\n", -1))
+        whole_lines = F.substring(upto, F.lit(1), F.length(upto) - partial)
         fine = before.rlike(HEADING_MARKS) & after.rlike(HEADING_MARKS) & rest.contains("\n")
         return F.when(fine, body_lines(whole_lines))
 
@@ -140,9 +141,10 @@ def leaks_attribution(ticket: Column, shap_values: Column) -> Column:
     literals = F.concat(
         F.transform(usable, lambda v: fmt.general(v, 12)), F.transform(usable, fmt.shortest)
     )
-    found = lambda text: F.regexp_like(
+    standing_alone = lambda text: F.regexp_like(
         ticket, F.concat(F.lit(r"(?<![\d.])\Q"), text, F.lit(r"\E(?![\d.])"))
     )
+    found = lambda text: ticket.contains(text) & standing_alone(text)  # a pattern only on a hit
     return F.coalesce(F.exists(F.coalesce(literals, F.array().cast("array<string>")), found), F.lit(False))
 
 
@@ -166,7 +168,7 @@ def check(
         ordered = ordered & (left < right)
     for title, start in zip(SECTION_TITLES, starts):
         present = present & (start > 0)
-        once = once & (count_of(ticket, title) == 1)
+        once = once & (F.position(F.lit(title), ticket, start + 1) == 0)
     same = lambda i: F.coalesce(_section(ticket, i) == _section(F.col(rendered), i), F.lit(False))
     structure = (
         F.when(ticket.isNull() | (ticket == ""), F.lit("empty"))

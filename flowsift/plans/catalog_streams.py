@@ -94,12 +94,11 @@ def json_records(spark, sf):
         F.lit('{"protocol_type":"tcp",'), service, F.lit('"flag":"SF","extra":[1],"src_bytes":1,"count":'),
         "count_json", F.lit("}"),
     )
-    v = F.col("_v")
-    made = rows.withColumn("_v", F.try_parse_json(text))
-    return made.select(
+    read = files.from_json_records(rows.withColumn("text", text), "text", INPUTS)
+    return read.select(
         F.col("event_id").alias("id"),
-        F.array_join(files.missing_fields(v, INPUTS), ",").alias("missing"),
-        F.array_join(files.nested_fields(v, INPUTS), ",").alias("nested"),
+        F.array_join("missing_fields", ",").alias("missing"),
+        F.array_join("nested_fields", ",").alias("nested"),
     )
 
 
