@@ -19,7 +19,6 @@ FENCE = r"(?is)```spl[ \t]*\r?\n(.*?)\r?\n```"
 INDEX_SOURCE = (
     r"(?i)\A\s*(?:search\s+)?index\s*=\s*(?:\"[A-Za-z0-9_.:\-]+\"|[A-Za-z0-9_.:\-]+)(?:\s+|\z)"
 )
-HEADING_MARKS = r"\A[ #*]*\z"
 BOUND_MARK, STRAY_MARK = "\u0001", "\u0002"
 
 
@@ -115,21 +114,10 @@ def fences_are_safe(ticket: Column, source_ip: Column) -> Column:
 
 
 def _section(ticket: Column, index: int) -> Column:
-    """Trimmed lines of a section, null when its heading line carries anything but marks."""
+    """Trimmed lines of a section; empty when its heading line carries anything but marks."""
     title, following = SECTION_TITLES[index], SECTION_TITLES[index + 1]
-    start = F.instr(ticket, title)
-    before = F.substring_index(F.substring(ticket, F.lit(1), start - 1), "\n", -1)
-
-    def body(rest: Column) -> Column:
-        after = F.substring_index(rest, "\n", 1)
-        below = F.substring(rest, F.length(after) + 2, F.length(rest))
-        upto = F.substring(below, F.lit(1), F.instr(below, following) - 1)
-        partial = F.length(F.substring_index(upto, "\n", -1))
-        whole_lines = F.substring(upto, F.lit(1), F.length(upto) - partial)
-        fine = before.rlike(HEADING_MARKS) & after.rlike(HEADING_MARKS) & rest.contains("\n")
-        return F.when(fine, body_lines(whole_lines))
-
-    return let(F.substring(ticket, start + len(title), F.length(ticket)), body)
+    pattern = rf"(?:\A|\n)[ #*]*\Q{title}\E[ #*]*\n([\s\S]*?)(?<=\n)[^\n]*\Q{following}\E"
+    return body_lines(F.regexp_extract(ticket, pattern, 1))
 
 
 def leaks_attribution(ticket: Column, shap_values: Column) -> Column:
@@ -162,14 +150,14 @@ def check(
     candidate must repeat.
     """
     ticket = F.col("_ticket")
-    starts = [F.instr(ticket, title) for title in SECTION_TITLES]
+    starts = [F.get("_starts", F.lit(i)) for i in range(len(SECTION_TITLES))]
     present = ordered = once = F.lit(True)
     for left, right in zip(starts, starts[1:]):
         ordered = ordered & (left < right)
     for title, start in zip(SECTION_TITLES, starts):
         present = present & (start > 0)
         once = once & (F.position(F.lit(title), ticket, start + 1) == 0)
-    same = lambda i: F.coalesce(_section(ticket, i) == _section(F.col(rendered), i), F.lit(False))
+    same = lambda i: _section(ticket, i) == _section(F.col(rendered), i)
     structure = (
         F.when(ticket.isNull() | (ticket == ""), F.lit("empty"))
         .when(F.length(ticket) > MAX_TICKET_CHARS, F.lit("too_long"))
@@ -187,8 +175,10 @@ def check(
         .when(ticket.rlike(r"(?i)\bshap[_ ]?value\b"), F.lit("attribution_word"))
         .when(leaks_attribution(ticket, shap_values), F.lit("attribution_value"))
     )
-    prepared = df.withColumn("_ticket", strip(F.col(candidate))).withColumn("_structure", structure)
-    return prepared.withColumn(out, reason).drop("_ticket", "_structure")
+    found = F.array(*[F.instr(ticket, title) for title in SECTION_TITLES])
+    prepared = df.withColumn("_ticket", strip(F.col(candidate))).withColumn("_starts", found)
+    prepared = prepared.withColumn("_structure", structure)
+    return prepared.withColumn(out, reason).drop("_ticket", "_starts", "_structure")
 
 
 def resolve(candidate: Column, reason: Column, rendered: Column) -> Column:
