@@ -55,7 +55,8 @@ def recent_cves(services: DataFrame, cves: DataFrame, service: str, as_of: Colum
 
     ``cves`` has ``id``, ``published`` (text or timestamp), ``keywords`` and ``descriptions``
     (language, value). Dates that cannot be read sort last. The top-3 filter is applied before
-    the shuffle too, so a keyword on many entries moves three rows per task.
+    the shuffle too, so a keyword on many entries moves three rows per task; services are met
+    only afterwards.
     """
     names = services.select(service_name(F.col(service)).alias("service")).where("service is not null")
     names = names.distinct()
@@ -68,7 +69,6 @@ def recent_cves(services: DataFrame, cves: DataFrame, service: str, as_of: Colum
         cves.withColumn("_at", published)
         .where(F.col("_at").isNull() | F.col("_at").between(start, as_of))
         .select(F.explode(F.array_distinct("keywords")).alias("service"), "_at", "id", line.alias("_line"))
-        .join(names, "service", "left_semi")
     )
     order = Window.partitionBy("service").orderBy(F.col("_at").desc_nulls_last(), "id")
     newest = recent.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= CVE_PER_SERVICE)

@@ -15,6 +15,7 @@ from flowsift.functions.validate import finite, numeric, require_columns
 from flowsift.schema import MODEL_INPUTS, NUMERIC
 
 EPSILON = 2.220446049250313e-16
+MAX_CATEGORIES = 20_000
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,7 @@ def fit(
     train: DataFrame, numbers: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL
 ) -> FeatureModel:
     """Categories, then means and deviations, from the training rows only."""
+    _check_categories(train, categorical)
     model = _encoder(numbers, categorical).fit(_prepared(train, numbers, categorical))
     names = list(numbers)
     if categorical:
@@ -83,6 +85,16 @@ def fit(
     return FeatureModel(model, names, mean, scale, list(numbers), list(categorical))
 
 
+def _check_categories(train: DataFrame, categorical: list[str]) -> None:
+    """Categories become feature columns and live on the driver, so their number is proven first."""
+    if not categorical:
+        return
+    sizes = train.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in categorical])
+    wide = {c: n for c, n in sizes.first().asDict().items() if n > MAX_CATEGORIES}
+    if wide:
+        raise ValueError(f"too many categories to encode: {wide}")
+
+
 def fit_scaler(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
     """Mean and population deviation of every array position in one pass; constants get scale 1."""
     vector = array_to_vector(F.col(column).cast("array<double>"))

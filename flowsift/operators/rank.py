@@ -85,10 +85,13 @@ def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -
         return None
     position = share * (n - 1)
     below = int(position)
-    wanted = [below, min(below + 1, n - 1)]
-    first, second = (_nth(values, w, low, high, bins) for w in wanted) if wanted[0] != wanted[1] else (
-        _nth(values, wanted[0], low, high, bins),
-    ) * 2
+    first = _nth(values, below, low, high, bins)
+    if position == below:
+        return first
+    upto, following = values.agg(
+        F.count_if(F.col("v") <= first), F.min(F.when(F.col("v") > first, F.col("v")))
+    ).first()
+    second = first if upto > below + 1 else following
     return first + (second - first) * (position - below)
 
 

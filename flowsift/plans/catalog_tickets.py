@@ -15,7 +15,7 @@ from flowsift.fixed_values import (
 )
 from flowsift.functions import drivers, evidence, ticket_check, ticket_text
 from flowsift.operators import enrich, tickets
-from flowsift.operators.bounded import checkpointed, shared_dir
+from flowsift.operators.bounded import shared_dir, stored
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
@@ -364,7 +364,7 @@ FROM scored WHERE fused_anomaly""",
 def idempotent_append(spark, sf):
     """Every alert delivered three times over two batches, and the second batch run twice."""
     rows = jobs.add_ticket(_alerts(spark, sf).withColumn("observed_at", _detected()), _detected())
-    rows = checkpointed(jobs.ticket_rows(rows, ["k", "value"], "catalog").drop("fused_anomaly"))
+    rows = stored(jobs.ticket_rows(rows, ["k", "value"], "catalog").drop("fused_anomaly"))
     path = shared_dir(spark, "tickets")
     half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
     tickets.append_alerts(rows.where(half).unionAll(rows.where(half)), path, 0)

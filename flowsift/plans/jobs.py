@@ -34,7 +34,7 @@ from flowsift.operators import (
     transfer,
 )
 from flowsift.operators.artifact import Artifact
-from flowsift.operators.bounded import checkpointed, shared_dir, small
+from flowsift.operators.bounded import shared_dir, small, stored
 from flowsift.schema import NUMERIC
 
 
@@ -63,14 +63,12 @@ def train(
     threshold = unit_interval(threshold, "isolation threshold")
     model = features.fit(df, numbers, categorical)
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
+    # Not cached: features are several times wider than the source columns they come from, and
+    # counting and balancing read only the label and the row id.
     ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
-    ready = ready.persist()
-    try:
-        fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
-        normal = isolation.training_rows(ready)
-        detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
-    finally:
-        ready.unpersist()
+    fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
+    normal = isolation.training_rows(ready)
+    detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
     found = Artifact(model, fitted, classes, detector, threshold, version)
     artifacts.check_schema(found)
     return artifacts.save(found, df.sparkSession, path or shared_dir(df.sparkSession, "artifact"))
@@ -128,23 +126,24 @@ def analyze(
     """Scores rows, explains alerts, and writes their tickets.
 
     ``df`` has the model inputs, ``source_ip`` and ``row_id``. Attribution costs far more than
-    scoring and alerts come in bursts, so with ``spread`` the scored rows are checkpointed once
-    and only the alerts are shuffled, evenly by row identity, before they are explained. Without
-    it everything happens in one narrow pass, which suits micro-batches.
+    scoring and alerts come in bursts, so with ``spread`` the scored rows (without their features)
+    are stored once, and only the alerts are shuffled, evenly by row identity, and explained.
+    Without it everything happens in one narrow pass, which suits micro-batches.
     """
     artifacts.check_schema(found)
     scored = score(found, df)
     wanted = F.lit(True) if explain_normal else F.col("fused_anomaly")
+    wide = ["raw_features", "scaled_features"]
     if spread:
-        scored = checkpointed(scored)
+        scored = stored(scored.drop(*wide), "scored")
         chosen = scored.where(wanted).repartition(F.xxhash64(row_id))
-        done = add_ticket(_explained(found, chosen), detected_at)
+        done = add_ticket(_explained(found, found.features.apply(chosen)).drop(*wide), detected_at)
         if explain_normal:
             return done
         rest = evidence.build(scored.where(~wanted), found.threshold, found.version)
         return done.unionByName(add_ticket(rest, detected_at))
     gated = scored.withColumn("_gated", F.when(wanted, F.col("scaled_features")))
-    return add_ticket(_explained(found, gated, "_gated").drop("_gated"), detected_at)
+    return add_ticket(_explained(found, gated, "_gated").drop("_gated", *wide), detected_at)
 
 
 def _explained(found: Artifact, df: DataFrame, values: str = "scaled_features") -> DataFrame:
