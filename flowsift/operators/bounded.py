@@ -60,6 +60,16 @@ def join_small(
     return big.join(right, matched, how).drop(*names.values())
 
 
+def use_all_cores(df: DataFrame, *row_id: str) -> DataFrame:
+    """Spreads rows by identity when they come from fewer files than there are cores.
+
+    A few files that cannot be split would leave most cores idle in costly narrow steps. Inputs
+    with a file per core or more, so all large ones, are returned as they are: no shuffle.
+    """
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, F.xxhash64(*row_id)) if 0 < files < cores else df
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Every key holding at least ``share`` of the rows (and possibly some more).
 

@@ -7,12 +7,14 @@ and never shuffled; scoring broadcasts at most 200 x 511 nodes.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsift.fixed_values import (
@@ -189,3 +191,7 @@ def calibrate(scored: DataFrame, column: str = "isolation_score") -> tuple[float
     if low is None or bad:
         raise ValueError("training scores are empty or not finite")
     return float(low), float(high)
+
+
+# Tasks get this module's functions with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowsift.fixed_values import EXTERNAL_COLUMNS
 from flowsift.functions.labels import add_family
 from flowsift.operators import tickets
-from flowsift.operators.bounded import shared_dir
+from flowsift.operators.bounded import shared_dir, use_all_cores
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 from flowsift.schema import LABELLED_CONNECTION, MODEL_INPUTS
@@ -72,7 +72,8 @@ SELECT event_id AS id, {_NAME_SQL} AS event_id,
 )
 def envelope_parse(spark, sf):
     """Envelope, record and flat forms; null connection; missing, nested, bad and unreadable input."""
-    parsed = envelope.parse(_messages(spark, sf), inputs=INPUTS, now=F.lit("now"))
+    messages = use_all_cores(_messages(spark, sf), "id")
+    parsed = envelope.parse(messages, inputs=INPUTS, now=F.lit("now"))
     return parsed.select(
         "id", "event_id", "source_ip", "source", "problem",
         F.col("connection.src_bytes").alias("src_bytes"),
@@ -103,7 +104,7 @@ def json_records(spark, sf):
 
 
 def _replayed(spark, sf):
-    rows = B.connections(spark, sf)
+    rows = use_all_cores(B.connections(spark, sf), "event_id")
     return replay.replay_frame(rows, "event_id", observed_at=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 

@@ -15,7 +15,7 @@ from flowsift.fixed_values import (
 )
 from flowsift.functions import drivers, evidence, ticket_check, ticket_text
 from flowsift.operators import enrich, tickets
-from flowsift.operators.bounded import shared_dir, stored
+from flowsift.operators.bounded import shared_dir, stored, use_all_cores
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
@@ -28,8 +28,9 @@ def _alerts(spark, sf):
     """Alert rows with an evidence bundle whose attributions come from a fixed rule."""
     values = F.array(*[F.col(c).cast("double") for c in DRIVER_NAMES])
     weights = F.array(F.lit(0.375), -F.col("value") / 4000, F.lit(0.0))
-    scored = B.scored(spark, sf).withColumn("top", drivers.top_drivers(weights, values, DRIVER_NAMES))
-    return evidence.build(scored.where("fused_anomaly"), B.THRESHOLD, "rule", "top")
+    alerts = use_all_cores(B.scored(spark, sf).where("fused_anomaly"), "event_id")
+    alerts = alerts.withColumn("top", drivers.top_drivers(weights, values, DRIVER_NAMES))
+    return evidence.build(alerts, B.THRESHOLD, "rule", "top")
 
 
 def _detected():
@@ -199,7 +200,7 @@ def extract_response(spark, sf):
     made = F.lit(None).cast("string")
     for i, shape in enumerate(shapes):
         made = F.when(F.col("doc_id") % 6 == i, shape).otherwise(made)
-    rows = table(spark, sf, "documents").withColumn("response", made)
+    rows = use_all_cores(table(spark, sf, "documents"), "doc_id").withColumn("response", made)
     return ticket_check.extract(rows, "response").select("doc_id", F.md5("candidate").alias("hash"))
 
 
@@ -233,7 +234,8 @@ def sanitize_evidence(spark, sf):
         F.lit(',"rf_confidence":'), value, F.lit(',"isolation_forest_score":'), value,
         F.lit(',"top_shap_drivers":['), driver, F.lit(',5,"x",null,'), driver, F.lit(","), driver, F.lit("]}"),
     )
-    rows = evidence.sanitize_json(B.events(spark, sf).withColumn("b", bundle), "b", F.col("source_ip"))
+    events = use_all_cores(B.events(spark, sf), "event_id").withColumn("b", bundle)
+    rows = evidence.sanitize_json(events, "b", F.col("source_ip"))
     s = F.col("safe")
     first = F.get(s["top_drivers"], F.lit(0))
     return rows.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowsift.functions import drivers, evidence
 from flowsift.functions.labels import add_family
 from flowsift.operators import balance, features, forest, isolation, shap, split
-from flowsift.operators.bounded import shared_dir
+from flowsift.operators.bounded import shared_dir, use_all_cores
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
@@ -211,7 +211,7 @@ def shap_local_accuracy(spark, sf):
     "SELECT event_id, TRUE AS in_range, TRUE AS risk_in_range, TRUE AS flag_matches_score FROM events",
 )
 def isolation_scores(spark, sf):
-    rows = B.connections(spark, sf)
+    rows = use_all_cores(B.connections(spark, sf), "event_id")
     data = add_family(rows)
     model = features.fit(rows)
     ready = model.apply(data)

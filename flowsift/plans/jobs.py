@@ -34,10 +34,12 @@ from flowsift.operators import (
     transfer,
 )
 from flowsift.operators.artifact import Artifact
-from flowsift.operators.bounded import shared_dir, small, stored
+from flowsift.operators.bounded import shared_dir, small, stored, use_all_cores
 from flowsift.schema import NUMERIC
 
 
+CACHE_BYTES = 2 * 1024**3  # training features up to this size are kept between passes
+
 # ---- training ---------------------------------------------------------------------------------
 
 
@@ -61,14 +63,21 @@ def train(
     calibration use the unbalanced rows.
     """
     threshold = unit_interval(threshold, "isolation threshold")
+    df = use_all_cores(df, row_id)
     model = features.fit(df, numbers, categorical)
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
-    # Not cached: features are several times wider than the source columns they come from, and
-    # counting and balancing read only the label and the row id.
     ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
-    fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
-    normal = isolation.training_rows(ready)
-    detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
+    # Features are several times wider than the columns they come from, so only small sets are
+    # kept; larger ones are derived again, and counting and balancing then read two columns only.
+    keep = df.count() * len(model.names) * 8 <= CACHE_BYTES
+    ready = ready.persist() if keep else ready
+    try:
+        fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
+        normal = isolation.training_rows(ready)
+        detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
+    finally:
+        if keep:
+            ready.unpersist()
     found = Artifact(model, fitted, classes, detector, threshold, version)
     artifacts.check_schema(found)
     return artifacts.save(found, df.sparkSession, path or shared_dir(df.sparkSession, "artifact"))
@@ -131,7 +140,7 @@ def analyze(
     Without it everything happens in one narrow pass, which suits micro-batches.
     """
     artifacts.check_schema(found)
-    scored = score(found, df)
+    scored = score(found, use_all_cores(df, row_id) if spread else df)
     wanted = F.lit(True) if explain_normal else F.col("fused_anomaly")
     wide = ["raw_features", "scaled_features"]
     if spread:

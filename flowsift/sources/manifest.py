@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
@@ -52,3 +54,7 @@ def require(verified: DataFrame) -> None:
     bad = [r["name"] for r in verified.where(~F.col("ok")).select("name").limit(20).collect()]
     if bad:
         raise ValueError(f"files missing or changed: {', '.join(bad)}")
+
+
+# Tasks get this module's functions with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

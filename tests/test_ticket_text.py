@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from flowsift.fixed_values import RISKY_COMMANDS, SECTION_TITLES
@@ -85,11 +84,14 @@ def test_hostile_strings_never_reach_the_ticket(spark):
     assert "- unknown_feature: observed value unknown; influences the predicted class." in text
 
 
-@pytest.mark.parametrize("value, shown", [(True, "True"), (None, "None"), (0.25, "0.25"), (1e-5, "1e-05"), (7, "7"),
-                                          ("tcp", "tcp"), ([1], "unknown")])
-def test_observed_values(spark, value, shown):
-    driver = {**BUNDLE["top_shap_drivers"][0], "true_value": value}
-    assert f"observed value {shown};" in _ticket(spark, {**BUNDLE, "top_shap_drivers": [driver]})
+def test_observed_values(spark):
+    shown = [(True, "True"), (None, "None"), (0.25, "0.25"), (1e-5, "1e-05"), ("tcp", "tcp")]
+    drivers = [{**BUNDLE["top_shap_drivers"][0], "true_value": v} for v, _ in shown]
+    text = _ticket(spark, {**BUNDLE, "top_shap_drivers": drivers + drivers})  # five are shown
+    assert [line.split("observed value ")[1].split(";")[0] for line in text.splitlines() if "observed value" in line] == [
+        s for _, s in shown]
+    nested = _ticket(spark, {**BUNDLE, "top_shap_drivers": [{**drivers[0], "true_value": [1]}]})
+    assert "observed value unknown;" in nested
 
 
 def test_rendered_ticket_and_harmless_edits_pass(spark):
@@ -110,7 +112,7 @@ def test_every_risky_command_is_rejected(spark):
     assert _reason(spark, BUNDLE, swapped) == "unsafe_query"
 
 
-@pytest.mark.parametrize("change, reason", [
+REJECTIONS = [
     (lambda t: "", "empty"),
     (lambda t: "A conversational answer", "missing_section"),
     (lambda t: "Hello there. " + t, "text_before_ticket"),
@@ -126,9 +128,19 @@ def test_every_risky_command_is_rejected(spark):
     (lambda t: t + " The SHAP value was high.", "attribution_word"),
     (lambda t: t + " Contribution 0.123456789.", None),  # followed by a full stop: not standing alone
     (lambda t: t + " Contribution 0.123456789 here", "attribution_value"),
-])
-def test_rejections(spark, change, reason):
-    assert _reason(spark, BUNDLE, change(_ticket(spark, BUNDLE))) == reason
+]
+
+
+def test_rejections(spark):
+    """All candidates in one table, each with the first check it fails."""
+    text = _ticket(spark, BUNDLE)
+    rows = [(i, json.dumps(BUNDLE), change(text)) for i, (change, _) in enumerate(REJECTIONS)]
+    df = spark.createDataFrame(rows, "i int, b string, candidate string")
+    safe = evidence.sanitize_json(df, "b", F.get_json_object("b", "$.source_ip"))
+    rendered = ticket_text.render(safe, "safe", F.lit(WHEN)).withColumn("ip", F.col("safe.source_ip"))
+    shap = F.array(*[F.lit(float(d["shap_value"])) for d in BUNDLE["top_shap_drivers"]])
+    found = ticket_check.check(rendered, "candidate", "ticket_text", "ip", shap).orderBy("i").collect()
+    assert [r["reject_reason"] for r in found] == [reason for _, reason in REJECTIONS]
 
 
 def test_response_shapes(spark):
