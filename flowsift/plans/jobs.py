@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -428,3 +429,9 @@ def transfer_payload(spark: SparkSession, tables: dict[str, DataFrame], rows: di
         **rows,
         **listed,
     }
+
+
+def write_payload(spark: SparkSession, payload: dict, path: str) -> None:
+    """A report (retraining or transfer) as one JSON text with sorted keys."""
+    text = json.dumps(payload, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
