@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowsift.llm import chat, decontaminate, embeddings, minhash, packing
+from flowsift.llm import chat, decontaminate, embeddings, minhash, packing, pages, quality, repeats, secrets, warc
 from flowsift.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,5 +39,25 @@ def op5_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc_derivatives(spark, sf_dir):
+    return warc.report(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+
+
+def op9_secret_scans(spark, sf_dir):
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_suffix_array_dedup(spark, sf_dir):
+    return repeats.report(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}

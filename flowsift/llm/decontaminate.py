@@ -212,6 +212,12 @@ def _united(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
+def without_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of the items occurs; null ids are judged as others."""
+    hit = decontaminate(docs, items, id_col, text).where(F.size("spans") > 0).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", F.xxhash64(id_col, text)).join(hit, "_key", "left_anti").select(*docs.columns)
+
+
 def report(found: DataFrame) -> DataFrame:
     """The digest of ``decontaminate``'s rows."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["first"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsift.llm.common import by_value, on_batches, stored, text_batches
 from flowsift.llm.components import components
@@ -183,4 +183,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the document of least id stays.
+
+    Of rows that share that id one stays, the first by text. Rows without id stay.
+    """
+    kept = near_duplicates(docs, id_col, text, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    chosen = docs.withColumn("_id", F.col(id_col).cast("long")).join(kept, "_id")
+    order = Window.partitionBy("_id").orderBy(text)
+    first = chosen.withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return first.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
 by_value(__name__)
