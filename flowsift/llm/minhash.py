@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.llm.common import by_value, on_batches, stored, text_batches
 from flowsift.llm.components import components
@@ -13,6 +15,8 @@ from flowsift.llm.grams import SOLID, Words, mix, words
 REGISTERS = 128
 BAND = 4
 MANTISSA = 10
+#: longs of a bitmap of differences
+BITMAP = 4
 #: how far an estimate may lie below the wanted similarity: over six standard deviations at 0.8
 SLACK = 0.22
 #: two registers of different sets agree by chance: leading zeros (a third) and mantissa bits
@@ -126,22 +130,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(on_batches(make), "a long, b long").distinct()
 
 
-def _crossing(bands: DataFrame, parts: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs that share a band, aren't in one component yet and haven't been compared.
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(hub, element, id, component, out, prefix, at, n, w, bits)``: how members differ from their hub.
+
+    A member's differences come in one order: shingles that the hub lacks, then those that the
+    member lacks, each by hash. ``w`` is their number ``n`` less the share of the size that a link
+    may differ in, so two members are linked if they share at least half the sum of their ``w``.
+    ``bits`` is a bitmap of all its differences. ``prefix`` marks those differences of which a link to an outside member shares one at least.
+    """
+    share = (100 - percent) / (100 + percent)
+    fields = "hub long, element long, id long, component long, out boolean, prefix boolean, at int, n int, w double, bits array<long>"
+
+    def make(batch):
+        hubs, ids, parts, homes = (batch.column(c).to_pylist() for c in ("a", "b", "component", "home"))
+        out: list[list] = [[] for _ in range(10)]
+        for hub, own, part, home, ha, hb in zip(hubs, ids, parts, homes, batch.column("ha"), batch.column("hb")):
+            one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (ha, hb))
+            both = np.intersect1d(one, two, assume_unique=True)
+            differ = np.concatenate([np.setdiff1d(two, both, True), np.setdiff1d(one, both, True)])
+            n, w = len(differ), len(differ) - share * len(two)
+            # outside members aren't linked with the hub, so their w exceeds share * len(one)
+            last = n - max(1, int(np.ceil((w + share * len(one)) / 2 - 1e-6)))
+            many = n if part != home else min(n, last + 1)
+            bitmap = np.zeros(BITMAP * 64, np.uint8)
+            bitmap[(differ >> np.uint64(40)) % np.uint64(BITMAP * 64)] = 1
+            bits = np.packbits(bitmap).view(np.int64).tolist()
+            for c, v in zip(out, ([hub] * many, differ[:many].view(np.int64).tolist(), [own] * many, [part] * many, [part != home] * many, (np.arange(many) <= last).tolist(), range(many), [n] * many, [w] * many, [bits] * many)):
+                c.extend(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in fields.split(", ")])
+
+    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
+    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    pairs = members.select(F.col("hub").alias("a"), F.col("id").alias("b"), "component", "home")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(on_batches(make), fields)
+
+
+def _crossing(bands: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a band, aren't in one component, and may be linked.
 
-    In each band the members of the largest component are compared with the others only, never
-    among themselves; bands within one component give nothing.
+    Bands whose members are one component are done. In the others all members were compared with
+    the band's hub, and a pair can be linked only if the two share many of their differences from
+    it. So members meet by a shared difference, early in the order of both as prefix filters
+    have it, if their bitmaps leave room for enough: copies that were each changed in their own way
+    never meet, however many they are.
     """
-    rows = bands.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = stored(rows, "bands")
-    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major"))
-    open_rows = rows.join(major.where("k > 1").select("band", "major"), "band")
-    few = open_rows.where("component != major").select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    all_of = open_rows.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "major")
-    pairs = few.join(all_of, "band").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    rows = stored(bands.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "bands")
+    home = F.max(F.when(F.col("id") == F.col("hub"), F.col("component")))
+    opened = rows.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"), home.alias("home"))
+    members = rows.join(opened.where("k > 2 and low != high").select("band", "home"), "band")
+    members = members.where("id != hub").select("hub", "id", "component", "home").distinct()
+    rows = stored(_differences(members, sets, percent), "differences")
+    own = ["id", "component", "at", "n", "w", "bits"]
+    x = rows.where("out").select("hub", "element", *(F.col(c).alias(f"{c}_x") for c in own))
+    y = rows.where("prefix").select("hub", "element", "out", *(F.col(c).alias(f"{c}_y") for c in own))
+    alone = reduce(Column.__add__, (F.bit_count(F.col("bits_x")[k].bitwiseAND(F.bitwise_not(F.col("bits_y")[k]))) for k in range(BITMAP)))
+    met = x.join(y, ["hub", "element"]).where(
+        F.expr("component_x != component_y and (not out or id_x < id_y) and least(n_x - at_x, n_y - at_y) >= (w_x + w_y) / 2 - 1e-6")
+        & (F.col("n_x") - alone >= F.expr("(w_x + w_y) / 2 - 1e-6"))
+    )
+    # a member much larger than its hub may be linked with an outside one without a shared difference
+    least = rows.groupBy("hub").agg(F.min(F.struct("w", "id", "component")).alias("m"))
+    outside = rows.where("out").select("hub", F.col("id").alias("id_x"), F.col("component").alias("component_x"), F.col("w").alias("w_x")).distinct()
+    sure = outside.join(least, "hub").where("w_x + m.w <= 1e-6 and component_x != m.component")
+    pairs = met.select("id_x", "id_y").union(sure.select("id_x", F.col("m.id").alias("id_y")))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -149,11 +202,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Rows with one set are a class, named by their smallest id; one of a class is compared. Bands of
     four registers propose pairs (a pair at 0.8 is missed with a chance of 5e-8): first each
-    member with the smallest id of its band, which is linear however many copies there are, then,
-    after components are known, only pairs across components. Every proposed pair is thus either
-    connected or has been compared. Estimates far below the similarity are left out, the rest is
-    confirmed on full sets, so components are those of all proposed pairs, without all pairs of a
-    group ever being made.
+    member with the smallest id of its band, the hub, which is linear however many copies there
+    are; then, after components are known, pairs across components that share enough differences
+    from their hub to be linked. Estimates far below the similarity are left out, the rest is
+    confirmed on full sets. Components are thus those of all proposed pairs, without all pairs of
+    a group ever being made.
 
     Null texts and texts without words have an empty set and link with nothing. Rows that share an
     id are one document whose links are united. A row without an id links with nothing and is kept.
@@ -175,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = stored(_sets(texts.join(needed, "id", "left_semi"), size), "sets")
     similarity = percent / 100
     links = stored(_confirmed(_likely(tested, reps, similarity), sets, percent), "links")
-    crossing = stored(_crossing(bands.select("band", "id"), components(links), tested), "pairs")
+    crossing = stored(_crossing(bands, components(links), sets, percent), "pairs")
     more = _confirmed(_likely(crossing, reps, similarity), sets, percent)
     parts = components(links.union(more).union(same))
     out = rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
