@@ -144,15 +144,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = chosen[0].union(chosen[1])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = counted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").repartition(24, "doc_id").select("label", "text"))
-    got = [(r.label, np.array(r.buckets, np.int64), np.array(r.weights, np.float32)) for r in _bounded(rows, 4 * most)]
-    got.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    # at most two rows for each label asked for, where rows repeat; as Arrow, not as objects
+    table = rows.limit(4 * most).toArrow().combine_chunks()
+    labels_in = table.column("label").to_pylist()
+    parts = []
+    for name, kind in (("buckets", np.int32), ("weights", np.float32)):
+        column = table.column(name).combine_chunks() if table.num_rows else None
+        values = column.values.to_numpy() if column is not None else np.zeros(0, kind)
+        parts.append((values, column.offsets.to_numpy() if column is not None else np.zeros(1, np.int64)))
+    got = [
+        (label, parts[0][0][parts[0][1][k] : parts[0][1][k + 1]], parts[1][0][parts[1][1][k] : parts[1][1][k + 1]])
+        for k, label in enumerate(labels_in)
+    ]
+    got.sort(key=lambda r: (r[0], len(r[1]), r[1][:64].tobytes(), r[2][:64].tobytes()))
     return train(got)
 
 
-def _bounded(rows: DataFrame, most: int) -> list:
-    return rows.limit(most).collect()
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` appended, from the whole text alone.
 
