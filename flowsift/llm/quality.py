@@ -20,6 +20,8 @@ GRAMS = (2, 4)
 EPOCHS = 8
 RATE = 0.5
 BATCH = 32
+#: characters whose features are worked out at once
+BATCH_CHARS = 1_000_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def make(batch):
         labels = batch.column("label")
-        for first, texts in text_batches(batch, "text"):
+        for first, texts in text_batches(batch, "text", BATCH_CHARS):
             buckets, counts = features(texts)
             at, rows = 0, ([], [])
             for n in counts.tolist():
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def make(batch):
         model = Model(*shared.value)
-        made = [model.scores(texts) for _, texts in text_batches(batch.select(["_text"]), "_text")]
+        made = [model.scores(texts) for _, texts in text_batches(batch.select(["_text"]), "_text", BATCH_CHARS)]
         kept = batch.drop_columns(["_text"])
         return pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(made))], [*kept.schema.names, "score"])
 
