@@ -51,7 +51,7 @@ def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def require(verified: DataFrame) -> None:
-    bad = [r["name"] for r in verified.where(~F.col("ok")).select("name").limit(20).collect()]
+    bad = [r["name"] for r in verified.where(~F.col("ok")).select("name").orderBy("name").collect()]
     if bad:
         raise ValueError(f"files missing or changed: {', '.join(bad)}")
 
