@@ -56,8 +56,14 @@ def _encoder(numeric: list[str], categorical: list[str]) -> Pipeline:
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=numbers + blocks, outputCol="_features")])
 
 
+def _finite(value: Column, name: str) -> Column:
+    """The number, or an error that names the column if it is missing or not finite."""
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{name} holds a missing or non-finite number")).cast("double")).otherwise(value)
+
+
 def _prepared(df: DataFrame, numbers: list[str], categorical: list[str]) -> DataFrame:
-    columns = {f"_n_{c}": numeric(F.col(c)) for c in numbers}
+    columns = {f"_n_{c}": _finite(numeric(F.col(c)), c) for c in numbers}
     columns |= {f"_t_{c}": F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in categorical}
     return df.withColumns(columns)
 

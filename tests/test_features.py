@@ -61,3 +61,13 @@ def test_bad_numbers_are_set_aside_with_their_names(spark):
     fine, rejected = features.split_valid(df)
     assert fine.count() == 1
     assert rejected.first()["bad_fields"] == NUMERIC[:3]
+
+
+@pytest.mark.parametrize("number", [float("inf"), float("-inf"), float("nan"), None])
+def test_missing_and_non_finite_numbers_are_refused(spark, number):
+    schema = "x double, c string"
+    good, bad = (spark.createDataFrame([(v, "a"), (2.0, "b")], schema) for v in (1.0, number))
+    with pytest.raises(Exception, match="non-finite"):
+        features.fit(bad, ["x"], ["c"])
+    with pytest.raises(Exception, match="non-finite"):
+        features.fit(good, ["x"], ["c"]).apply(bad).collect()
