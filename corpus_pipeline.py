@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.llm import decontaminate, minhash, packing, quality, secrets
-from flowsift.llm.common import stored, table
+from flowsift.llm.common import fresh, stored, table
 
 ORACLE_SQL = None
 
@@ -18,7 +18,8 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labels, doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    return quality.score(docs, model, into=(score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark; ``n_chars`` follows the text."""
-    scanned = secrets.scan(docs)
-    masked = scanned.withColumn("text", secrets.masked(F.col("text"), F.col("secret_spans")))
-    changed = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    spans = fresh(docs, "secret_spans")
+    scanned = secrets.scan(docs, into=spans)
+    masked = scanned.withColumn("text", secrets.masked(F.col("text"), F.col(spans)))
+    changed = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return masked.withColumn("n_chars", changed).select(*docs.columns)
 
 

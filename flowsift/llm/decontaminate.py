@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsift.llm.common import by_value, on_batches, stored, text_batches
+from flowsift.llm.common import by_value, fresh, on_batches, stored, text_batches
 from flowsift.llm.grams import ALNUM, Words, mix, words
 
 WINDOW = 10
@@ -214,8 +214,9 @@ def _united(spans):
 
 def without_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of the items occurs; null ids are judged as others."""
-    hit = decontaminate(docs, items, id_col, text).where(F.size("spans") > 0).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64(id_col, text)).join(hit, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    hit = decontaminate(docs, items, id_col, text).where(F.size("spans") > 0).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64(id_col, text)).join(hit, key, "left_anti").select(*docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsift.llm.common import by_value, on_batches, stored, text_batches
+from flowsift.llm.common import by_value, fresh, on_batches, stored, text_batches
 from flowsift.llm.components import components
 from flowsift.llm.grams import SOLID, Words, mix, words
 
@@ -241,10 +241,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Of rows that share that id one stays, the first by text. Rows without id stay.
     """
-    kept = near_duplicates(docs, id_col, text, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.withColumn("_id", F.col(id_col).cast("long")).join(kept, "_id")
-    order = Window.partitionBy("_id").orderBy(text)
-    first = chosen.withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    key, row = fresh(docs, "_id"), fresh(docs, "_row")
+    kept = near_duplicates(docs, id_col, text, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    chosen = docs.withColumn(key, F.col(id_col).cast("long")).join(kept, key)
+    order = Window.partitionBy(key).orderBy(text)
+    first = chosen.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return first.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
 
 

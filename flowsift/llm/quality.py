@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.llm.common import by_value, on_batches, text_batches
+from flowsift.llm.common import by_value, fresh, on_batches, text_batches
 from flowsift.llm.grams import SOLID, VALUES, mix, span_hashes
 
 BUCKET_BITS = 17
@@ -162,9 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return train(got)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` appended, from the whole text alone.
 
+    The two replace columns of the names ``into``.
+
     Null and empty texts get the score of no features. Nothing is shuffled; the model is one
     broadcast of ``2 ** BUCKET_BITS`` numbers whatever the input.
     """
@@ -172,14 +174,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def make(batch):
         model = Model(*shared.value)
-        made = [model.scores(texts) for _, texts in text_batches(batch.select(["_text"]), "_text", BATCH_CHARS)]
-        kept = batch.drop_columns(["_text"])
-        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(made))], [*kept.schema.names, "score"])
-
-    docs = docs.drop("score", "predicted")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    scored = docs.withColumn("_text", F.col(text)).mapInArrow(on_batches(make), schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        made = [model.scores(texts) for _, texts in text_batches(batch.select([own]), own, BATCH_CHARS)]
+        kept = batch.drop_columns([own])
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(made))], [*kept.schema.names, into[0]])
+
+    docs = docs.drop(*into)
+    own = fresh(docs, "_text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{into[0]}` double"])
+    scored = docs.withColumn(own, F.col(text)).mapInArrow(on_batches(make), schema)
+    return scored.withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

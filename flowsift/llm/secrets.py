@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.llm.common import stored
+from flowsift.llm.common import fresh, stored
 
 
 @dataclass(frozen=True)
@@ -99,8 +99,8 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.aggregate(zipped, start, step)["s"]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``docs`` with ``secret_spans``: ``array<struct<start, end, kind>>`` by start, then rule.
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "secret_spans") -> DataFrame:
+    """All columns of ``docs`` with ``into``, which replaces one of that name: ``array<struct<start, end, kind>>`` by start, then rule.
 
     Postings of the trigrams that the rules need are intersected to candidates per rule; a rule is
     tried on its candidates only, one without mandatory trigrams on every text. Rows meet their
@@ -108,18 +108,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tup
     two rows share only adds a candidate. Null and empty texts have no spans.
     """
     index = stored(postings(docs, id_col, text, rules), "postings")
-    chosen = candidates(index, rules).withColumnRenamed("key", "_key")
-    rows = docs.drop("secret_spans").withColumn("_key", _key(id_col, text)).join(chosen.withColumnRenamed("rules", "_rules"), "_key", "left")
+    docs = docs.drop(into)
+    key, kinds = fresh(docs, "_key"), fresh(docs, "_rules")
+    chosen = candidates(index, rules).select(F.col("key").alias(key), F.col("rules").alias(kinds))
+    rows = docs.withColumn(key, _key(id_col, text)).join(chosen, key, "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     body = F.col(text)
     found = []
     for rule in rules:
-        tried = F.array_contains("_rules", rule.kind) if trigram_query(rule) else F.lit(True)
+        tried = F.array_contains(kinds, rule.kind) if trigram_query(rule) else F.lit(True)
         found.append(F.when(tried & F.rlike(body, F.lit(rule.pattern)), matches(body, rule)).otherwise(none))
     place = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))))
     ordered = F.array_sort(F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn("secret_spans", F.coalesce(spans, none)).drop("_key", "_rules")
+    return rows.withColumn(into, F.coalesce(spans, none)).drop(key, kinds)
 
 
 def masked(text: Column, spans: Column) -> Column:
