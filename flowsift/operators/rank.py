@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsift.operators.bounded import join_small, small
+from flowsift.operators.bounded import join_small, small, stored
 
 PREFIX = 3  # hex digits per narrowing step: 4096 prefixes
 FINE_ROWS = 100_000  # a remaining range this small is ordered directly
@@ -18,17 +18,18 @@ ALL_CUT = "g"  # sorts after every hash: selects everything
 
 
 def row_hash(row_id: Column, seed: int | None = None) -> Column:
-    """Uniform, repeatable ordering key: 32 hex digits."""
-    text = row_id.cast("string")
+    """Uniform, repeatable ordering key: 32 hex digits. A missing id counts as an empty one."""
+    text = F.coalesce(row_id.cast("string"), F.lit(""))
     return F.md5(text if seed is None else F.concat(F.lit(f"{seed}:"), text))
 
 
 def hash_cuts(df: DataFrame, strata: list[str], key: str, quotas: DataFrame) -> DataFrame:
-    """Per stratum, the hash such that exactly ``quota`` rows are at or below it.
+    """Per stratum, the hash that the row at position ``quota`` has.
 
-    ``df`` has the strata columns and a unique ``key`` made by :func:`row_hash`; ``quotas`` has
+    ``df`` has the strata columns and a ``key`` made by :func:`row_hash`; ``quotas`` has
     the strata columns and ``quota``, with ``0 <= quota <= rows of the stratum``. The result has
-    one row per stratum: ``(strata, cut)``.
+    one row per stratum: ``(strata, cut, take, ties)``. All rows below the cut are among the first
+    ``quota``, and ``take`` of the ``ties`` rows at it: both are 1 where ids are unique.
     """
     rows = df.select(*strata, F.col(key).alias("_h"))
     quotas, _ = small(quotas.select(*strata, F.col("quota").cast("bigint").alias("_left")))
@@ -55,21 +56,42 @@ def hash_cuts(df: DataFrame, strata: list[str], key: str, quotas: DataFrame) ->
         if biggest is None:
             break
     last = join_small(rows.withColumn("_p", F.substring("_h", 1, depth)), todo, [*strata, "_p"])
-    position = F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))
-    cuts = last.withColumn("_r", position).where("_r = _left").select(*strata, F.col("_h").alias("cut"))
-    none = quotas.where("_left <= 0").select(*strata, F.lit(NO_CUT).alias("cut"))
-    return cuts.unionByName(none)
+    held = last.groupBy(*strata, "_left", "_h").agg(F.count("*").alias("ties"))
+    before = Window.partitionBy(*strata).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("take", F.col("_left") - F.sum("ties").over(before) + F.col("ties"))
+    cuts = held.where("take between 1 and ties").select(*strata, F.col("_h").alias("cut"), "take", "ties")
+    none = F.lit(0).cast("bigint")
+    nothing = quotas.where("_left <= 0").select(
+        *strata, F.lit(NO_CUT).alias("cut"), none.alias("take"), none.alias("ties")
+    )
+    return cuts.unionByName(nothing)
 
 
 def mark_first(df: DataFrame, strata: list[str], key: str, quotas: DataFrame, flag: str) -> DataFrame:
     """Adds ``flag``: true for exactly the first ``quota`` rows of each stratum in hash order.
 
-    The rows themselves are never shuffled; each is compared with its stratum's cut.
+    The rows themselves are never shuffled; each is compared with its stratum's cut. Only where
+    ids repeat or are missing, and the quota ends among rows of one id, are those rows numbered:
+    which of them come first then depends on how the table is laid out, how many doesn't.
     """
-    cuts = hash_cuts(df, strata, key, quotas)
+    cuts, _ = small(hash_cuts(df, strata, key, quotas))
     marked = join_small(df, cuts, strata, "left")
-    below = F.col(key) <= F.col("cut")
-    return marked.withColumn(flag, F.coalesce(below, F.lit(False))).drop("cut")
+    below = (F.col(key) < F.col("cut")) | ((F.col(key) == F.col("cut")) & (F.col("take") >= F.col("ties")))
+    below = F.coalesce(below, F.lit(False))
+    helpers = ["cut", "take", "ties"]
+    if cuts.where("take < ties").isEmpty():
+        return marked.withColumn(flag, below).drop(*helpers)
+    split = F.coalesce((F.col(key) == F.col("cut")) & (F.col("take") < F.col("ties")), F.lit(False))
+    tied = stored(marked.where(split).withColumn("_part", F.spark_partition_id()), "ties")
+    # numbered within the stored parts, so that an id with most rows isn't numbered in one task
+    counts = tied.groupBy(*strata, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*strata, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*strata, "_part").orderBy(key))
+    numbered = join_small(tied.withColumn("_place", place), base, [*strata, "_part"])
+    taken = numbered.withColumn(flag, F.col("_place") + F.col("_base") <= F.col("take"))
+    rest = marked.where(~split).withColumn(flag, below)
+    return rest.drop(*helpers).unionByName(taken.drop(*helpers, "_part", "_place", "_base"))
 
 
 def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -> float | None:
@@ -78,11 +100,15 @@ def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -
     The built-in exact percentile gathers every distinct value in one task. This one counts the
     values in ``bins`` equal ranges and narrows to the range holding the wanted position until few
     distinct values remain. Equal values are combined before the shuffle, so ties cost nothing.
+    Infinite values and NaN have no place in it and are refused.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    odd = F.count_if(F.isnan("v") | (F.abs("v") == float("inf")))
+    low, high, n, odd = values.agg(F.min("v"), F.max("v"), F.count("*"), odd).first()
     if not n:
         return None
+    if odd:
+        raise ValueError(f"{column} has {odd} values that are not finite")
     position = share * (n - 1)
     below = int(position)
     first = _nth(values, below, low, high, bins)
@@ -100,7 +126,7 @@ def _nth(values: DataFrame, n: int, low: float, high: float, bins: int) -> float
     skipped = 0
     while low < high:
         inside = values.where(F.col("v").between(low, high))
-        width = (high - low) / bins
+        width = high / bins - low / bins  # the difference itself may not be finite
         if width <= 0 or low + width == low:
             break
         bin_of = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))

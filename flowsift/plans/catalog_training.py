@@ -102,6 +102,44 @@ def oversample_rows(spark, sf):
     return balance.oversample(labels, "class", "doc_id").select("doc_id", "class", "copy")
 
 
+@query(
+    "repeated_id_split",
+    """WITH c AS (SELECT l_returnflag AS p, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(sum(n) * 0.2e0) AS BIGINT) AS held FROM c),
+x AS (SELECT p, n * held / total AS exact, floor(n * held / total) AS base, held FROM c, t),
+q AS (SELECT p, base + CASE WHEN row_number() OVER (ORDER BY base - exact, p)
+                              <= held - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM x),
+r AS (SELECT l_orderkey, l_returnflag,
+             row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(CAST(l_orderkey AS VARCHAR))) AS r FROM lineitem)
+SELECT l_orderkey, l_returnflag, count(*) AS n, CAST(count_if(r <= quota) AS BIGINT) AS held
+FROM r JOIN q ON p = l_returnflag GROUP BY 1, 2""",
+)
+def repeated_id_split(spark, sf):
+    """Ids that several rows share: the quota ends among the rows of one."""
+    marked = split.holdout(table(spark, sf, "lineitem"), "l_returnflag", "l_orderkey", 0.2)
+    return marked.groupBy("l_orderkey", "l_returnflag").agg(
+        F.count("*").alias("n"), F.count_if("is_holdout").alias("held")
+    )
+
+
+@query(
+    "missing_id_copies",
+    """WITH s AS (SELECT l_returnflag, nullif(l_suppkey % 7, 0) AS id FROM lineitem),
+n AS (SELECT l_returnflag, count(*) AS n FROM s GROUP BY 1),
+r AS (SELECT s.*, n.n, (SELECT max(n) FROM n) AS top,
+             row_number() OVER (PARTITION BY s.l_returnflag ORDER BY md5(coalesce(CAST(id AS VARCHAR), ''))) AS r
+      FROM s JOIN n USING (l_returnflag))
+SELECT l_returnflag, coalesce(id, -1) AS id, count(*) AS n,
+       CAST(sum(top // n + CASE WHEN r <= top % n THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM r GROUP BY 1, 2""",
+)
+def missing_id_copies(spark, sf):
+    """A handful of ids for all rows, one of them missing: copies still add up exactly."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", F.expr("nullif(l_suppkey % 7, 0)").alias("id"))
+    return balance.with_copies(lines, "l_returnflag", "id").groupBy(
+        "l_returnflag", F.coalesce("id", F.lit(-1)).alias("id")
+    ).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+
+
 @query(
     "class_weights",
     """SELECT c_mktsegment, count(*) AS n,

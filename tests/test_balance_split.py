@@ -128,3 +128,23 @@ def test_small_tables_are_proven_by_rows(spark):
     assert bounded.small(df, 50)[1] and not bounded.small(df, 49)[1]
     joined = bounded.join_small(df, df.withColumn("v", F.col("id") * 2), ["id"], max_rows=10)
     assert joined.count() == 50
+
+
+@pytest.mark.parametrize("ids", ["id % 20", "if(id < 995, null, id)", "cast(null as long)"])
+def test_repeated_and_missing_ids_give_exact_counts(spark, monkeypatch, ids):
+    monkeypatch.setattr(rank, "FINE_ROWS", 10)
+    df = spark.range(1000).selectExpr(f"{ids} as row_id", "if(id < 100, 'a', 'b') as label", "id")
+    marked = split.holdout(df, "label", "row_id", 0.2)
+    held = {r["label"]: r["held"] for r in marked.groupBy("label").agg(F.count_if("is_holdout").alias("held")).collect()}
+    assert held == {"a": 20, "b": 180} and marked.select("id").distinct().count() == marked.count() == 1000
+    assert balance.oversample(df, "label", "row_id").count() == 1800
+
+
+@pytest.mark.parametrize("odd", ["Infinity", "-Infinity", "NaN"])
+def test_a_quantile_refuses_values_that_are_not_finite(spark, monkeypatch, odd):
+    monkeypatch.setattr(rank, "FINE_ROWS", 10)
+    df = spark.range(200).selectExpr(f"if(id = 7, double('{odd}'), double(id)) as v")
+    with pytest.raises(ValueError, match="not finite"):
+        rank.exact_quantile(df, "v", 0.5)
+    wide = spark.range(201).selectExpr("(id - 100) * 1.7e306 as v")
+    assert rank.exact_quantile(wide, "v", 0.5) == 0.0
