@@ -38,9 +38,6 @@ from flowsift.operators.artifact import Artifact
 from flowsift.operators.bounded import shared_dir, small, stored, use_all_cores
 from flowsift.schema import NUMERIC
 
-
-CACHE_BYTES = 2 * 1024**3  # training features up to this size are kept between passes
-
 # ---- training ---------------------------------------------------------------------------------
 
 
@@ -68,17 +65,11 @@ def train(
     model = features.fit(df, numbers, categorical)
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
     ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
-    # Features are several times wider than the columns they come from, so only small sets are
-    # kept; larger ones are derived again, and counting and balancing then read two columns only.
-    keep = df.count() * len(model.names) * 8 <= CACHE_BYTES
-    ready = ready.persist() if keep else ready
-    try:
-        fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
-        normal = isolation.training_rows(ready)
-        detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
-    finally:
-        if keep:
-            ready.unpersist()
+    # Written once: both fits pass over the features many times, counting and balancing read two columns.
+    ready = stored(ready, "features")
+    fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
+    normal = isolation.training_rows(ready)
+    detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
     found = Artifact(model, fitted, classes, detector, threshold, version)
     artifacts.check_schema(found)
     return artifacts.save(found, df.sparkSession, path or shared_dir(df.sparkSession, "artifact"))
