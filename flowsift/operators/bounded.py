@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_SMALL_ROWS = 20_000
-HOT_SHARE = 0.02
+MAX_SMALL_BYTES = 16 * 1024 * 1024
 SALTS = 64
 
 
@@ -33,16 +33,23 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``(table, True)`` when the table is proven to have at most ``max_rows`` rows.
+def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, max_bytes: int = MAX_SMALL_BYTES) -> tuple[DataFrame, bool]:
+    """``(table, True)`` when the table is proven to have at most ``max_rows`` rows and ``max_bytes``.
 
-    A proven table comes back as local rows: the planner knows its size and its upstream work is
-    not repeated. Anything bigger comes back untouched.
+    The rows are worked out once and kept: they are measured where they are, and only a proven
+    table comes to the driver, as local rows whose size the planner knows. A bigger one comes
+    back as the kept rows, so the join that follows doesn't work them out again.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    ours = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    kept = df.persist() if ours else df
+    width = F.octet_length(F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string") for c in df.columns])))
+    rows, size = kept.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows > max_rows or size > max_bytes:
+        return kept, False
+    local = kept.toArrow()
+    if ours:
+        kept.unpersist()
+    return df.sparkSession.createDataFrame(local, df.schema), True
 
 
 def join_small(
@@ -60,21 +67,19 @@ def join_small(
     return big.join(right, matched, how).drop(*names.values())
 
 
-def use_all_cores(df: DataFrame, *row_id: str) -> DataFrame:
-    """Spreads rows by identity when they come from fewer files than there are cores.
-
-    A few files that cannot be split would leave most cores idle in costly narrow steps. Inputs
-    with a file per core or more, so all large ones, are returned as they are: no shuffle.
-    """
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(*row_id)) if 0 < files < cores else df
+def hot_share(spark: SparkSession) -> float:
+    """A key is hot from half of a shuffle partition's even share on (0.05 % at the least, so the
+    list of hot keys stays short)."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(0.5 / partitions, 0.0005), 0.02)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
     """Every key holding at least ``share`` of the rows (and possibly some more).
 
     A frequent-items sketch: one pass, no shuffle of rows, at most ``1/share`` keys come back.
     """
+    share = hot_share(df.sparkSession) if share is None else share
     found = df.select(key).where(F.col(key).isNotNull()).freqItems([key], share).first()
     return list(found[0] or []) if found else []
 
@@ -85,17 +90,17 @@ def salted_left_join(
     """Left join on one key with ``right`` unique per key, safe for keys holding much of ``left``.
 
     Rows of hot keys are spread by a hash of ``row_id`` (deterministic, so a retried task sends
-    each row the same way); only the few hot rows of ``right`` are repeated.
+    each row the same way); only the few hot rows of ``right`` are repeated. Rows without a key
+    match nothing and are spread over all tasks, however many they are.
     """
     right, proven = small(right)
     if proven:
         return left.join(F.broadcast(right), key, "left")
     hot = hot_keys(left, key)
-    if not hot:
-        return left.join(right, key, "left")
-    spread = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
-    one = F.lit(0)
-    left = left.withColumn("_salt", F.when(F.col(key).isin(hot), spread).otherwise(one))
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(one))
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    row = F.xxhash64(*row_id)
+    one = F.lit(0).cast("bigint")
+    salt = F.when(F.col(key).isNull(), row).when(is_hot, F.pmod(row, F.lit(salts))).otherwise(one)
+    copies = F.when(is_hot, F.sequence(one, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(one))
     right = right.withColumn("_salt", F.explode(copies))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.withColumn("_salt", salt).join(right, [key, "_salt"], "left").drop("_salt")

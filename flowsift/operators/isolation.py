@@ -10,11 +10,12 @@ import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsift.fixed_values import (
@@ -42,6 +43,22 @@ class IsolationModel:
     minimum: float = 0.0
     maximum: float = 0.0
 
+    @cached_property
+    def packed(self) -> tuple[Broadcast, int, int]:
+        """Node arrays, broadcast once per model, with the number of trees and nodes in a tree."""
+        table = self.nodes.orderBy("tree_id", "node_id").toPandas()  # at most trees x 511 rows
+        trees, width = int(table["tree_id"].max()) + 1, int(table["node_id"].max()) + 1
+        at = (table["tree_id"].to_numpy(), table["node_id"].to_numpy())
+
+        def grid(name: str, kind: type, empty: float) -> np.ndarray:
+            values = np.full((trees, width), empty, dtype=kind)
+            values[at] = table[name].to_numpy()
+            return values.ravel()
+
+        arrays = [grid(c, np.int32, -1) for c in ("feature", "left", "right")]
+        arrays += [grid(c, np.float64, 0.0) for c in ("threshold", "path")]
+        return self.nodes.sparkSession.sparkContext.broadcast(tuple(arrays)), trees, width
+
 
 def training_rows(df: DataFrame, label: str = "label_id") -> DataFrame:
     """Normal rows, or all rows when no normal row exists; empty input is an error."""
@@ -73,10 +90,12 @@ def _draw(df: DataFrame, features: str, row_id: str, trees: int, wanted: int, ro
         pool = pool.where(uniform(F.lit(seed), key) < pool_share)
     pool_rows = rows * pool_share
     tree_share = min(1.0, DRAW_FACTOR * wanted / pool_rows + 64.0 / pool_rows)
-    hashed = pool.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_u", uniform(F.lit(seed + 1), "_k", "_t")
+    # trees that draw the row are picked inside an array: no row is copied for a tree without it
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("_t"), uniform(F.lit(seed + 1), F.col("_k"), t).alias("_u")),
     )
-    offered = hashed.where(F.col("_u") < tree_share)
+    offered = pool.select("_k", "_x", F.inline(F.filter(draws, lambda d: d["_u"] < tree_share)))
     # each tree is offered about four times what it keeps: a bounded group
     rank = F.row_number().over(Window.partitionBy("_t").orderBy("_u", "_k"))
     return offered.withColumn("_r", rank).where(F.col("_r") <= wanted)
@@ -137,24 +156,11 @@ def score(
     model: IsolationModel, df: DataFrame, features: str = "scaled_features", out: str = "isolation_score"
 ) -> DataFrame:
     """Adds the raw decision score (lower is more anomalous) and ``isolation_outlier``."""
-    table = model.nodes.orderBy("tree_id", "node_id").toPandas()  # at most trees x 511 rows
-    trees = int(table["tree_id"].max()) + 1
-    width = int(table["node_id"].max()) + 1
-    shape = (trees, width)
-    at = (table["tree_id"].to_numpy(), table["node_id"].to_numpy())
-
-    def grid(name: str, kind: type, empty: float) -> np.ndarray:
-        values = np.full(shape, empty, dtype=kind)
-        values[at] = table[name].to_numpy()
-        return values.ravel()
-
-    feature, left, right = (grid(c, np.int32, -1) for c in ("feature", "left", "right"))
-    threshold, path = grid("threshold", np.float64, 0.0), grid("path", np.float64, 0.0)
+    shared, trees, width = model.packed
     start = np.arange(trees, dtype=np.int64) * width
     levels = math.ceil(math.log2(max(model.rows_per_tree, 2)))
     scale = float(average_path(model.rows_per_tree))
     offset = model.offset
-    shared = df.sparkSession.sparkContext.broadcast((feature, left, right, threshold, path))
 
     @F.arrow_udf("double")
     def decision(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from flowsift.fixed_values import EXTERNAL_COLUMNS
 from flowsift.functions.labels import add_family
-from flowsift.operators import tickets
-from flowsift.operators.bounded import shared_dir, use_all_cores
-from flowsift.plans import bindings as B, jobs
+from flowsift.operators import artifact, tickets
+from flowsift.operators.bounded import shared_dir
+from flowsift.plans import bindings as B, jobs, live
 from flowsift.plans.registry import query, table
 from flowsift.schema import LABELLED_CONNECTION, MODEL_INPUTS
 from flowsift.sources import files, manifest, replay
@@ -72,7 +72,7 @@ SELECT event_id AS id, {_NAME_SQL} AS event_id,
 )
 def envelope_parse(spark, sf):
     """Envelope, record and flat forms; null connection; missing, nested, bad and unreadable input."""
-    messages = use_all_cores(_messages(spark, sf), "id")
+    messages = _messages(spark, sf)
     parsed = envelope.parse(messages, inputs=INPUTS, now=F.lit("now"))
     return parsed.select(
         "id", "event_id", "source_ip", "source", "problem",
@@ -104,7 +104,7 @@ def json_records(spark, sf):
 
 
 def _replayed(spark, sf):
-    rows = use_all_cores(B.connections(spark, sf), "event_id")
+    rows = B.connections(spark, sf)
     return replay.replay_frame(rows, "event_id", observed_at=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
@@ -229,6 +229,32 @@ def stream_summary(spark, sf):
     )
 
 
+@query(
+    "stream_model",
+    "SELECT printf('nsl-kdd-%06d', event_id) AS event_id, TRUE AS same_verdict, TRUE AS same_evidence FROM events",
+)
+def stream_model(spark, sf):
+    """A model trained once at the start triages a stream; every event gets the batch job's verdict."""
+    folder = shared_dir(spark, "triage")
+    rows = B.connections(spark, sf)
+    envelope.publish_frame(_replayed(spark, sf)).select("value").repartition(8).write.text(f"{folder}/inbox")
+    messages = run.read_json_lines(spark, f"{folder}/inbox", files_per_trigger=4)
+    options = {"forest_options": {"trees": 10, "depth": 6}, "isolation_options": {"trees": 50}}
+    live.start(messages, folder, training=add_family(rows), row_id="event_id", train_options=options).awaitTermination()
+    found = artifact.load(spark, f"{folder}/model")
+    batch = jobs.analyze(found, _replayed(spark, sf).select("event_id", "source_ip", "connection.*"))
+    pick = ["event_id", "predicted_class", "alert_reason", "evidence_json"]
+    live_rows = tickets.load(spark, f"{folder}/tickets").select(*[F.col(c).alias(f"_{c}") for c in pick])
+    both = batch.select(*pick, "fused_anomaly").join(live_rows, F.col("event_id") == F.col("_event_id"), "full")
+    same = (F.col("predicted_class") == F.col("_predicted_class")) & (F.col("alert_reason") == F.col("_alert_reason"))
+    stored = F.col("_event_id").isNotNull()
+    return both.select(
+        F.coalesce("event_id", "_event_id").alias("event_id"),
+        ((F.col("fused_anomaly") == stored) & (~stored | same)).alias("same_verdict"),
+        (~stored | (F.col("evidence_json") == F.col("_evidence_json"))).alias("same_evidence"),
+    )
+
+
 # ---- files ------------------------------------------------------------------------------------
 
 _FAMILY_OF_K = """CASE WHEN k < 40 THEN 'normal' WHEN k < 60 THEN 'dos' WHEN k < 75 THEN 'probe' WHEN k < 90 THEN 'r2l' ELSE 'u2r' END"""

@@ -15,7 +15,7 @@ from flowsift.fixed_values import (
 )
 from flowsift.functions import drivers, evidence, ticket_check, ticket_text
 from flowsift.operators import enrich, tickets
-from flowsift.operators.bounded import shared_dir, stored, use_all_cores
+from flowsift.operators.bounded import shared_dir, stored
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
@@ -28,7 +28,7 @@ def _alerts(spark, sf):
     """Alert rows with an evidence bundle whose attributions come from a fixed rule."""
     values = F.array(*[F.col(c).cast("double") for c in DRIVER_NAMES])
     weights = F.array(F.lit(0.375), -F.col("value") / 4000, F.lit(0.0))
-    alerts = use_all_cores(B.scored(spark, sf).where("fused_anomaly"), "event_id")
+    alerts = B.scored(spark, sf).where("fused_anomaly")
     alerts = alerts.withColumn("top", drivers.top_drivers(weights, values, DRIVER_NAMES))
     return evidence.build(alerts, B.THRESHOLD, "rule", "top")
 
@@ -200,7 +200,7 @@ def extract_response(spark, sf):
     made = F.lit(None).cast("string")
     for i, shape in enumerate(shapes):
         made = F.when(F.col("doc_id") % 6 == i, shape).otherwise(made)
-    rows = use_all_cores(table(spark, sf, "documents"), "doc_id").withColumn("response", made)
+    rows = table(spark, sf, "documents").withColumn("response", made)
     return ticket_check.extract(rows, "response").select("doc_id", F.md5("candidate").alias("hash"))
 
 
@@ -234,7 +234,7 @@ def sanitize_evidence(spark, sf):
         F.lit(',"rf_confidence":'), value, F.lit(',"isolation_forest_score":'), value,
         F.lit(',"top_shap_drivers":['), driver, F.lit(',5,"x",null,'), driver, F.lit(","), driver, F.lit("]}"),
     )
-    events = use_all_cores(B.events(spark, sf), "event_id").withColumn("b", bundle)
+    events = B.events(spark, sf).withColumn("b", bundle)
     rows = evidence.sanitize_json(events, "b", F.col("source_ip"))
     s = F.col("safe")
     first = F.get(s["top_drivers"], F.lit(0))
@@ -401,6 +401,35 @@ def ip_enrich(spark, sf):
     return found.select("event_id", "ip_report")
 
 
+_ORDER_IP = """'10.' || CAST({0} // 65536 % 256 AS VARCHAR) || '.' || CAST({0} // 256 % 256 AS VARCHAR) || '.' || CAST({0} % 256 AS VARCHAR)"""
+
+
+@query(
+    "ip_enrich_unknown",
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN 'IP: ' || {_ORDER_IP.format('l_orderkey')}
+  || ' | Abuse Score: 7/100 | ISP: Net ' || CAST(o_custkey AS VARCHAR) || ' | Total Reports (90 days): 1'
+  ELSE 'Invalid IP address supplied; reputation lookup was not performed.' END AS ip_report
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
+)
+def ip_enrich_unknown(spark, sf):
+    """Nine in ten sources are unknown, against a snapshot too big to broadcast at full size."""
+
+    def address(key):
+        part = lambda n: F.floor(F.col(key) / n) % 256
+        return F.concat_ws(".", F.lit("10"), *[part(n).cast("string") for n in (65536, 256, 1)])
+
+    snapshot = table(spark, sf, "orders").select(
+        address("o_orderkey").alias("ip"),
+        F.lit(7).alias("abuse_score"),
+        F.concat(F.lit("Net "), F.col("o_custkey").cast("string")).alias("isp"),
+        F.lit(1).alias("total_reports"),
+    )
+    source = F.when(F.col("l_orderkey") % 10 == 0, address("l_orderkey")).otherwise("unknown")
+    alerts = table(spark, sf, "lineitem").withColumn("source_ip", source)
+    found = enrich.ip_reputation(alerts, snapshot, "source_ip", ["l_orderkey", "l_linenumber"])
+    return found.select("l_orderkey", "l_linenumber", "ip_report")
+
+
 @query(
     "top_cves",
     """WITH cves AS (SELECT *, TIMESTAMP '2024-06-01' - to_days(CAST(p_size * 5 AS INTEGER)) AS published FROM part),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowsift.functions import drivers, evidence
 from flowsift.functions.labels import add_family
 from flowsift.operators import balance, features, forest, isolation, shap, split
-from flowsift.operators.bounded import shared_dir, use_all_cores
+from flowsift.operators.bounded import shared_dir
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
@@ -249,7 +249,7 @@ def shap_local_accuracy(spark, sf):
     "SELECT event_id, TRUE AS in_range, TRUE AS risk_in_range, TRUE AS flag_matches_score FROM events",
 )
 def isolation_scores(spark, sf):
-    rows = use_all_cores(B.connections(spark, sf), "event_id")
+    rows = B.connections(spark, sf)
     data = add_family(rows)
     model = features.fit(rows)
     ready = model.apply(data)
@@ -297,6 +297,36 @@ def analysis_verdicts(spark, sf):
     )
 
 
+REJECTED_FIELDS = """CASE event_id % 10 WHEN 1 THEN 'src_bytes' WHEN 2 THEN 'src_bytes' WHEN 3 THEN 'src_bytes'
+  WHEN 4 THEN 'src_bytes' WHEN 5 THEN 'dst_bytes,count' END"""
+
+
+@query(
+    "analysis_rejects",
+    f"""SELECT event_id, {REJECTED_FIELDS} AS bad_fields, event_id % 10 NOT BETWEEN 1 AND 5 AS analysed FROM events""",
+)
+def analysis_rejects(spark, sf):
+    """Missing, infinite, NaN and text numbers go to the rejects table with their fields; the rest get verdicts."""
+    rows = B.connections(spark, sf)
+    n = F.col("event_id") % 10
+    spoiled = F.when(n == 2, "Infinity").when(n == 3, "NaN").when(n == 4, "many").otherwise(F.col("src_bytes").cast("string"))
+    bad = rows.withColumns(
+        {
+            "src_bytes": F.when(n != 1, spoiled),
+            "dst_bytes": F.when(n != 5, F.col("dst_bytes")),
+            "count": F.when(n != 5, F.col("count")),
+        }
+    )
+    found = jobs.train(
+        add_family(rows), "event_id", forest_options=SMALL_FOREST, isolation_options={"trees": 50}
+    )
+    rejects = shared_dir(spark, "rejects")
+    done = jobs.analyze(found, bad, rejects=rejects)
+    kept = done.select("event_id", F.lit(None).cast("string").alias("bad_fields"), F.col("verdict").isNotNull().alias("analysed"))
+    refused = spark.read.parquet(rejects).select("event_id", F.array_join("bad_fields", ","), F.lit(False))
+    return kept.unionAll(refused)
+
+
 @query("artifact_roundtrip", "SELECT event_id, TRUE AS same_score FROM events")
 def artifact_roundtrip(spark, sf):
     """Scores of a trained model and of the same model read back agree on every row."""

@@ -35,7 +35,7 @@ from flowsift.operators import (
     transfer,
 )
 from flowsift.operators.artifact import Artifact
-from flowsift.operators.bounded import shared_dir, small, stored, use_all_cores
+from flowsift.operators.bounded import shared_dir, small, stored
 from flowsift.schema import NUMERIC
 
 # ---- training ---------------------------------------------------------------------------------
@@ -61,7 +61,6 @@ def train(
     calibration use the unbalanced rows.
     """
     threshold = unit_interval(threshold, "isolation threshold")
-    df = use_all_cores(df, row_id)
     model = features.fit(df, numbers, categorical)
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
     ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
@@ -123,33 +122,49 @@ def analyze(
     detected_at: Column | None = None,
     explain_normal: bool = False,
     spread: bool = True,
+    rejects: str | None = None,
+    packed: shap.Packed | None = None,
 ) -> DataFrame:
     """Scores rows, explains alerts, and writes their tickets.
 
+    With ``rejects``, rows whose numbers are missing, not numbers or not finite are written to
+    that folder with their ``bad_fields`` and left out; without it such a row stops the job.
+    ``packed`` are the trees made ready by :func:`pack_trees`, so that many calls share them.
+
     ``df`` has the model inputs, ``source_ip`` and ``row_id``. Attribution costs far more than
     scoring and alerts come in bursts, so with ``spread`` the scored rows (without their features)
     are stored once, and only the alerts are shuffled, evenly by row identity, and explained.
     Without it everything happens in one narrow pass, which suits micro-batches.
     """
     artifacts.check_schema(found)
-    scored = score(found, use_all_cores(df, row_id) if spread else df)
+    if rejects is not None:
+        df, bad = features.split_valid(df, found.features.numeric)
+        bad.write.mode("overwrite").parquet(rejects)
+    scored = score(found, df)
     wanted = F.lit(True) if explain_normal else F.col("fused_anomaly")
     wide = ["raw_features", "scaled_features"]
     if spread:
         scored = stored(scored.drop(*wide), "scored")
         chosen = scored.where(wanted).repartition(F.xxhash64(row_id))
-        done = add_ticket(_explained(found, found.features.apply(chosen)).drop(*wide), detected_at)
+        done = add_ticket(_explained(found, found.features.apply(chosen), packed=packed).drop(*wide), detected_at)
         if explain_normal:
             return done
         rest = evidence.build(scored.where(~wanted), found.threshold, found.version)
         return done.unionByName(add_ticket(rest, detected_at))
     gated = scored.withColumn("_gated", F.when(wanted, F.col("scaled_features")))
-    return add_ticket(_explained(found, gated, "_gated").drop("_gated", *wide), detected_at)
+    return add_ticket(_explained(found, gated, "_gated", packed).drop("_gated", *wide), detected_at)
+
 
+def pack_trees(found: Artifact, spark: SparkSession) -> shap.Packed:
+    """The artifact's trees, ready for any number of ``analyze`` calls."""
+    return shap.pack(found.nodes(spark))
 
-def _explained(found: Artifact, df: DataFrame, values: str = "scaled_features") -> DataFrame:
+
+def _explained(
+    found: Artifact, df: DataFrame, values: str = "scaled_features", packed: shap.Packed | None = None
+) -> DataFrame:
     """Adds the evidence bundle with the top drivers of rows that have ``values``."""
-    out = shap.explain(df, found.nodes(df.sparkSession), values)
+    out = shap.explain(df, packed or found.nodes(df.sparkSession), values)
     top = drivers.top_drivers(F.col("shap"), F.col("raw_features"), found.features.names)
     explained = F.col("shap").isNotNull()
     out = out.withColumns(

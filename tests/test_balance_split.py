@@ -117,7 +117,7 @@ def test_salted_join_equals_plain_join(spark, monkeypatch):
     right = spark.range(0, 4000, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
     right = right.unionByName(spark.createDataFrame([(7, 70)], "key long, v long"))
     assert 7 in bounded.hot_keys(left, "key")
-    monkeypatch.setattr(bounded, "small", lambda df, max_rows=0: (df, False))
+    monkeypatch.setattr(bounded, "small", lambda df: (df, False))
     salted = bounded.salted_left_join(left, right, "key", ["id"]).select("id", "key", "v")
     plain = left.join(right, "key", "left").select("id", "key", "v")
     assert salted.count() == 4000 and salted.exceptAll(plain).isEmpty()
@@ -130,6 +130,38 @@ def test_small_tables_are_proven_by_rows(spark):
     assert joined.count() == 50
 
 
+def test_rows_without_a_key_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bounded, "small", lambda df: (df, False))
+    left = spark.range(8000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("key"))
+    right = spark.range(0, 8000, 20).select(F.col("id").alias("key"), F.lit(1).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = bounded.salted_left_join(left, right, "key", ["id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.count() == 8000 and joined.where("v = 1").count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert len(sizes) > 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_small_tables_are_bounded_by_bytes_and_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def wide(i):
+        calls.add(1)
+        return "x" * 1000
+
+    df = spark.range(100).select(wide("id").alias("t"))
+    table, proven = bounded.small(df, max_bytes=50_000)
+    assert not proven and table.count() == 100 and calls.value == 100
+    table.unpersist()
+    assert bounded.small(df, max_bytes=200_000)[1]
+
+
 @pytest.mark.parametrize("ids", ["id % 20", "if(id < 995, null, id)", "cast(null as long)"])
 def test_repeated_and_missing_ids_give_exact_counts(spark, monkeypatch, ids):
     monkeypatch.setattr(rank, "FINE_ROWS", 10)

@@ -129,6 +129,26 @@ def test_analysis_with_and_without_spreading_agree(spark, trained):
     assert normal and all(r["message"].startswith("Connection classified NORMAL") for r in normal)
 
 
+def test_rows_with_bad_numbers_go_to_the_rejects_table(spark, trained, tmp_path):
+    odd = F.when(F.col("event_id") == 1, F.lit(float("inf"))).when(F.col("event_id") == 2, F.lit(float("nan")))
+    rows = _connections(spark, 12, 6).withColumn("count", F.when(F.col("event_id") != 3, F.coalesce(odd, F.col("count"))))
+    folder = str(tmp_path / "rejects")
+    done = jobs.analyze(trained, rows, rejects=folder)
+    assert sorted(r["event_id"] for r in done.collect()) == [0, *range(4, 12)]
+    refused = {r["event_id"]: r["bad_fields"] for r in spark.read.parquet(folder).collect()}
+    assert refused == {i: ["count"] for i in (1, 2, 3)}
+    with pytest.raises(Exception, match="count holds a missing or non-finite number"):
+        jobs.analyze(trained, rows, spread=False).select("message").collect()
+
+
+def test_packed_trees_give_the_same_attributions(spark, trained):
+    scored = jobs.score(trained, _connections(spark, 30, 8))
+    packed = jobs.pack_trees(trained, spark)
+    a, b = (shap.explain(scored, x).select("event_id", "shap", "base_value") for x in (packed, trained.nodes(spark)))
+    assert a.collect() == b.collect() and trained.isolation.packed is trained.isolation.packed
+    packed.close()
+
+
 def test_bad_source_address_stops_an_alert(spark, trained):
     rows = _connections(spark, 8, 6).withColumn("source_ip", F.lit('127.0.0.1" | delete'))
     with pytest.raises(Exception, match="valid source IP"):
