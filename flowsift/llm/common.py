@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared place that ``spark.checkpoint.dir`` names (a local one if unset)."""
+    """A new folder name in the shared place that ``spark.checkpoint.dir`` names.
+
+    Only a session on this machine alone, as in tests, gets a local one where that is unset.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = f"file://{tempfile.gettempdir()}/flowsift"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

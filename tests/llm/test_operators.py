@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from flowsift.llm import chat, decontaminate, embeddings, minhash, packing, pages, quality, repeats, secrets, warc
+from flowsift.llm import chat, common, decontaminate, embeddings, minhash, packing, pages, quality, repeats, secrets, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -243,3 +243,17 @@ def test_deep_shallow_orders_like_sorted():
     groups = np.array([rng.randint(0, 3) for _ in strings])
     order, _ = repeats.deep_shallow(groups, strings)
     assert [(groups[k], strings[k]) for k in order] == sorted((g, s) for g, s in zip(groups, strings))
+
+
+def test_written_tables_need_a_shared_folder_on_a_cluster():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    def session(master, **conf):
+        return type("Session", (), {"conf": Conf(conf), "sparkContext": type("Context", (), {"master": master})})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.folder(session("spark://host:7077"), "t")
+    shared = session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/"})
+    assert common.folder(shared, "t").startswith("hdfs://shared/t-")
+    assert common.folder(session("local[2]"), "t").startswith("file://")
