@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsift.fixed_values import (
+    FENCE,
+    INDEX_SOURCE,
     MAX_QUERY_CHARS,
     MAX_TICKET_CHARS,
     READ_ONLY_COMMANDS,
@@ -15,10 +17,6 @@ from flowsift.functions import fmt
 from flowsift.functions.bind import let
 from flowsift.functions.text import body_lines, count_of, strip
 
-FENCE = r"(?is)```spl[ \t]*\r?\n(.*?)\r?\n```"
-INDEX_SOURCE = (
-    r"(?i)\A\s*(?:search\s+)?index\s*=\s*(?:\"[A-Za-z0-9_.:\-]+\"|[A-Za-z0-9_.:\-]+)(?:\s+|\z)"
-)
 BOUND_MARK, STRAY_MARK = "\u0001", "\u0002"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsift.fixed_values import (
     CATEGORICAL,
+    CROSS_PROTOCOL,
     EXTERNAL_COLUMNS,
     EXTERNAL_FAMILIES,
     FAMILIES,
@@ -18,6 +19,7 @@ from flowsift.fixed_values import (
     NORMAL_VERDICT,
     SEED,
     TRANSFER_FAMILIES,
+    TRANSFER_PROTOCOL,
 )
 from flowsift.functions import drivers, evidence, scoring, ticket_text
 from flowsift.functions.labels import family_name, label_id
@@ -253,7 +255,7 @@ def evaluate(
         marked = split.holdout(df, "attack_family", row_id, share, seed)
         fit_rows, test_rows = marked.where(~F.col("is_holdout")), marked.where("is_holdout")
     else:
-        protocol = "train on KDDTrain+, test on KDDTest+ (cross-distribution)"
+        protocol = CROSS_PROTOCOL
         fit_rows, test_rows = df, test
     found = train(fit_rows, row_id, seed=seed, **options)
     truth = label_id(F.col("attack_family"))
@@ -426,7 +428,7 @@ def transfer_payload(spark: SparkSession, tables: dict[str, DataFrame], rows: di
     """JSON-ready summary of a transfer run: protocol, mappings, row counts and all metric rows."""
     listed = {name: [r.asDict() for r in df.collect()] for name, df in tables.items()}  # metric rows
     return {
-        "protocol": "common-feature Random Forest, zero-tuning transfer",
+        "protocol": TRANSFER_PROTOCOL,
         "random_state": SEED,
         "common_features": EXTERNAL_COLUMNS,
         "label_mapping": EXTERNAL_FAMILIES,
