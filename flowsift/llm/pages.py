@@ -21,6 +21,7 @@ RAW = "script style noscript template svg math iframe object canvas select texta
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 MAIN = {"article", "main"}
+HOLDERS = MAIN | {"html", "body"}
 ASIDE = set("aside button dialog footer form head menu nav title".split())
 ASIDE_WORDS = set("ad ads advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ASIDE_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -111,12 +112,41 @@ def templates(pages: DataFrame) -> tuple[DataFrame, list[int]]:
     return _valid(by_host.where("host is not null")), list(common["template"]) if common else []
 
 
-def aside(name: str, attributes: dict[str, str], inside_main: bool) -> bool:
-    """Whether an element is beside the article, by its name, role, class or id."""
+def holders(found: list) -> set[int]:
+    """Places of the tags of html, body, main and article, and of the elements around them."""
+    places: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for at, (kind, name, extra, _) in enumerate(found):
+        if kind == "open":
+            if name in BLOCKS and stack and stack[-1][0] == "p":
+                stack.pop()
+            if name in BLOCKS or name in ASIDE or extra:
+                stack.append((name, at))
+            if name in HOLDERS:
+                for _, place in reversed(stack):
+                    if place in places:
+                        break  # so are those around it
+                    places.add(place)
+        elif kind == "end" and any(name == s[0] for s in stack):
+            while stack.pop()[0] != name:
+                pass
+    return places
+
+
+def aside(name: str, attributes: dict[str, str], inside_main: bool, holds_main: bool = False) -> bool:
+    """Whether an element is beside the article, by its name, role, class or id.
+
+    Class and id say nothing of an element that is or holds the article: there they name its layout.
+    A form around the article is one around the page.
+    """
+    if holds_main and name == "form":
+        return False
     if name in ASIDE or attributes.get("role", "").lower() in ASIDE_ROLES:
         return True
     if name == "header" and not inside_main:
         return True
+    if holds_main:
+        return False
     words = set(LETTERS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     return bool(words & ASIDE_WORDS) or not inside_main and bool(words & OUTER_WORDS)
 
@@ -128,6 +158,8 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
     an article or main element, its slots are the article, with all their texts; else every slot is,
     without the texts that the template holds.
     """
+    found = list(tokens(html))
+    around = holders(found)
     stack: list[tuple[str, bool, bool]] = []  # (name, beside, in main)
     blocks: tuple[list[str], list[str]] = ([], [])  # in main, elsewhere
     now: list[str] = []
@@ -140,7 +172,7 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
             blocks[place].append(text)
 
     seen_main = False
-    for kind, name, extra, token in tokens(html):
+    for at, (kind, name, extra, token) in enumerate(found):
         beside, inside = stack[-1][1:] if stack else (False, False)
         if kind == "text":
             if not beside and (inside or token_id(token) not in template):
@@ -158,7 +190,7 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
             if name in BLOCKS or name in ASIDE or extra:
                 within = inside or name in MAIN and not beside
                 seen_main |= within
-                stack.append((name, beside or aside(name, extra, inside), within))
+                stack.append((name, beside or aside(name, extra, inside, at in around), within))
         elif kind == "end" and any(name == s[0] for s in stack):
             while stack.pop()[0] != name:
                 pass

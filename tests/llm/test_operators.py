@@ -192,6 +192,17 @@ def test_pages(spark):
     assert got[9] == got[10] == "" and got[11] == "only\nonly\nonly"
 
 
+def test_pages_keep_articles_in_layouts_with_telling_names():
+    for open_, close in (
+        ('<html class="with-sidebar">', ""), ('<body class="has-sidebar">', ""), ('<body class="comments-open">', ""),
+        ('<div class="layout with-sidebar"><div id="social">', "</div></div>"), ('<form id="login">', "</form>"),
+    ):
+        for name in ("article", "main"):
+            page = f'{open_}<div class="sidebar">no</div><{name} class="post social"><p>yes</p></{name}>{close}'
+            assert pages.main_text(page, set()) == "yes", page
+    assert pages.main_text('<body class="has-sidebar"><div class="sidebar">no</div><p>yes</p></body>', set()) == "yes"
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a/é", "<p>x &amp; é</p><script>no</script>"), (2, None, None)]
     records = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
