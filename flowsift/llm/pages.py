@@ -41,12 +41,11 @@ def tokens(html: str):
     """``(kind, name, attributes, token)``: tags as open, void or end, and texts; the rest is left out.
 
     Two occurrences are the same token if names and class, id and role agree but for digits, or if
-    the texts agree but for white space.
+    the texts agree but for white space. A text of white space has an empty token.
     """
     for m in TOKEN.finditer(html):
         if m["text"] is not None:
-            if not m["text"].isspace():
-                yield "text", "", m["text"], " ".join(m["text"].split())
+            yield "text", "", m["text"], " ".join(m["text"].split())
         elif m["name"]:
             name = m["name"].lower()
             if m["end"]:
@@ -71,7 +70,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for first, texts in text_batches(batch, "html"):
             columns = [[] for _ in range(5)]
             for row, html in enumerate(texts, first):
-                counts = Counter((t[3], t[0] != "text") for t in tokens(html))
+                counts = Counter((t[3], t[0] != "text") for t in tokens(html) if t[3])
                 counts["", False] = 1  # the page itself
                 for (token, tag), n in counts.items():
                     for c, v in zip(columns, (hosts[row], keys[row], token_id(token) if token else 0, n, tag)):
@@ -175,9 +174,11 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
     for at, (kind, name, extra, token) in enumerate(found):
         beside, inside = stack[-1][1:] if stack else (False, False)
         if kind == "text":
-            if not beside and (inside or token_id(token) not in template):
+            if token and not beside and (inside or token_id(token) not in template):
                 place = 0 if inside else 1
                 now.append(extra)
+            else:
+                now.append(" ")  # words around white space and around what is left out stay apart
             continue
         if name == "br" or name not in BLOCKS and kind == "void":
             now.append(" ")

@@ -203,6 +203,13 @@ def test_pages_keep_articles_in_layouts_with_telling_names():
     assert pages.main_text('<body class="has-sidebar"><div class="sidebar">no</div><p>yes</p></body>', set()) == "yes"
 
 
+def test_pages_keep_words_apart():
+    for page in ("<p><b>one</b> <i>two</i>", "<a>one</a>\n<a>two</a>", "<p>one<b>\t</b>two", "<p>one<button>no</button>two"):
+        assert pages.main_text(page, set()) == "one two", page
+    assert pages.main_text("<p>o<b>n</b>e</p> <p> </p>", set()) == "one"
+    assert "" not in [t[3] for t in pages.tokens("<p>x</p>")] and [t[2] for t in pages.tokens("<b> </b>")][1] == " "
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a/é", "<p>x &amp; é</p><script>no</script>"), (2, None, None)]
     records = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
