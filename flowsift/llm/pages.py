@@ -17,7 +17,9 @@ LEAST_PAGES = 4
 SALTS = 32
 
 # HTML's element names and common names of page parts.
-RAW = "script style noscript template svg math iframe object canvas select textarea".split()
+RAW = "script style noscript iframe textarea".split()  # up to the end tag, or the page's end without one
+HIDDEN = "template object canvas select".split()  # from tag to end tag
+FOREIGN = "svg math".split()  # the same, but a tag may close itself
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 MAIN = {"article", "main"}
@@ -28,7 +30,9 @@ ASIDE_ROLES = set("alert banner complementary contentinfo dialog form menu menub
 OUTER_WORDS = set("footer header masthead".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<hidden>" + "|".join(HIDDEN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=hidden)\s*>"
+    r"|<(?P<foreign>" + "|".join(FOREIGN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?</(?P=foreign)\s*>)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

@@ -210,6 +210,17 @@ def test_pages_keep_words_apart():
     assert "" not in [t[3] for t in pages.tokens("<p>x</p>")] and [t[2] for t in pages.tokens("<b> </b>")][1] == " "
 
 
+def test_pages_go_on_after_elements_without_end_tag():
+    for page in (
+        '<p>a <svg class="i"/> rest of article', "<p>a <math/> rest of article", '<p>a <SVG><text>no</text></svg> rest of article',
+        "<p>a <svg><use href='/>'/></svg> rest of article", "<p>a <svg-icon></svg-icon> rest of article", "<p>a <select> rest of article",
+        '<p>a <svg/> rest <svg><text>no</text></svg> of article',
+    ):
+        assert pages.main_text(page, set()) == "a rest of article", page
+    for name in ("script", "style", "noscript", "iframe", "textarea"):
+        assert pages.main_text(f"<p>a<{name}/> no <p>no", set()) == "a"
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a/é", "<p>x &amp; é</p><script>no</script>"), (2, None, None)]
     records = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
