@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import html as references
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,26 +15,18 @@ from flowsift.llm.common import by_value, on_batches
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
-#: what makes text of a page, in this order: pattern, replacement
-TEXT_STEPS = (
-    (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<script\b.*?</script\s*>", " "),
-    (r"(?is)<style\b.*?</style\s*>", " "),
-    (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-    (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+", ""),
-    (r"[ \n]+$", ""),
+# HTML's element names. A quote counts in a tag only where a value begins.
+LINES = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+"
+#: what isn't text: comments, scripts and styles, tags that begin a line, other tags
+MARKUP = re.compile(
+    r"(?P<gap><!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style)(?=[\s/>])" + ATTRIBUTES + r">.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+    r"|(?P<line></?(?:" + LINES + r")(?=[\s/>])(?:" + ATTRIBUTES + r">|[^>]*(?:>|\Z)))"
+    r"|</?[a-z](?:" + ATTRIBUTES + r">|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
+    re.S | re.I,
 )
+SPACES = re.compile(r"[ \t\r\f\xa0]+")
+NEW_LINES = re.compile(r" ?\n[ \n]*")
 
 
 def record_id(*parts: Column) -> Column:
@@ -56,10 +50,25 @@ def responses(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     )
 
 
+def text_of(page: str) -> str:
+    """The text of a page: lines of its blocks, with every character reference decoded once.
+
+    Spaces that don't break are spaces. A comment, script or style without an end lasts to the end
+    of the page, and so does a tag without one.
+    """
+    parts, at = [], 0
+    for m in MARKUP.finditer(page):
+        parts += [references.unescape(page[at : m.start()]), " " if m["gap"] else "\n" if m["line"] else ""]
+        at = m.end()
+    parts.append(references.unescape(page[at:]))
+    return NEW_LINES.sub("\n", SPACES.sub(" ", "".join(parts))).strip(" \n")
+
+
 def plain_text(body: Column) -> Column:
-    for pattern, new in TEXT_STEPS:
-        body = F.regexp_replace(body, F.lit(pattern), F.lit(new))
-    return body
+    def convert(pages: pa.Array) -> pa.Array:
+        return pa.array((text_of(page.as_py()) if page.is_valid else None for page in pages), pa.string())
+
+    return F.arrow_udf(convert, "string")(body)
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def derive(records: DataFrame) -> DataFrame:
     parts = records.select(
         "source_id", F.col("record_id").alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date",
         head.alias("head"), body.alias("body"), digest(block).alias("source_block_digest"), digest(body).alias("source_payload_digest"),
-    )
+    ).withColumn("text", plain_text(F.col("body")))
     fields = F.concat(
         F.lit("source-status: "), F.substring_index("head", CRLF, 1), F.lit(CRLF),
         F.regexp_replace(F.when(F.instr("head", CRLF) > 0, F.concat(F.expr(f"substring(head, instr(head, '\\r\\n') + 2)"), F.lit(CRLF))).otherwise(F.lit("")), r"(?m)^([^\r\n:]+):", "source-header-$1:"),
@@ -89,7 +98,7 @@ def derive(records: DataFrame) -> DataFrame:
     )
     both = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("body")).alias("block")),
+        F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
     rows = parts.select("source_id", "refers_to", "target_uri", "date", "source_block_digest", "source_payload_digest", F.explode(both).alias("r"))
     rows = rows.select("source_id", "r.type", record_id(F.col("r.type"), F.col("refers_to")).alias("record_id"), "refers_to", "target_uri", "date", "r.content_type", "r.block", "source_block_digest", "source_payload_digest")
