@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from flowsift.llm.common import by_value, on_batches, stored, text_batches
 #: a host with fewer pages is read with the template of all pages
 LEAST_PAGES = 4
 SALTS = 32
+#: templates of more hosts, or of more characters, are joined and not broadcast
+MOST_HOSTS = 20_000
+MOST_BYTES = 16_000_000
 
 # HTML's element names and common names of page parts.
 RAW = "script style noscript iframe textarea".split()  # up to the end tag, or the page's end without one
@@ -66,53 +70,237 @@ def token_id(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class TagIds(dict):
+    """Ids of tags, each worked out once."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = token_id(token)
+        return self[token]
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """``(host, page, token, n, tag)``: how often each token occurs in each page."""
+    """``(host, page, token, n, first, tag)``: how often each token occurs in each page, and where first."""
 
     def make(batch):
-        hosts, keys = batch.column("host").to_pylist(), batch.column("page").to_pylist()
+        hosts, keys, known = batch.column("host").to_pylist(), batch.column("page").to_pylist(), TagIds()
         for first, texts in text_batches(batch, "html"):
-            columns = [[] for _ in range(5)]
+            columns = [[] for _ in range(6)]
             for row, html in enumerate(texts, first):
-                counts = Counter((t[3], t[0] != "text") for t in tokens(html) if t[3])
-                counts["", False] = 1  # the page itself
-                for (token, tag), n in counts.items():
-                    for c, v in zip(columns, (hosts[row], keys[row], token_id(token) if token else 0, n, tag)):
+                counts: dict[tuple[str, bool], list[int]] = {("", False): [1, 0]}  # the page itself
+                for at, t in enumerate(tokens(html)):
+                    if t[3]:
+                        counts.setdefault((t[3], t[0] != "text"), [0, at])[0] += 1
+                for (token, tag), (n, at) in counts.items():
+                    key = (known[token] if tag else token_id(token)) if token else 0
+                    for c, v in zip(columns, (hosts[row], keys[row], key, n, at, tag)):
                         c.append(v)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "token", "n", "tag"])
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "token", "n", "first", "tag"])
 
-    return pages.mapInArrow(on_batches(make), "host string, page long, token long, n int, tag boolean")
+    return pages.mapInArrow(on_batches(make), "host string, page long, token long, n int, first long, tag boolean")
 
 
-def _valid(vectors: DataFrame) -> DataFrame:
-    """``(host, template)``: tokens of the classes that make up each host's template.
+def _candidates(vectors: DataFrame) -> DataFrame:
+    """``(host, classes)``: token classes of each host, the most frequent first, ``(-pages, vector, (place, token))``.
 
-    Tokens of one occurrence vector are a class. A class is valid if it has several tokens, a tag
-    among them, and is on at least half of the pages; the class of the whole page and the classes
-    nested between its tokens together are the template.
+    Tokens of one occurrence vector are a class. It is a candidate if it has several tokens, a tag
+    among them, and is on at least half of the pages. ``place`` sums up where a token is first: as
+    tokens of a class are on the same pages, an ordered class has its order by it.
     """
     pages = vectors.where("token = 0").select("host", F.col("pages").alias("all"))
-    classes = vectors.where("token != 0").groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("members"), F.max("tag").alias("tag"))
+    classes = vectors.where("token != 0").groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members"), F.max("tag").alias("tag"))
     classes = classes.join(pages, "host").where(f"all >= {LEAST_PAGES} and 2 * pages >= all and tag and size(members) > 1")
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
+    return classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), "vector", "members"))).alias("classes"))
+
+
+def out_of_order(places: list[int]) -> list[int]:
+    """Indexes outside of a longest increasing run of ``places``."""
+    ends, tails, before = [], [], []
+    for i, place in enumerate(places):
+        k = bisect_left(ends, place)
+        before.append(tails[k - 1] if k else -1)
+        ends[k : k + 1], tails[k : k + 1] = [place], [i]
+    kept, i = set(), tails[-1] if tails else -1
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return [i for i in range(len(places)) if i not in kept]
+
+
+class Classes:
+    """Candidate classes of a host, and what its pages say of them, token by token."""
+
+    def __init__(self, classes: list[dict]):
+        self.members = [[m["token"] for m in c["members"]] for c in classes]
+        self.of = {t: c for c, members in enumerate(self.members) for t in members}
+        self.unordered: set[int] = set()
+        self.crossing: set[int] = set()
+        self.around: dict[int, set[int]] = {}
+
+    def read(self, ids: list[int]) -> None:
+        """Checks the classes on a page, given the ids of its tokens in their order."""
+        at: dict[int, list[int]] = {}
+        for i, key in enumerate(ids):
+            if key in self.of:
+                at.setdefault(key, []).append(i)
+        line: list[tuple[int, int, int, int]] = []  # (place, class, index, token)
+        last = {}
+        for c, members in enumerate(self.members):
+            here = [t for t in members if t in at]
+            times = min((len(at[t]) for t in here), default=0)
+            wrong = out_of_order([at[t][k] for k in range(times) for t in here])
+            wrong = {here[i % len(here)] for i in wrong}
+            self.unordered |= wrong
+            here = [t for t in here if t not in wrong]
+            last[c] = len(here) - 1
+            line += [(at[t][k], c, j, t) for k in range(times) for j, t in enumerate(here)]
+        crossing: set[int] = set()
+        stack: list[tuple[int, int]] = []  # (class, slot)
+        for _, c, j, token in sorted(line):
+            if c in crossing:
+                continue
+            if not j:
+                self.around.setdefault(c, set()).add(stack[-1][1] if stack else 0)
+            else:
+                while stack[-1][0] > c:  # a class of fewer pages gives way
+                    crossing.add(stack.pop()[0])
+                if stack[-1][0] != c:
+                    crossing.add(c)
+                    stack = [x for x in stack if x[0] != c]
+                    continue
+                stack.pop()
+            if j < last[c]:
+                stack.append((c, token))
+        self.crossing |= crossing
+
+    def rows(self, host):
+        for t, c in self.of.items():
+            around = self.around.get(c) or {None}
+            yield host, t, c, t in self.unordered, c in self.crossing or len(around) > 1, next(iter(around))
+
+
+READ = "host string, token long, class int, unordered boolean, crossing boolean, around long"
+SUMS = "host string, token long, text long, link long"
+
+
+def decide(rows: list[dict]) -> list[int]:
+    """Template tokens of a host.
+
+    Left out are tokens that break the order of their class, and classes that cross one before them,
+    are not always in the same slot of another or have a single token left.
+    """
+    left = Counter(r["class"] for r in rows if not r["unordered"])
+    return [r["token"] for r in rows if not r["unordered"] and not r["crossing"] and left[r["class"]] > 1]
+
+
+def _with(rows: DataFrame, table: DataFrame, column: str, make, schema: str) -> DataFrame:
+    """``make(batch, of)`` on all rows; ``of(row)`` is what ``table`` has for the row's host, or None.
+
+    A table proven small is broadcast. Otherwise pages meet it by host and salt, so a host with most
+    of the pages is spread over tasks.
+    """
+    hosts, size = table.agg(F.count("*"), F.sum(F.length(F.to_json(column)))).first()
+    if hosts <= MOST_HOSTS and (size or 0) <= MOST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast({r["host"]: r[column] for r in table.toArrow().to_pylist()})
+
+        def simple(batch):
+            names, all_ = batch.column("host").to_pylist(), shared.value
+            return make(batch, lambda row: all_.get(names[row]))
+
+        return rows.mapInArrow(on_batches(simple), schema)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
+    def met(batch):
+        names, values, known = batch.column("host").to_pylist(), batch.column(column), {}
+
+        def of(row):
+            if names[row] not in known:
+                known[names[row]] = values[row].as_py()
+            return known[names[row]]
 
+        return make(batch, of)
 
-def templates(pages: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The template of each host, and that of all pages taken together.
+    return joined.drop("salt").mapInArrow(on_batches(met), schema)
+
+
+def _read(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """What pages say of their host's classes, and of those of all pages, as host ''."""
+
+    def make(batch, of):
+        hosts, keys, found = batch.column("host").to_pylist(), TagIds(), {}
+        for first, texts in text_batches(batch, "html"):
+            for row, html in enumerate(texts, first):
+                name, own = hosts[row], of(row)
+                if own is None:
+                    continue
+                if name not in found:
+                    found[name] = Classes(own)
+                found[name].read([token_id(t[3]) if t[0] == "text" else keys[t[3]] for t in tokens(html)])
+        types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
+        columns = list(zip(*(r for name, c in found.items() for r in c.rows(name)))) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in READ.split(", ")])
+
+    return _with(rows, classes, "classes", make, READ)
+
+
+def _weighed(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """``(host, found)``: the template and the tokens whose slots are lists of links.
+
+    A slot is such a list if most of its text on all pages is links and another slot holds more text.
+    """
+
+    def make(batch, of):
+        hosts, known, made, sums = batch.column("host").to_pylist(), TagIds(), {}, {}
+        for first, texts in text_batches(batch, "html"):
+            for row, html in enumerate(texts, first):
+                name = hosts[row]
+                if name not in made:
+                    made[name] = frozenset(of(row) or ())
+                if made[name]:
+                    main_text(html, made[name], known=known, sums=sums.setdefault(name, {}))
+        columns = list(zip(*((name, t, *x) for name, slots in sums.items() for t, x in slots.items()))) or [()] * 4
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "token", "text", "link"])
+
+    slots = _with(rows, own, "template", make, SUMS).groupBy("host", "token").agg(F.sum("text").alias("text"), F.sum("link").alias("link"))
+    slots = slots.groupBy("host").agg(F.max("text").alias("most"), F.collect_list(F.struct("token", "text", "link")).alias("slots"))
+    links = F.expr("transform(filter(slots, s -> s.token != 0 and 2 * s.link > s.text and s.text < most), s -> s.token)")
+    joined = own.join(slots.select("host", links.alias("links")), "host", "left")
+    none = F.array().cast("array<bigint>")
+    return stored(joined.select("host", F.struct("template", F.coalesce("links", none).alias("links")).alias("found")), "templates")
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, tuple[list[int], list[int]]]:
+    """``(host, found)`` with the template of each host, and that of all pages taken together.
 
     An occurrence vector is known by the exclusive or of a hash of page and count, which is combined
     before the shuffle: a host with most of the pages costs each task a row per token. Half of the
-    pages hold each token, so a template is at most twice as long as a page on average.
+    pages hold each token, so a template is at most twice as long as a page on average. All pages are
+    read again to check order and nesting of the classes, and once more for the texts of their slots.
     """
     found = occurrences(pages)
     by_host = found.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("tag").alias("tag")
+        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("tag").alias("tag"), F.sum("first").alias("place")
     )
     by_host = stored(by_host, "tokens")
-    whole = by_host.groupBy("token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"))
-    common = _valid(whole.withColumn("host", F.lit(""))).first()
-    return _valid(by_host.where("host is not null")), list(common["template"]) if common else []
+    whole = by_host.groupBy("token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"), F.sum("place").alias("place"))
+    classes = stored(_candidates(by_host.where("host is not null")).unionByName(_candidates(whole.withColumn("host", F.lit("")))), "classes")
+    everyone = pages.withColumn("host", F.lit(""))
+    read = _read(pages, classes.where("host != ''")).unionByName(_read(everyone, classes.where("host = ''")))
+    read = read.groupBy("host", "token", "class").agg(
+        F.max("unordered").alias("unordered"), F.expr("max(crossing) or coalesce(min(around) != max(around), false)").alias("crossing")
+    )
+    read = read.groupBy("host").agg(F.collect_list(F.struct("token", "class", "unordered", "crossing")).alias("rows"))
+
+    def make(batch):
+        made = [decide(r.as_py()) for r in batch.column("rows")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.list_(pa.int64()))], ["host", "template"])
+
+    own = stored(read.mapInArrow(on_batches(make), "host string, template array<long>").where("size(template) > 0"), "templates")
+    common = _weighed(everyone, own.where("host = ''")).first()
+    own = _weighed(pages, own.where("host != ''"))
+    return own, (list(common.found.template), list(common.found.links)) if common else ([], [])
 
 
 def holders(found: list) -> set[int]:
@@ -154,16 +342,20 @@ def aside(name: str, attributes: dict[str, str], inside_main: bool, holds_main:
     return bool(words & ASIDE_WORDS) or not inside_main and bool(words & OUTER_WORDS)
 
 
-def main_text(html: str, template: frozenset[int] | set[int]) -> str:
+def main_text(html: str, template: frozenset[int] | set[int], links: frozenset[int] | set[int] = frozenset(), known: TagIds | None = None, sums: dict | None = None) -> str:
     """Blocks of the slots that hold the article, one to a line.
 
-    Slots lie between template tokens and outside of elements beside the article. Where the page has
-    an article or main element, its slots are the article, with all their texts; else every slot is,
-    without the texts that the template holds.
+    Slots lie between template tokens and outside of elements beside the article. ``links`` are the
+    tokens whose slots are lists of links on the host's pages: those are left out, but for an article
+    element, which the page itself calls the article. Where the page has an article or main element,
+    its slots are the article, with the texts that the template holds; else every slot is, without them.
+    ``sums`` takes up the characters of each slot, and those in links.
     """
+    known = TagIds() if known is None else known
     found = list(tokens(html))
     around = holders(found)
     stack: list[tuple[str, bool, bool]] = []  # (name, beside, in main)
+    slot, articles, linked = 0, 0, False
     blocks: tuple[list[str], list[str]] = ([], [])  # in main, elsewhere
     now: list[str] = []
     place = 1
@@ -177,13 +369,23 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
     seen_main = False
     for at, (kind, name, extra, token) in enumerate(found):
         beside, inside = stack[-1][1:] if stack else (False, False)
+        key = known[token] if kind != "text" else token_id(token)
+        if key in template:
+            slot = key
         if kind == "text":
-            if token and not beside and (inside or token_id(token) not in template):
+            mine = token and not beside and (inside or key not in template)
+            if mine and sums is not None:
+                held = sums.setdefault(slot, [0, 0])
+                held[0] += len(token)
+                held[1] += len(token) * linked
+            if mine and (articles or slot not in links):
                 place = 0 if inside else 1
                 now.append(extra)
             else:
                 now.append(" ")  # words around white space and around what is left out stay apart
             continue
+        if name == "a":
+            linked = kind != "end"
         if name == "br" or name not in BLOCKS and kind == "void":
             now.append(" ")
         elif name in BLOCKS:
@@ -195,10 +397,14 @@ def main_text(html: str, template: frozenset[int] | set[int]) -> str:
             if name in BLOCKS or name in ASIDE or extra:
                 within = inside or name in MAIN and not beside
                 seen_main |= within
+                articles += name == "article"
                 stack.append((name, beside or aside(name, extra, inside, at in around), within))
         elif kind == "end" and any(name == s[0] for s in stack):
-            while stack.pop()[0] != name:
-                pass
+            while True:
+                closed = stack.pop()[0]
+                articles -= closed == "article"
+                if closed == name:
+                    break
     flush()
     return "\n".join(blocks[0] if seen_main and blocks[0] else [*blocks[0], *blocks[1]])
 
@@ -208,8 +414,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
 
     The host is the authority of the url in lower case; a null url or one without is of no host, and
     like hosts of few pages read with the template of all pages. Null and empty pages have an empty
-    text. Rows that are alike are pages of their own. Pages meet their template by host and salt, so
-    a host with most of the pages is spread over tasks.
+    text. Rows that are alike are pages of their own.
     """
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select(
@@ -217,21 +422,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         F.when(F.length(host) > 0, host).alias("host"), F.xxhash64(id_col, url, html).alias("page"),
     )
     own, common = templates(rows.select("host", "page", "html"))
-    salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     shared = pages.sparkSession.sparkContext.broadcast(common)
 
-    def make(batch):
-        everyone = frozenset(shared.value)
-        found = batch.column("template").to_pylist()
+    def make(batch, of):
+        everyone, known, made = tuple(map(frozenset, shared.value)), TagIds(), {}
+        hosts = batch.column("host").to_pylist()
         for first, htmls in text_batches(batch, "html"):
-            texts = [main_text(h, frozenset(found[row]) if found[row] is not None else everyone) for row, h in enumerate(htmls, first)]
+            texts = []
+            for row, h in enumerate(htmls, first):
+                name = hosts[row]
+                if name not in made:
+                    got = of(row)
+                    made[name] = (frozenset(got["template"]), frozenset(got["links"])) if got else everyone
+                texts.append(main_text(h, *made[name], known))
             n = len(texts)
             columns = [batch.column("page_id").slice(first, n), batch.column("url").slice(first, n), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "template").mapInArrow(on_batches(make), f"page_id {kind}, url string, text string, n_chars long")
+    return _with(rows, own, "found", make, f"page_id {kind}, url string, text string, n_chars long")
 
 
 by_value(__name__)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -221,6 +222,55 @@ def test_pages_go_on_after_elements_without_end_tag():
         assert pages.main_text(f"<p>a<{name}/> no <p>no", set()) == "a"
 
 
+def opaque_page(i):
+    links = lambda n, word: "".join(f"<li><a href=/>{word} {i} {k} of other pages</a></li>" for k in range(n))
+    text = "".join(f"<p>Paragraph {k} of {i}, <a href=/>linked {i}</a> and long enough to be most of page {i} as articles are.</p>" for k in range(3 + i % 3))
+    return f"<html><body><div class=ka><ul>{links(3 + i % 2, 'menu')}</ul></div><div class=kb><h1>Title {i}</h1>{text}</div><div class=kc><h3>More</h3><ul>{links(2 + i % 4, 'related')}</ul></div></body></html>"
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_pages_find_varying_menus_by_the_template_alone(spark, monkeypatch, most):
+    monkeypatch.setattr(pages, "MOST_HOSTS", most)  # broadcast and joined
+    rows = [(i, f"http://h.example/{i}", opaque_page(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        assert text.split("\n") == [f"Title {i}", *(f"Paragraph {k} of {i}, linked {i} and long enough to be most of page {i} as articles are." for k in range(3 + i % 3))]
+
+
+def classes_of(htmls, *members):
+    classes = pages.Classes([{"less": -len(htmls), "members": [{"place": p, "token": pages.token_id(t)} for p, t in enumerate(m)]} for m in members])
+    for html in htmls:
+        classes.read([pages.token_id(t[3]) for t in pages.tokens(html)])
+    rows = [dict(zip(("host", "token", "class", "unordered", "crossing", "around"), r)) for r in classes.rows("h")]
+    for r in rows:  # as the rows of all batches are combined
+        r["crossing"] |= len(classes.around[r["class"]]) > 1
+    return classes, rows
+
+
+def test_page_classes_are_checked_for_order_and_nesting():
+    rng = random.Random(5)
+    for _ in range(200):
+        places = rng.sample(range(50), rng.randint(0, 8))
+        wrong = pages.out_of_order(places)
+        left = [p for i, p in enumerate(places) if i not in wrong]
+        best = max(len(c) for n in range(9) for c in itertools.combinations(places, n) if list(c) == sorted(c))
+        assert left == sorted(left) and len(left) == best
+    body, b, i, u = ["<body >", "</body>"], ["<b >", "</b>"], ["<i >", "</i>"], ["<u >", "</u>"]
+    ids = lambda *tokens: {pages.token_id(t) for t in tokens}
+    # order: two tags swapped on one page only
+    classes, rows = classes_of(["<body><hr><br></body>", "<body><br><hr></body>"], ["<body >", "<hr >", "<br >", "</body>"])
+    assert len(classes.unordered) == 1 and classes.unordered < ids("<hr >", "<br >")
+    assert ids(*body) < set(pages.decide(rows)) and len(pages.decide(rows)) == 3
+    # nesting: the later of two that cross is out, one that is in two slots of another, too
+    _, rows = classes_of(["<body><b>x<i>y</b>z</i></body>"], body, b, i)
+    assert set(pages.decide(rows)) == ids(*body, *b)
+    _, rows = classes_of(["<body><b>x<u>y</u></b><i></i></body>", "<body><b>x</b><u>y</u><i></i></body>"], body, b, i, u)
+    assert set(pages.decide(rows)) == ids(*body, *b, *i)
+    # repeated and nested ones stay
+    _, rows = classes_of(["<body><b>x<i>1</i><i>2</i></b></body>", "<body><b>x<i>3</i></b></body>"], body, b, i)
+    assert set(pages.decide(rows)) == ids(*body, *b, *i)
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a/é", "<p>x &amp; é</p><script>no</script>"), (2, None, None)]
     records = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
