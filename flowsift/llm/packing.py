@@ -84,8 +84,12 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(vocabulary)  # for pieces of texts that hold no added token
+        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kinds = _classes()
+        self.checked = np.zeros(0x110000, bool)
+        self.checked[:128] = self.checked[0xD800:0xE000] = True
         self.clear()
 
     def clear(self) -> None:
@@ -95,18 +99,39 @@ class Ids:
         self.pool, self.used = np.zeros(POOL, np.uint32), 0
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        made = self.plain.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(pieces))
         return np.array(made.ids, np.uint32), counts.astype(np.int32)
 
+    def check(self, codes: np.ndarray) -> None:
+        """Code points not met before get the kind that the tokenizer's own tables have."""
+        seen = np.zeros(0x110000, bool)
+        seen[codes] = True
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for code in np.flatnonzero(seen & ~self.checked).tolist():
+            self.kinds[code] = next((k for k, c in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(cut(c + chr(code))) == 1), WHITE)
+            self.checked[code] = True
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+        """All ids, and the number of ids of each text; one with an added token goes through the tokenizer whole."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.encode_plain(texts)
+        own = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in whole}
+        ids, counts = self.encode_plain(["" if i in own else t for i, t in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, part in own.items():
+            parts[i], counts[i] = part, len(part)
+        return np.concatenate(parts), counts
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lens = np.array([len(t) for t in texts], np.int64)
         bounds = np.concatenate([[0], np.cumsum(lens)])
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        self.check(codes)
         starts = np.flatnonzero(token_starts(codes, bounds, self.kinds))
         ends = np.append(starts[1:], len(codes))
         hashes = span_hashes(codes.astype(np.uint64) + np.uint64(1), starts, ends) | np.uint64(1)

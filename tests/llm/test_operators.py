@@ -185,6 +185,15 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_packing_has_the_tokenizers_ids_of_added_tokens_and_rare_code_points():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    rare = "".join(map(chr, [*range(0x80, 0xD800, 7), 0x208F, 0xA7CE, *range(0x1C80, 0x1C90), *range(0x2EBF0, 0x2EC00), *range(0x323B0, 0x323C0)]))
+    texts = ["a<|endoftext|> b", "", "<|endoftext|><|endoftext|>", *(f"x{c}y 1{c}2 {c} !{c}{c}" for c in rare), "plain"]
+    ids, counts = packing.Ids(VOCABULARY).encode(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href=/>{n}</a></nav><div class='ad-box'>buy</div><article><h1>H {n} &amp; x</h1><p>a <b>b</b>\n c<br>d<p>same</article><div id=comments><p>me</div><footer>&copy;</footer>"
     rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(6)] + [(9, None, None), (10, "x", ""), (11, "http://h.example/9", "<p>only " * 3)]
