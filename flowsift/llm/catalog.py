@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowsift.llm import chat, decontaminate, embeddings, minhash, packing, pages, quality, repeats, secrets, warc
+from flowsift.llm import chat, codes, decontaminate, embeddings, minhash, packing, pages, quality, repair, repeats, secrets, tiers, warc
 from flowsift.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -59,5 +60,18 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return repeats.report(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_vector_code_compression(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_tiered_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return tiers.report(tiers.pack_documents(docs, public_tokenizers.path(WORD_VOCABULARY)))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
