@@ -2,100 +2,140 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.llm.common import by_value, on_batches, stored, text_batches
-from flowsift.llm.grams import LOWER, SOLID, VALUES, span_hashes
+from flowsift.llm.grams import SOLID, VALUES, span_hashes
 
 #: window sizes, each a power of two; a document's tier is the least window that holds it
 CONTEXTS = (2048, 1024, 512, 256)
 #: tokens of a step group
 STEP_TOKENS = 1 << 16
 END_ID = 1
-#: chunks whose ids a task remembers, and the bytes of the longest of them
-KNOWN = 1 << 20
+#: slots for chunks that a task remembers, ids it keeps for them, and the bytes of the longest of them
+SLOTS = 1 << 20
+POOL = 1 << 23
 LONG_CHUNK = 96
-#: signs that end a word: a new piece begins where one follows an ASCII letter or digit
-STOPS = np.zeros(256, bool)
-STOPS[[ord(c) for c in ".,;:!?"]] = True
+#: ASCII signs that are neither in contractions nor in the added tokens of usual vocabularies
+SIGNS = np.zeros(256, bool)
+SIGNS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = True
+#: ASCII letters and digits
 PLAIN = np.zeros(256, bool)
-PLAIN[48:58] = PLAIN[97:123] = True
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = True
+#: lead bytes of the letters from U+00C0 to U+023F, but for two signs, and U+0130, whose lower case ends in a mark
+LEADS = np.zeros(256, bool)
+LEADS[0xC3:0xC9] = True
+#: runs of the same letters: one word whatever is around it
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u023f]+")
 _made: dict = {}
 
 
+def byte_signs() -> dict[int, int]:
+    """The published byte-level alphabet: printable Latin-1 characters stand for their byte, others come from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in shown else 256 + k for k, b in enumerate([*(b for b in range(256) if b not in shown), *shown])}
+
+
+def chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks of UTF-8 bytes begin and end: runs of signs and of letters, cut where that is sure.
+
+    Chunks end at ASCII white space, and where an ASCII sign meets a letter or digit before it, or
+    an ASCII letter or digit behind it. Apostrophes and bars don't cut: they may belong to a
+    contraction or an added token.
+    """
+    solid = SOLID[data]
+    sign, plain = SIGNS[data], PLAIN[data]
+    letter = plain.copy()
+    tail = LEADS[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    letter[1:] |= tail & ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | (sign[1:] & letter[:-1]) | (plain[1:] & sign[:-1])
+    ends = solid.copy()
+    ends[:-1] &= ~solid[1:] | begins[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 class Encoder:
     """Token ids of many texts for a tokenizer that drops white space and never joins across it.
 
-    Texts are cut at ASCII white space, and before a sign of ``STOPS`` behind an ASCII letter or
-    digit; no token, normal form or added token of such a tokenizer reaches across. Each new chunk
-    goes through the tokenizer, known ones are looked up by hash; a full table is begun anew.
+    Texts are cut into chunks that no token, normal form or added token of such a tokenizer reaches
+    across. Ids of chunks met before are looked up by hash, a slot holds the last chunk of its hash;
+    new and long ones go through the tokenizer. The table changes the time only; a full pool is begun anew.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.signs = byte_signs()
+        letters = [chr(c) for c in range(0x240) if WORD.fullmatch(chr(c))]
+        words = [*letters, *(a + b for a, b in zip(letters, letters[1:])), "".join(letters[:80])]
+        self.direct = all(self._word(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
         self.clear()
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word of Latin letters, where the tokenizer lower-cases and is a byte-level one."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(self.signs))]
+
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.rows, self.used = 0, 0
-        self.at, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-
-    def _learn(self, chunks: list[str]) -> np.ndarray:
-        """New rows for chunks, in their order."""
-        made = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(chunks))
-        total = len(made.ids)
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.at, self.count = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool and numbers of ids of new chunks."""
+        direct = [bool(self.direct and WORD.fullmatch(p)) for p in pieces]
+        words = [self._word(p) for p, d in zip(pieces, direct) if d]
+        made = self.tokenizer.encode([p for p, d in zip(pieces, direct) if not d], is_pretokenized=True, add_special_tokens=False)
+        direct = np.array(direct)
+        counts = np.empty(len(pieces), np.int64)
+        counts[direct] = [len(w) for w in words]
+        counts[~direct] = np.bincount(np.array(made.word_ids, np.int64), minlength=int((~direct).sum()))
+        total = int(counts.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.rows + len(chunks) > len(self.at):
-            self.at, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.count))
-        self.pool[self.used : self.used + total] = made.ids
-        rows = np.arange(self.rows, self.rows + len(chunks))
-        self.at[rows], self.count[rows] = self.used + np.cumsum(counts) - counts, counts
-        self.rows, self.used = self.rows + len(chunks), self.used + total
-        return rows
+        own = np.repeat(direct, counts)
+        new = self.pool[self.used : self.used + total]
+        new[own], new[~own] = list(chain.from_iterable(words)), made.ids
+        places = self.used + np.cumsum(counts) - counts
+        self.used += total
+        return places, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         blob = b" ".join([*raw, b""])
-        exact = np.frombuffer(blob, np.uint8)
-        solid = SOLID[exact]
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1] | (STOPS[exact[1:]] & PLAIN[LOWER[exact[:-1]]])
-        ends = solid.copy()
-        ends[:-1] &= ~solid[1:] | begins[1:]
-        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        data = np.frombuffer(blob, np.uint8)
+        starts, ends = chunks(data)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if self.rows > KNOWN or self.used > 8 * KNOWN:
+        if self.used > POOL:
             self.clear()
+        names = span_hashes(VALUES[data], starts, ends) | np.uint64(1)
+        slots = (names >> np.uint64(44)).astype(np.int64)
         long = ends - starts > LONG_CHUNK
-        short = np.flatnonzero(~long)
-        names, one, back = np.unique(span_hashes(VALUES[exact], starts, ends)[short], return_index=True, return_inverse=True)
-        keys = names.tolist()
-        known = np.fromiter((self.slots.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(known < 0)
-        asked = np.concatenate([short[one[new]], np.flatnonzero(long)])
-        if len(asked):
-            made = self._learn([blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[asked].tolist(), ends[asked].tolist())])
-            known[new] = made[: len(new)]
-            self.slots.update(zip((keys[k] for k in new.tolist()), made.tolist()))
-        rows = np.empty(len(starts), np.int64)
-        rows[short] = known[back]
+        at, counts = self.at[slots], self.count[slots]
+        unknown = np.flatnonzero((self.keys[slots] != names) & ~long)
+        long = np.flatnonzero(long)
+        _, one, back = np.unique(names[unknown], return_index=True, return_inverse=True)
+        new = unknown[one]
+        asked = np.concatenate([new, long])
         if len(asked):
-            rows[long] = made[len(new) :]
-        counts = self.count[rows]
+            places, sizes = self._learn([blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[asked].tolist(), ends[asked].tolist())])
+            at[unknown], counts[unknown] = places[: len(new)][back], sizes[: len(new)][back]
+            at[long], counts[long] = places[len(new) :], sizes[len(new) :]
+            last = np.unique(slots[new][::-1], return_index=True)[1]
+            last = len(new) - 1 - last
+            self.keys[slots[new[last]]], self.at[slots[new[last]]], self.count[slots[new[last]]] = names[new[last]], places[last], sizes[last]
         shift = np.cumsum(counts) - counts
-        ids = self.pool[np.arange(int(counts.sum())) + np.repeat(self.at[rows] - shift, counts)]
+        ids = self.pool[np.arange(int(counts.sum())) + np.repeat(at - shift, counts)]
         done = np.concatenate([[0], np.cumsum(counts)])
         bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
         return ids, np.diff(done[np.searchsorted(starts, bounds)])
@@ -107,11 +147,17 @@ def _encoder(vocabulary: str) -> Encoder:
     return _made[vocabulary]
 
 
+def _kind(vocabulary: str) -> str:
+    return "<u2" if _encoder(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, id_col: str, text: str | Column, vocabulary: str, window: int, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, start, length, doc_tokens, ids_crc32, ids)``: each document in pieces of ``window`` tokens and a rest.
 
-    A document is its ids and the end id. ``ids`` are little-endian unsigned 32-bit numbers.
+    A document is its ids and the end id. ``ids`` are little-endian unsigned numbers, of 16 bits in
+    vocabularies that fit, else of 32; ``ids_crc32`` is that of 32-bit numbers.
     """
+    kind = _kind(vocabulary)
 
     def make(batch):
         encoder = _encoder(vocabulary)
@@ -121,11 +167,11 @@ def tokenized(docs: DataFrame, id_col: str, text: str | Column, vocabulary: str,
             at = 0
             out: list[list] = [[] for _ in range(6)]
             for row, n in enumerate(counts.tolist(), first):
-                own = np.append(ids[at : at + n], end_id).astype("<u4").tobytes()
+                own = np.append(ids[at : at + n], end_id).astype("<u4")
                 at += n
                 for start in range(0, n + 1, window):
-                    part = own[4 * start : 4 * (start + window)]
-                    for column, value in zip(out, (names[row], start, len(part) // 4, n + 1, zlib.crc32(part), part)):
+                    part = own[start : start + window]
+                    for column, value in zip(out, (names[row], start, len(part), n + 1, zlib.crc32(part.tobytes()), part.astype(kind).tobytes())):
                         column.append(value)
             types = [*[pa.int64()] * 5, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
@@ -279,9 +325,11 @@ class Places:
         return self.size[tier], self.before[tier] + (window - self.first[tier]) % self.groups[tier]
 
 
-def pack(pieces: DataFrame, contexts: tuple[int, ...] = CONTEXTS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(pieces: DataFrame, contexts: tuple[int, ...] = CONTEXTS, step_tokens: int = STEP_TOKENS, kind: str = "<u4") -> DataFrame:
     """``pieces`` cut and placed: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, context, step_group, ids)``.
 
+    ``ids`` are numbers of the numpy type ``kind``.
+
     Only the number of pieces of each length, at most the longest context's, comes to the driver;
     the plan that goes back depends on the lengths and hardly on how often they occur. Ranks within a
     length are counted in shards by a hash of the row, so no length, however frequent, is in one
@@ -302,11 +350,14 @@ def pack(pieces: DataFrame, contexts: tuple[int, ...] = CONTEXTS, step_tokens: i
         rank, length, start = (batch.column(c).to_numpy().astype(np.int64) for c in ("_rank", "length", "start"))
         row, first, tokens, sequence, offset = places.find(length, rank)
         context, group = places.group(sequence)
-        raw = batch.column("ids")
-        parts = [raw[r].as_py()[4 * a : 4 * b] for r, a, b in zip(row.tolist(), first.tolist(), (first + tokens).tolist())]
+        raw, crcs, width = batch.column("ids"), batch.column("ids_crc32").to_numpy()[row].tolist(), np.dtype(kind).itemsize
+        parts = [raw[r].as_py() for r in row.tolist()]
+        for k in np.flatnonzero(tokens != length[row]).tolist():  # pieces that are cut
+            parts[k] = parts[k][width * int(first[k]) : width * int(first[k] + tokens[k])]
+            crcs[k] = zlib.crc32(np.frombuffer(parts[k], kind).astype("<u4").tobytes())
         own = batch.select(["doc_id", "doc_tokens"]).take(pa.array(row))
         columns = [
-            own.column("doc_id"), pa.array(start[row] + first), pa.array(tokens), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+            own.column("doc_id"), pa.array(start[row] + first), pa.array(tokens), pa.array(crcs, pa.int64()),
             own.column("doc_tokens"), pa.array(sequence), pa.array(offset), pa.array(context.astype(np.int32)), pa.array(group), pa.array(parts, pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
@@ -325,7 +376,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     alike, and rows of one id, are packed each by itself. No rows give no rows.
     """
     pieces = stored(tokenized(docs, id_col, text, vocabulary, contexts[0]), "pieces")
-    return pack(pieces, contexts, step_tokens)
+    return pack(pieces, contexts, step_tokens, _kind(vocabulary))
 
 
 def report(packed: DataFrame) -> DataFrame:
