@@ -1,4 +1,8 @@
-"""Main text of web pages: a template deduced from same-host pages, and what fills its slots."""
+"""Main text of web pages: a template deduced from same-host pages, and what fills its slots.
+
+Each page is cut into tokens once; what later steps need of them is a written table of token ids,
+flags and texts.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -19,50 +24,71 @@ SALTS = 32
 #: templates of more hosts, or of more characters, are joined and not broadcast
 MOST_HOSTS = 20_000
 MOST_BYTES = 16_000_000
+#: different tags that a task remembers
+TAGS = 50_000
 
 # HTML's element names and common names of page parts.
 RAW = "script style noscript iframe textarea".split()  # up to the end tag, or the page's end without one
-HIDDEN = "template object canvas select".split()  # from tag to end tag
-FOREIGN = "svg math".split()  # the same, but a tag may close itself
+HIDDEN = set("template object canvas select svg math".split())  # left out if there is an end tag
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 MAIN = {"article", "main"}
-HOLDERS = MAIN | {"html", "body"}
 ASIDE = set("aside button dialog footer form head menu nav title".split())
-ASIDE_WORDS = set("ad ads advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ASIDE_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: elements that may be page parts, and words of classes and ids that say so; the last few outside of the article only
+PARTS = set("article aside center details div dl fieldset footer form header main menu nav ol section table ul".split())
+ASIDE_WORDS = set("ad ads advert advertisement advertising adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 OUTER_WORDS = set("footer header masthead".split())
 
+# A value is quoted only right behind its "="; a quote elsewhere, as in title=don't, is a sign like any other.
+INSIDE_TAG = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<hidden>" + "|".join(HIDDEN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=hidden)\s*>"
-    r"|<(?P<foreign>" + "|".join(FOREIGN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?</(?P=foreign)\s*>)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    r"(?P<text>[^<]++)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + INSIDE_TAG + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|(?P<tag></?[a-zA-Z][a-zA-Z0-9:-]*+" + INSIDE_TAG + r">)|<[!?/][^>]*>|(?P<stray><)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)(.*)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 DIGITS = re.compile(r"\d+")
 LETTERS = re.compile(r"[a-z]+")
 
+# Bits of a token: a text; beside the article; in an article or main element; in a link; a block begins
+# or ends here; words on both sides are apart.
+TEXT, BESIDE, INSIDE, LINKED, BREAK, SPACE = (1 << k for k in range(6))
+# Bits of an element: beside by its name or role; a form; a header; article or main; html or body;
+# page part by a whole word of class or id, or by a word within one; the same outside of the article only.
+NAMED, FORM, HEADER, HOLDER, PAGE, WORD, PART_WORD, OUTER, PART_OUTER = (1 << k for k in range(9))
+
+
+def tag_parts(tag: str) -> tuple[str, str, dict[str, str], str]:
+    """``(kind, name, attributes, token)`` of a tag, which is open, void or end.
+
+    Two tags are the same token if names and class, id and role agree but for digits.
+    """
+    name, rest = TAG.match(tag).groups()
+    name = name.lower()
+    if tag[1] == "/":
+        return "end", name, {}, f"</{name}>"
+    found: dict[str, str] = {}
+    if "=" in rest:
+        for key, *values in ATTRIBUTE.findall(rest):
+            if key.lower() in ("class", "id", "role"):
+                found.setdefault(key.lower(), "".join(values))
+    label = " ".join(f"{k}={DIGITS.sub('#', v)}" for k, v in sorted(found.items()))
+    return "void" if name in VOID or rest.endswith("/") else "open", name, found, f"<{name} {label}>"
+
 
 def tokens(html: str):
     """``(kind, name, attributes, token)``: tags as open, void or end, and texts; the rest is left out.
 
-    Two occurrences are the same token if names and class, id and role agree but for digits, or if
-    the texts agree but for white space. A text of white space has an empty token.
+    Two texts are the same token if they agree but for white space; of one, ``attributes`` has the
+    text as it is. A text of white space has an empty token.
     """
     for m in TOKEN.finditer(html):
-        if m["text"] is not None:
-            yield "text", "", m["text"], " ".join(m["text"].split())
-        elif m["name"]:
-            name = m["name"].lower()
-            if m["end"]:
-                yield "end", name, "", f"</{name}>"
-            else:
-                found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["rest"])}
-                label = " ".join(f"{k}={DIGITS.sub('#', v)}" for k, v in sorted(found.items()))
-                kind = "void" if name in VOID or m["rest"].endswith("/") else "open"
-                yield kind, name, found, f"<{name} {label}>"
+        if m.lastgroup == "tag":
+            yield tag_parts(m[0])
+        elif m.lastgroup in ("text", "stray"):
+            yield "text", "", m[0], " ".join(m[0].split())
 
 
 def token_id(token: str) -> int:
@@ -70,34 +96,184 @@ def token_id(token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class TagIds(dict):
-    """Ids of tags, each worked out once."""
+def traits(name: str, attributes: dict[str, str]) -> int:
+    """What name, role, class and id of an element say."""
+    bits = NAMED * (name in ASIDE) | FORM * (name == "form") | HEADER * (name == "header") | HOLDER * (name in MAIN) | PAGE * (name in ("html", "body"))
+    if attributes.get("role", "").lower() in ASIDE_ROLES:
+        bits |= NAMED
+    if name in PARTS and (attributes.get("class") or attributes.get("id")):
+        label = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+        whole, parts = set(label.split()), set(LETTERS.findall(label))
+        bits |= WORD * bool(whole & ASIDE_WORDS) | PART_WORD * bool(parts & ASIDE_WORDS)
+        bits |= OUTER * bool(whole & OUTER_WORDS) | PART_OUTER * bool(parts & OUTER_WORDS)
+    return bits
+
+
+class Tags(dict):
+    """``(kind, name, id, bits, traits or None)`` of tags, each worked out once; None where it begins no element of its own."""
+
+    def __missing__(self, tag: str) -> tuple:
+        kind, name, attributes, token = tag_parts(tag)
+        own = traits(name, attributes)
+        element = name in BLOCKS or name in HIDDEN or bool(own & NAMED)
+        bits = BREAK if name in BLOCKS else SPACE if name == "br" or kind == "void" else 0
+        if len(self) >= TAGS:
+            self.clear()
+        self[tag] = kind, name, token_id(token), bits, own if element else None
+        return self[tag]
+
+
+def parse(html: str, tags: Tags) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``(ids, flags, texts)``: id and bits of every token, and the texts among them. A text of white space has id 0.
+
+    The article is the article and main elements below the fewest elements that class or id call
+    a page part, so that of a post's comments or of a list of related posts isn't one; if even
+    these are below such, only where they hold half of the text. Classes and ids say nothing of an
+    element that is or holds the article, nor do they empty a page; without article, a word within a
+    longer name doesn't leave out what holds most of the text either.
+    """
+    ids: list[int] = []
+    flags: list[int] = []
+    texts: list[str] = []
+    owner: list[int] = []
+    parent, bits, mass, names = [-1], [0], [0], [""]
+    stack, opened, linked = [0], Counter(), 0
+    found = [(m.lastgroup, m[0]) for m in TOKEN.finditer(html) if m.lastgroup in ("tag", "text", "stray")]
+    last_end = {}
+    for at, (group, token) in enumerate(found):
+        if group == "tag" and token[1] == "/":
+            last_end[tags[token][1]] = at
+    for at, (group, token) in enumerate(found):
+        if group != "tag":
+            bare = " ".join(token.split())
+            ids.append(token_id(bare) if bare else 0)
+            flags.append(TEXT | linked)
+            owner.append(stack[-1])
+            texts.append(token)
+            if not linked:
+                mass[stack[-1]] += len(bare)
+            continue
+        kind, name, key, own, element = tags[token]
+        if name == "a":
+            linked = 0 if kind == "end" else LINKED
+        if kind == "open" and element is not None:
+            if name in BLOCKS and names[stack[-1]] == "p":
+                opened[names[stack.pop()]] -= 1  # a paragraph ends where a block begins
+            if name not in HIDDEN or last_end.get(name, -1) > at:
+                parent.append(stack[-1])
+                bits.append(element | NAMED * (name in HIDDEN))
+                mass.append(0)
+                names.append(name)
+                stack.append(len(parent) - 1)
+                opened[name] += 1
+        ids.append(key)
+        flags.append(own)
+        owner.append(stack[-1])
+        if kind == "end" and opened[name]:
+            while True:
+                closed = names[stack.pop()]
+                opened[closed] -= 1
+                if closed == name:
+                    break
+    own_mass = list(mass)
+    for k in range(len(parent) - 1, 0, -1):
+        mass[parent[k]] += mass[k]
+    element_bits = _sides(parent, bits, mass)
+    shown = [m for m, e in zip(own_mass, element_bits) if not e & BESIDE]
+    if mass[0] and not any(shown):  # not by words alone
+        element_bits = _sides(parent, [b & ~(WORD | PART_WORD | OUTER | PART_OUTER) for b in bits], mass)
+    return np.array(ids, np.int64), np.array(flags, np.uint8) | np.array(element_bits, np.uint8)[np.array(owner, np.int64)], texts
+
+
+def _sides(parent: list[int], bits: list[int], mass: list[int]) -> list[int]:
+    """Per element whether it is beside the article, and inside."""
+    words = WORD | PART_WORD | OUTER | PART_OUTER
+    marks, named, candidates = [0], [False], []
+    for k in range(1, len(parent)):
+        own = bits[k]
+        marks.append(marks[parent[k]] + (bool(own & words) and not own & PAGE))
+        named.append(named[parent[k]] or bool(own & NAMED and not own & FORM))
+        if own & HOLDER and not named[k]:
+            candidates.append(k)
+    fewest = min((marks[k] for k in candidates), default=0)
+    mains = {k for k in candidates if marks[k] == fewest}
+    if fewest:
+        outermost, held = set(), 0
+        for k in sorted(mains):  # a main element's children come behind it
+            up = parent[k]
+            while up > 0 and up not in outermost:
+                up = parent[up]
+            if up <= 0:
+                outermost.add(k)
+                held += mass[k]
+        if 2 * held < mass[0]:
+            mains = set()
+    holds = set()
+    for k in mains:
+        while k > 0 and k not in holds:
+            holds.add(k)
+            k = parent[k]
+    sides = [0]
+    for k in range(1, len(parent)):
+        own, side = bits[k], sides[parent[k]]
+        if k in mains and not side & BESIDE:
+            side |= INSIDE
+        inside = side & INSIDE
+        if own & NAMED:
+            beside = not (own & FORM and k in holds)
+        elif own & HEADER and not inside:
+            beside = True
+        elif k in holds or own & PAGE:
+            beside = False
+        elif own & WORD or not inside and own & OUTER:
+            beside = True
+        else:
+            beside = (own & PART_WORD or not inside and own & PART_OUTER) and not (not mains and 2 * mass[k] > mass[0])
+        sides.append(side | BESIDE if beside else side)
+    return sides
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, host, page, ids, flags, texts)``: each page's tokens, read once."""
+
+    def make(batch):
+        tags = Tags()
+        for first, htmls in text_batches(batch, "html"):
+            made = [parse(h, tags) for h in htmls]
+            own = batch.slice(first, len(htmls))
+            columns = [own.column(c) for c in ("page_id", "url", "host", "page")]
+            columns += [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)] + [pa.array([m[2] for m in made], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page", "ids", "flags", "texts"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.mapInArrow(on_batches(make), f"page_id {kind}, url string, host string, page long, ids binary, flags binary, texts array<string>")
+
 
-    def __missing__(self, token: str) -> int:
-        self[token] = token_id(token)
-        return self[token]
+def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """``(host, page, token, n, first, tag)``: how often each token occurs in each page, and where first."""
+def occurrences(read: DataFrame) -> DataFrame:
+    """``(host, page, token, n, first, tag)``: how often each token occurs in each page, and where first; token 0 is the page itself."""
 
     def make(batch):
-        hosts, keys, known = batch.column("host").to_pylist(), batch.column("page").to_pylist(), TagIds()
-        for first, texts in text_batches(batch, "html"):
-            columns = [[] for _ in range(6)]
-            for row, html in enumerate(texts, first):
-                counts: dict[tuple[str, bool], list[int]] = {("", False): [1, 0]}  # the page itself
-                for at, t in enumerate(tokens(html)):
-                    if t[3]:
-                        counts.setdefault((t[3], t[0] != "text"), [0, at])[0] += 1
-                for (token, tag), (n, at) in counts.items():
-                    key = (known[token] if tag else token_id(token)) if token else 0
-                    for c, v in zip(columns, (hosts[row], keys[row], key, n, at, tag)):
-                        c.append(v)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "token", "n", "first", "tag"])
-
-    return pages.mapInArrow(on_batches(make), "host string, page long, token long, n int, first long, tag boolean")
+        ids = _arrays(batch.column("ids"), np.int64)
+        sizes = np.array([len(i) for i in ids])
+        page = np.repeat(np.arange(len(ids)), sizes)
+        at = np.arange(len(page)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = np.concatenate(ids)
+        text = np.concatenate(_arrays(batch.column("flags"), np.uint8)) & TEXT
+        some = np.flatnonzero(key)
+        page, at, key, text = (np.concatenate([a[some], b]) for a, b in ((page, np.arange(len(ids))), (at, np.zeros(len(ids), np.int64)), (key, np.zeros(len(ids), np.int64)), (text, np.full(len(ids), TEXT, np.uint8))))
+        order = np.lexsort((at, key, page))
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(page[order]) != 0) | (np.diff(key[order]) != 0)]))
+        one = order[begins]
+        n = np.diff(np.append(begins, len(order)))
+        owners = batch.select(["host", "page"]).take(pa.array(page[one]))
+        columns = [*owners.columns, pa.array(key[one]), pa.array(n.astype(np.int32)), pa.array(at[one]), pa.array(text[one] == 0)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "n", "first", "tag"])
+
+    return read.select("host", "page", "ids", "flags").mapInArrow(on_batches(make), "host string, page long, token long, n int, first long, tag boolean")
 
 
 def _candidates(vectors: DataFrame) -> DataFrame:
@@ -133,10 +309,15 @@ class Classes:
     def __init__(self, classes: list[dict]):
         self.members = [[m["token"] for m in c["members"]] for c in classes]
         self.of = {t: c for c, members in enumerate(self.members) for t in members}
+        self.tokens = np.sort(np.array(list(self.of), np.int64))
         self.unordered: set[int] = set()
         self.crossing: set[int] = set()
         self.around: dict[int, set[int]] = {}
 
+    def only(self, ids: np.ndarray) -> list[int]:
+        """The class tokens among a page's, in their order."""
+        return ids[in_template(ids, self.tokens)].tolist()
+
     def read(self, ids: list[int]) -> None:
         """Checks the classes on a page, given the ids of its tokens in their order."""
         at: dict[int, list[int]] = {}
@@ -224,189 +405,157 @@ def _with(rows: DataFrame, table: DataFrame, column: str, make, schema: str) ->
     return joined.drop("salt").mapInArrow(on_batches(met), schema)
 
 
-def _read(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """What pages say of their host's classes, and of those of all pages, as host ''."""
+def _read(rows: DataFrame, classes: DataFrame, everyone: list[dict] | None) -> DataFrame:
+    """What pages say of the classes of their host, and of those of all pages, as host ''."""
 
     def make(batch, of):
-        hosts, keys, found = batch.column("host").to_pylist(), TagIds(), {}
-        for first, texts in text_batches(batch, "html"):
-            for row, html in enumerate(texts, first):
-                name, own = hosts[row], of(row)
-                if own is None:
-                    continue
-                if name not in found:
-                    found[name] = Classes(own)
-                found[name].read([token_id(t[3]) if t[0] == "text" else keys[t[3]] for t in tokens(html)])
+        hosts, found = batch.column("host").to_pylist(), {}
+        for row, ids in enumerate(_arrays(batch.column("ids"), np.int64)):
+            name = hosts[row]
+            if name not in found:
+                found[name] = Classes(own) if (own := of(row)) is not None else None
+            if "" not in found:
+                found[""] = Classes(everyone) if everyone else None
+            for group in (found[name], found[""]):
+                if group is not None:
+                    group.read(group.only(ids))
         types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
-        columns = list(zip(*(r for name, c in found.items() for r in c.rows(name)))) or [()] * len(types)
+        columns = list(zip(*(r for name, c in found.items() if c is not None for r in c.rows(name)))) or [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in READ.split(", ")])
 
-    return _with(rows, classes, "classes", make, READ)
+    return _with(rows.select("host", "page", "ids"), classes, "classes", make, READ)
+
+
+def in_template(ids: np.ndarray, template: np.ndarray) -> np.ndarray:
+    if not len(template):
+        return np.zeros(len(ids), bool)
+    return template[np.minimum(np.searchsorted(template, ids), len(template) - 1)] == ids
+
 
+def slots(ids: np.ndarray, flags: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(texts, slot, mine)``: places of the texts; the template token before each, or 0; whether it may be the article's.
 
-def _weighed(rows: DataFrame, own: DataFrame) -> DataFrame:
+    A text beside the article isn't, nor one of white space, nor one outside of it that the template holds.
+    """
+    held = in_template(ids, template)
+    last = np.maximum.accumulate(np.where(held, np.arange(len(ids)), -1)) if len(ids) else np.zeros(0, np.int64)
+    at = np.flatnonzero(flags & TEXT)
+    slot = np.where(last[at] >= 0, ids[last[at]], 0)
+    mine = (ids[at] != 0) & (flags[at] & BESIDE == 0) & ((flags[at] & INSIDE > 0) | ~held[at])
+    return at, slot, mine
+
+
+def _weighed(rows: DataFrame, own: DataFrame, everyone: list[int]) -> DataFrame:
     """``(host, found)``: the template and the tokens whose slots are lists of links.
 
     A slot is such a list if most of its text on all pages is links and another slot holds more text.
     """
+    common = np.sort(np.array(everyone, np.int64))
 
     def make(batch, of):
-        hosts, known, made, sums = batch.column("host").to_pylist(), TagIds(), {}, {}
-        for first, texts in text_batches(batch, "html"):
-            for row, html in enumerate(texts, first):
-                name = hosts[row]
-                if name not in made:
-                    made[name] = frozenset(of(row) or ())
-                if made[name]:
-                    main_text(html, made[name], known=known, sums=sums.setdefault(name, {}))
-        columns = list(zip(*((name, t, *x) for name, slots in sums.items() for t, x in slots.items()))) or [()] * 4
+        hosts, made, sums = batch.column("host").to_pylist(), {"": common}, {}
+        ids, flags = _arrays(batch.column("ids"), np.int64), _arrays(batch.column("flags"), np.uint8)
+        for row, sizes in enumerate(batch.column("sizes")):
+            name, size = hosts[row], np.asarray(sizes.values)
+            if name not in made:
+                made[name] = np.sort(np.array(of(row) or (), np.int64))
+            for host in (name, ""):
+                if len(made[host]):
+                    at, slot, mine = slots(ids[row], flags[row], made[host])
+                    link = (flags[row][at] & LINKED > 0) * size
+                    held = sums.setdefault(host, {})
+                    for key in np.unique(slot[mine]).tolist():
+                        here = mine & (slot == key)
+                        total = held.setdefault(key, [0, 0])
+                        total[0] += int(size[here].sum())
+                        total[1] += int(link[here].sum())
+        columns = list(zip(*((name, t, *x) for name, found in sums.items() for t, x in found.items()))) or [()] * 4
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "token", "text", "link"])
 
-    slots = _with(rows, own, "template", make, SUMS).groupBy("host", "token").agg(F.sum("text").alias("text"), F.sum("link").alias("link"))
-    slots = slots.groupBy("host").agg(F.max("text").alias("most"), F.collect_list(F.struct("token", "text", "link")).alias("slots"))
+    narrow = rows.select("host", "page", "ids", "flags", F.transform("texts", F.length).alias("sizes"))
+    weights = _with(narrow, own, "template", make, SUMS).groupBy("host", "token").agg(F.sum("text").alias("text"), F.sum("link").alias("link"))
+    weights = weights.groupBy("host").agg(F.max("text").alias("most"), F.collect_list(F.struct("token", "text", "link")).alias("slots"))
     links = F.expr("transform(filter(slots, s -> s.token != 0 and 2 * s.link > s.text and s.text < most), s -> s.token)")
-    joined = own.join(slots.select("host", links.alias("links")), "host", "left")
+    every = own.sparkSession.createDataFrame([("", everyone)], "host string, template array<long>")
+    joined = own.union(every).join(weights.select("host", links.alias("links")), "host", "left")
     none = F.array().cast("array<bigint>")
     return stored(joined.select("host", F.struct("template", F.coalesce("links", none).alias("links")).alias("found")), "templates")
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, tuple[list[int], list[int]]]:
+def templates(read: DataFrame) -> tuple[DataFrame, tuple[list[int], list[int]]]:
     """``(host, found)`` with the template of each host, and that of all pages taken together.
 
     An occurrence vector is known by the exclusive or of a hash of page and count, which is combined
     before the shuffle: a host with most of the pages costs each task a row per token. Half of the
-    pages hold each token, so a template is at most twice as long as a page on average. All pages are
-    read again to check order and nesting of the classes, and once more for the texts of their slots.
+    pages hold each token, so a template is at most twice as long as a page on average. Token ids are
+    read again to check order and nesting of the classes, and once more for the texts of their slots;
+    both times each page serves its host's template and that of all pages.
     """
-    found = occurrences(pages)
+    found = occurrences(read)
     by_host = found.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("tag").alias("tag"), F.sum("first").alias("place")
     )
     by_host = stored(by_host, "tokens")
     whole = by_host.groupBy("token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.max("tag").alias("tag"), F.sum("place").alias("place"))
     classes = stored(_candidates(by_host.where("host is not null")).unionByName(_candidates(whole.withColumn("host", F.lit("")))), "classes")
-    everyone = pages.withColumn("host", F.lit(""))
-    read = _read(pages, classes.where("host != ''")).unionByName(_read(everyone, classes.where("host = ''")))
-    read = read.groupBy("host", "token", "class").agg(
+    every = classes.where("host = ''").first()
+    checked = _read(read, classes.where("host != ''"), every.asDict(recursive=True)["classes"] if every else None)
+    checked = checked.groupBy("host", "token", "class").agg(
         F.max("unordered").alias("unordered"), F.expr("max(crossing) or coalesce(min(around) != max(around), false)").alias("crossing")
     )
-    read = read.groupBy("host").agg(F.collect_list(F.struct("token", "class", "unordered", "crossing")).alias("rows"))
+    checked = checked.groupBy("host").agg(F.collect_list(F.struct("token", "class", "unordered", "crossing")).alias("rows"))
 
     def make(batch):
         made = [decide(r.as_py()) for r in batch.column("rows")]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.list_(pa.int64()))], ["host", "template"])
 
-    own = stored(read.mapInArrow(on_batches(make), "host string, template array<long>").where("size(template) > 0"), "templates")
-    common = _weighed(everyone, own.where("host = ''")).first()
-    own = _weighed(pages, own.where("host != ''"))
-    return own, (list(common.found.template), list(common.found.links)) if common else ([], [])
+    own = stored(checked.mapInArrow(on_batches(make), "host string, template array<long>").where("size(template) > 0"), "templates")
+    every = own.where("host = ''").first()
+    weighed = _weighed(read, own.where("host != ''"), list(every.template) if every else [])
+    common = weighed.where("host = ''").first()
+    return weighed.where("host != ''"), (list(common.found.template), list(common.found.links))
 
 
-def holders(found: list) -> set[int]:
-    """Places of the tags of html, body, main and article, and of the elements around them."""
-    places: set[int] = set()
-    stack: list[tuple[str, int]] = []
-    for at, (kind, name, extra, _) in enumerate(found):
-        if kind == "open":
-            if name in BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in BLOCKS or name in ASIDE or extra:
-                stack.append((name, at))
-            if name in HOLDERS:
-                for _, place in reversed(stack):
-                    if place in places:
-                        break  # so are those around it
-                    places.add(place)
-        elif kind == "end" and any(name == s[0] for s in stack):
-            while stack.pop()[0] != name:
-                pass
-    return places
-
-
-def aside(name: str, attributes: dict[str, str], inside_main: bool, holds_main: bool = False) -> bool:
-    """Whether an element is beside the article, by its name, role, class or id.
-
-    Class and id say nothing of an element that is or holds the article: there they name its layout.
-    A form around the article is one around the page.
-    """
-    if holds_main and name == "form":
-        return False
-    if name in ASIDE or attributes.get("role", "").lower() in ASIDE_ROLES:
-        return True
-    if name == "header" and not inside_main:
-        return True
-    if holds_main:
-        return False
-    words = set(LETTERS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & ASIDE_WORDS) or not inside_main and bool(words & OUTER_WORDS)
-
-
-def main_text(html: str, template: frozenset[int] | set[int], links: frozenset[int] | set[int] = frozenset(), known: TagIds | None = None, sums: dict | None = None) -> str:
+def assembled(ids: np.ndarray, flags: np.ndarray, texts: list[str], template: np.ndarray, links: np.ndarray) -> str:
     """Blocks of the slots that hold the article, one to a line.
 
-    Slots lie between template tokens and outside of elements beside the article. ``links`` are the
-    tokens whose slots are lists of links on the host's pages: those are left out, but for an article
-    element, which the page itself calls the article. Where the page has an article or main element,
-    its slots are the article, with the texts that the template holds; else every slot is, without them.
-    ``sums`` takes up the characters of each slot, and those in links.
+    Slots lie between template tokens, outside of elements beside the article. ``links`` are the
+    tokens whose slots are lists of links on the host's pages; those are left out, in article
+    elements too. Where the page has an article or main element, its slots are the article, with the
+    texts that the template holds; else every slot is, without them.
     """
-    known = TagIds() if known is None else known
-    found = list(tokens(html))
-    around = holders(found)
-    stack: list[tuple[str, bool, bool]] = []  # (name, beside, in main)
-    slot, articles, linked = 0, 0, False
-    blocks: tuple[list[str], list[str]] = ([], [])  # in main, elsewhere
+    at, slot, mine = slots(ids, flags, template)
+    kept = mine & ~in_template(slot, links)
+    block = np.cumsum(flags & BREAK > 0)[at]
+    apart = np.diff(np.cumsum(flags & SPACE > 0)[at], prepend=0) > 0
+    inside = flags[at] & INSIDE > 0
+    blocks: list[tuple[bool, str]] = []
     now: list[str] = []
-    place = 1
+    here, within = -1, False
 
     def flush() -> None:
         text = " ".join(references.unescape("".join(now)).split())
         now.clear()
         if text:
-            blocks[place].append(text)
-
-    seen_main = False
-    for at, (kind, name, extra, token) in enumerate(found):
-        beside, inside = stack[-1][1:] if stack else (False, False)
-        key = known[token] if kind != "text" else token_id(token)
-        if key in template:
-            slot = key
-        if kind == "text":
-            mine = token and not beside and (inside or key not in template)
-            if mine and sums is not None:
-                held = sums.setdefault(slot, [0, 0])
-                held[0] += len(token)
-                held[1] += len(token) * linked
-            if mine and (articles or slot not in links):
-                place = 0 if inside else 1
-                now.append(extra)
-            else:
-                now.append(" ")  # words around white space and around what is left out stay apart
-            continue
-        if name == "a":
-            linked = kind != "end"
-        if name == "br" or name not in BLOCKS and kind == "void":
-            now.append(" ")
-        elif name in BLOCKS:
+            blocks.append((within, text))
+
+    for text, number, space, keep, main in zip(texts, block.tolist(), apart.tolist(), kept.tolist(), inside.tolist()):
+        if number != here:
             flush()
-        if kind == "open":
-            if name in BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()  # a paragraph ends where a block begins
-                beside, inside = stack[-1][1:] if stack else (False, False)
-            if name in BLOCKS or name in ASIDE or extra:
-                within = inside or name in MAIN and not beside
-                seen_main |= within
-                articles += name == "article"
-                stack.append((name, beside or aside(name, extra, inside, at in around), within))
-        elif kind == "end" and any(name == s[0] for s in stack):
-            while True:
-                closed = stack.pop()[0]
-                articles -= closed == "article"
-                if closed == name:
-                    break
+            here = number
+        if space or not keep:
+            now.append(" ")  # words around white space and around what is left out stay apart
+        if keep:
+            now.append(text)
+            within = main
     flush()
-    return "\n".join(blocks[0] if seen_main and blocks[0] else [*blocks[0], *blocks[1]])
+    return "\n".join(t for m, t in blocks if m) or "\n".join(t for _, t in blocks)
+
+
+def main_text(html: str, template: set[int] | frozenset[int] = frozenset(), links: set[int] | frozenset[int] = frozenset()) -> str:
+    """The article of one page, given its host's template and lists of links."""
+    return assembled(*parse(html, Tags()), *(np.array(sorted(x), np.int64) for x in (template, links)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -414,33 +563,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
 
     The host is the authority of the url in lower case; a null url or one without is of no host, and
     like hosts of few pages read with the template of all pages. Null and empty pages have an empty
-    text. Rows that are alike are pages of their own.
+    text. Rows that are alike are pages of their own. No rows give no rows.
     """
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
         F.when(F.length(host) > 0, host).alias("host"), F.xxhash64(id_col, url, html).alias("page"),
     )
-    own, common = templates(rows.select("host", "page", "html"))
-    shared = pages.sparkSession.sparkContext.broadcast(common)
+    read = stored(parsed(rows), "parsed")
+    own, common = templates(read)
 
     def make(batch, of):
-        everyone, known, made = tuple(map(frozenset, shared.value)), TagIds(), {}
-        hosts = batch.column("host").to_pylist()
-        for first, htmls in text_batches(batch, "html"):
-            texts = []
-            for row, h in enumerate(htmls, first):
-                name = hosts[row]
-                if name not in made:
-                    got = of(row)
-                    made[name] = (frozenset(got["template"]), frozenset(got["links"])) if got else everyone
-                texts.append(main_text(h, *made[name], known))
-            n = len(texts)
-            columns = [batch.column("page_id").slice(first, n), batch.column("url").slice(first, n), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+        everyone, made = tuple(np.sort(np.array(x, np.int64)) for x in common), {}
+        hosts, texts = batch.column("host").to_pylist(), []
+        columns = zip(_arrays(batch.column("ids"), np.int64), _arrays(batch.column("flags"), np.uint8), batch.column("texts"))
+        for row, (ids, flags, parts) in enumerate(columns):
+            name = hosts[row]
+            if name not in made:
+                got = of(row)
+                made[name] = tuple(np.sort(np.array(got[c], np.int64)) for c in ("template", "links")) if got else everyone
+            texts.append(assembled(ids, flags, parts.as_py(), *made[name]))
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return _with(rows, own, "found", make, f"page_id {kind}, url string, text string, n_chars long")
+    return _with(read, own, "found", make, f"page_id {kind}, url string, text string, n_chars long")
 
 
 by_value(__name__)
