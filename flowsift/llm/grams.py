@@ -37,7 +37,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return np.zeros(0, np.uint64)
     inside = np.arange(total, dtype=np.int64) - np.repeat(at, lens)
     picked = values if total == len(values) else values[inside + np.repeat(starts, lens)]
-    sums = np.add.reduceat(picked * POWERS[inside & 4095], at)
+    weights = POWERS[inside & 4095]
+    if lens.max() > len(POWERS):  # blocks of a long span have weights of their own, so their order counts
+        block = (inside >> 12).astype(np.uint64)
+        weights = weights * np.where(block > 0, mix(block) | np.uint64(1), np.uint64(1))
+    sums = np.add.reduceat(picked * weights, at)
     return mix(sums + lens.astype(np.uint64))
 
 
