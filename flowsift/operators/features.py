@@ -1,59 +1,108 @@
-"""Feature space: encoders and scaler fitted on training rows, applied alike in batch and stream."""
+"""Feature space: encoders and scaler fitted on training rows, applied alike in batch and stream.
+
+Categories are rows of a table ``(feature, value, index, n)`` that values are joined with, so their
+number has no bound.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsift.fixed_values import CATEGORICAL
 from flowsift.functions.validate import finite, numeric, require_columns
+from flowsift.operators.bounded import salted_left_join, small, stored
 from flowsift.schema import MODEL_INPUTS, NUMERIC
 
 EPSILON = 2.220446049250313e-16
-MAX_CATEGORIES = 20_000
 
 
 @dataclass(frozen=True)
 class FeatureModel:
-    """Fitted encoder, ordered feature names, and ``(mean, scale)`` per feature."""
+    """Fitted categories and the moments of the numbers.
+
+    ``blocks`` has for each categorical column the index of its first category and their number;
+    numbers come first, then one block after the other, each in order of its values.
+    """
 
-    encoder: PipelineModel
-    names: list[str]
-    mean: list[float]
-    scale: list[float]
+    categories: DataFrame
     numeric: list[str]
     categorical: list[str]
+    blocks: list[tuple[int, int]]
+    rows: int
+    number_mean: list[float]
+    number_scale: list[float]
+
+    @property
+    def width(self) -> int:
+        return len(self.numeric) + sum(n for _, n in self.blocks)
+
+    @cached_property
+    def _sides(self) -> list[tuple[DataFrame, bool]]:
+        """Per categorical column its values and indexes, and whether they are proven small."""
+        sides = []
+        for column in self.categorical:
+            own = self.categories.where(F.col("feature") == column)
+            sides.append(small(own.select(F.col("value").alias(f"_t_{column}"), F.col("index").alias(f"_i_{column}"))))
+        return sides
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Adds ``features``: the numbers, and of each categorical column the index of its value.
+
+        An unseen value has index -1: none of its features. Values of few categories are met by a
+        broadcast, without a shuffle; of many by a join that spreads frequent values.
+        """
+        out = _prepared(df, self.numeric, self.categorical)
+        numbers = [f"_n_{c}" for c in self.numeric]
+        for column, (side, proven) in zip(self.categorical, self._sides):
+            key = f"_t_{column}"
+            out = out.join(F.broadcast(side), key, "left") if proven else salted_left_join(out, side, key, numbers or [key])
+        hot = F.array(*[F.coalesce(f"_i_{c}", F.lit(-1)) for c in self.categorical]).cast("array<int>")
+        found = F.struct(F.array(*numbers).cast("array<double>").alias("numbers"), hot.alias("hot"))
+        helpers = [f"_{k}_{c}" for k in "ti" for c in self.categorical]
+        return out.withColumn("features", found).drop(*numbers, *helpers)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Adds ``raw_features`` (unscaled) and ``scaled_features`` arrays. A narrow projection."""
-        encoded = _encode(self.encoder, df, self.numeric, self.categorical)
+        """Adds ``raw_features`` and ``scaled_features`` arrays, as wide as the feature space: for few categories."""
+        encoded = self.encode(df)
+        numbers, hot = F.col("features.numbers"), F.col("features.hot")
+        raw = numbers
+        if self.width > len(self.numeric):
+            places = F.sequence(F.lit(len(self.numeric)), F.lit(self.width - 1))
+            raw = F.concat(numbers, F.transform(places, lambda i: F.array_contains(hot, i).cast("double")))
+        encoded = encoded.withColumn("raw_features", raw).drop("features")
         return encoded.withColumn("scaled_features", scaled(F.col("raw_features"), self.mean, self.scale))
 
+    def name_table(self) -> DataFrame:
+        """``(index, name)`` of every feature."""
+        numbers = [(i, c) for i, c in enumerate(self.numeric)]
+        first = self.categories.sparkSession.createDataFrame(numbers, "index int, name string")
+        return first.union(self.categories.select("index", F.concat_ws("_", "feature", "value")))
 
-def _encoder(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Numeric columns first, then one block of sorted categories per categorical column.
+    @cached_property
+    def _moments(self) -> tuple[list[str], list[float], list[float]]:
+        rows = self.categories.orderBy("index").collect()
+        shares = [r["n"] / self.rows for r in rows]
+        names = [*self.numeric, *(f"{r['feature']}_{r['value']}" for r in rows)]
+        scales = [_scale(p * (1 - p), p, self.rows) for p in shares]
+        return names, [*self.number_mean, *shares], [*self.number_scale, *scales]
 
-    The bucket kept for unseen values is the last one and is dropped again, so an unseen (or
-    null) value becomes an all-zero block.
-    """
-    texts = [f"_t_{c}" for c in categorical]
-    indexes = [f"_i_{c}" for c in categorical]
-    blocks = [f"_b_{c}" for c in categorical]
-    numbers = [f"_n_{c}" for c in numeric]
-    stages = []
-    if categorical:
-        stages = [
-            StringIndexer(
-                inputCols=texts, outputCols=indexes, handleInvalid="keep", stringOrderType="alphabetAsc"
-            ),
-            OneHotEncoder(inputCols=indexes, outputCols=blocks, dropLast=True),
-        ]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=numbers + blocks, outputCol="_features")])
+    @property
+    def names(self) -> list[str]:
+        """Names of all features, in order: for few categories."""
+        return self._moments[0]
+
+    @property
+    def mean(self) -> list[float]:
+        return self._moments[1]
+
+    @property
+    def scale(self) -> list[float]:
+        return self._moments[2]
 
 
 def _finite(value: Column, name: str) -> Column:
@@ -68,48 +117,56 @@ def _prepared(df: DataFrame, numbers: list[str], categorical: list[str]) -> Data
     return df.withColumns(columns)
 
 
-def _encode(
-    model: PipelineModel, df: DataFrame, numbers: list[str], categorical: list[str]
-) -> DataFrame:
-    helpers = [f"_n_{c}" for c in numbers]
-    helpers += [f"_{k}_{c}" for k in "tib" for c in categorical]
-    encoded = model.transform(_prepared(df, numbers, categorical))
-    return encoded.withColumn("raw_features", vector_to_array("_features")).drop("_features", *helpers)
-
-
 def fit(
     train: DataFrame, numbers: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL
 ) -> FeatureModel:
-    """Categories, then means and deviations, from the training rows only."""
-    _check_categories(train, categorical)
-    model = _encoder(numbers, categorical).fit(_prepared(train, numbers, categorical))
-    names = list(numbers)
-    if categorical:
-        for column, labels in zip(categorical, model.stages[0].labelsArray):
-            names += [f"{column}_{value}" for value in labels]
-    mean, scale = fit_scaler(_encode(model, train, numbers, categorical), "raw_features")
-    return FeatureModel(model, names, mean, scale, list(numbers), list(categorical))
-
-
-def _check_categories(train: DataFrame, categorical: list[str]) -> None:
-    """Categories become feature columns and live on the driver, so their number is proven first."""
-    if not categorical:
-        return
-    sizes = train.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in categorical])
-    wide = {c: n for c, n in sizes.first().asDict().items() if n > MAX_CATEGORIES}
-    if wide:
-        raise ValueError(f"too many categories to encode: {wide}")
+    """Categories with their counts, and means and deviations, from the training rows only.
 
-
-def fit_scaler(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
-    """Mean and population deviation of every array position in one pass; constants get scale 1."""
+    A category's column of ones and zeros has its moments by its count, so no encoded row is made.
+    """
+    ready = _prepared(train, numbers, categorical)
+    rows, mean, scale = _moments(ready.select(F.array(*[f"_n_{c}" for c in numbers]).cast("array<double>").alias("x")), "x")
+    if not rows:
+        raise ValueError("there are no training rows")
+    values = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(f"_t_{c}").alias("value")) for i, c in enumerate(categorical)])
+    if not categorical:
+        values = F.array().cast("array<struct<place:int,feature:string,value:string>>")
+    counted = ready.select(F.inline(values)).groupBy("place", "feature", "value").agg(F.count("*").alias("n"))
+    table = _numbered(counted, len(numbers))
+    sizes = {r["place"]: (r["first"], r["n"]) for r in table.groupBy("place").agg(F.min("index").alias("first"), F.count("*").alias("n")).collect()}
+    blocks = [sizes[i] for i in range(len(categorical))]
+    return FeatureModel(table.drop("place"), list(numbers), list(categorical), blocks, rows, mean, scale)
+
+
+def _numbered(counted: DataFrame, first: int) -> DataFrame:
+    """Categories with their ``index``, in order of column and value: sorted in ranges, and numbered in each."""
+    order = ["place", "value"]
+    dealt = counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt, "categories")
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one per task
+    begin, at = {}, first
+    for part in sorted(sizes):
+        begin[part], at = at, at + sizes[part]
+    starts = dealt.sparkSession.createDataFrame(list(begin.items()), "_part int, _at int")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbered = dealt.join(F.broadcast(starts), "_part").withColumn("index", (F.col("_at") + nth - 1).cast("int"))
+    return stored(numbered.select("place", "feature", "value", "index", "n"), "categories")
+
+
+def _moments(df: DataFrame, column: str) -> tuple[int, list[float], list[float]]:
     vector = array_to_vector(F.col(column).cast("array<double>"))
     found = df.select(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s"))
     row = found.select("s.mean", "s.variance", "s.count").first()
-    n = row["count"]
-    variances = [v * (n - 1) / n for v in row["variance"]]
+    n = row["count"] or 0
+    if not n:
+        return 0, [], []
     mean = [float(m) for m in row["mean"]]
-    return mean, [_scale(v, m, n) for v, m in zip(variances, mean)]
+    return n, mean, [_scale(v * (n - 1) / n, m, n) for v, m in zip(row["variance"], mean)]
+
+
+def fit_scaler(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Mean and population deviation of every array position in one pass; constants get scale 1."""
+    return _moments(df, column)[1:]
 
 
 def _scale(variance: float, mean: float, n: int) -> float:

@@ -25,12 +25,13 @@ from flowsift.fixed_values import (
     SEED,
 )
 from flowsift.functions.scoring import NORMAL
+from flowsift.operators.points import goes_left, matrix, point, seen
 from flowsift.operators.rank import exact_quantile
 
 POOL_FACTOR = 8  # pool rows per row finally used
 DRAW_FACTOR = 4  # rows offered to a tree per row it keeps
 HASH_RANGE = 2**60
-NODES = "tree_id int, node_id int, feature int, threshold double, left int, right int, path double"
+NODES = "tree_id int, node_id int, feature int, slot int, threshold double, left int, right int, path double"
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ class IsolationModel:
             values[at] = table[name].to_numpy()
             return values.ravel()
 
-        arrays = [grid(c, np.int32, -1) for c in ("feature", "left", "right")]
+        arrays = [grid(c, np.int32, -1) for c in ("feature", "slot", "left", "right")]
         arrays += [grid(c, np.float64, 0.0) for c in ("threshold", "path")]
         return self.nodes.sparkSession.sparkContext.broadcast(tuple(arrays)), trees, width
 
@@ -85,7 +86,7 @@ def _draw(df: DataFrame, features: str, row_id: str, trees: int, wanted: int, ro
     uniform = lambda *c: F.pmod(F.xxhash64(*c), F.lit(HASH_RANGE)) / F.lit(float(HASH_RANGE))
     key = F.col(row_id)
     pool_share = min(1.0, POOL_FACTOR * trees * wanted / rows)
-    pool = df.select(key.alias("_k"), F.col(features).alias("_x"))
+    pool = df.select(key.alias("_k"), point(df, features).alias("_x"))
     if pool_share < 1.0:
         pool = pool.where(uniform(F.lit(seed), key) < pool_share)
     pool_rows = rows * pool_share
@@ -103,7 +104,7 @@ def _draw(df: DataFrame, features: str, row_id: str, trees: int, wanted: int, ro
 
 def fit(
     df: DataFrame,
-    features: str = "scaled_features",
+    features: str = "features",
     row_id: str = "row_id",
     trees: int = ISOLATION_TREES,
     contamination: float = ISOLATION_CONTAMINATION,
@@ -118,7 +119,12 @@ def fit(
 
     def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        x = np.vstack(sample.sort_values("_r")["_x"].to_numpy()).astype(float)
+        sample = sample.sort_values("_r")
+        numbers, hot = (np.vstack(sample[c].to_numpy()) for c in ("numbers", "hot"))
+        codes = [(v, c) for c in range(hot.shape[1]) for v in np.unique(hot[:, c]) if v >= 0]
+        feature = np.array([*range(numbers.shape[1]), *(v for v, _ in codes)], np.int64)
+        slot = np.array([*[-1] * numbers.shape[1], *(c for _, c in codes)], np.int64)
+        x = seen(numbers.astype(float), hot, feature, slot)  # features that no row has never vary
         rng = np.random.default_rng([seed, tree])
         out: list[list] = []
         todo = [(np.arange(len(x)), 0, -1, 0)]
@@ -126,21 +132,21 @@ def fit(
             members, depth, parent, side = todo.pop()
             node = len(out)
             if parent >= 0:
-                out[parent][4 + side] = node
+                out[parent][5 + side] = node
             low, high = x[members].min(axis=0), x[members].max(axis=0)
             open_features = np.flatnonzero(high > low)
-            out.append([tree, node, -1, 0.0, -1, -1, depth + float(average_path(len(members)))])
+            out.append([tree, node, -1, -1, 0.0, -1, -1, depth + float(average_path(len(members)))])
             if depth >= limit or len(members) <= 1 or len(open_features) == 0:
                 continue
             f = int(rng.choice(open_features))
             cut = float(rng.uniform(low[f], high[f]))
-            out[node][2], out[node][3] = f, cut
+            out[node][2:5] = int(feature[f]), int(slot[f]), cut
             goes_left = x[members, f] <= cut
             todo.append((members[~goes_left], depth + 1, node, 1))
             todo.append((members[goes_left], depth + 1, node, 0))
         return pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
 
-    nodes = drawn.groupBy("_t").applyInPandas(grow, NODES)
+    nodes = drawn.select("_t", "_r", "_x.numbers", "_x.hot").groupBy("_t").applyInPandas(grow, NODES)
     # at most trees x 511 rows: collected once so that every later use sees the same forest
     nodes = df.sparkSession.createDataFrame(nodes.toArrow())
     scores = score(IsolationModel(nodes, wanted), df, features).select("isolation_score").persist()
@@ -153,7 +159,7 @@ def fit(
 
 
 def score(
-    model: IsolationModel, df: DataFrame, features: str = "scaled_features", out: str = "isolation_score"
+    model: IsolationModel, df: DataFrame, features: str = "features", out: str = "isolation_score"
 ) -> DataFrame:
     """Adds the raw decision score (lower is more anomalous) and ``isolation_outlier``."""
     shared, trees, width = model.packed
@@ -163,27 +169,29 @@ def score(
     offset = model.offset
 
     @F.arrow_udf("double")
-    def decision(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        feature, left, right, threshold, path = shared.value
-        for batch in batches:
-            x = np.asarray(batch.flatten(), dtype=float).reshape(len(batch), -1)
+    def decision(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        feature, slot, left, right, threshold, path = shared.value
+        for numbers, hot in batches:
+            x, codes = matrix(numbers, np.float64), matrix(hot, np.int64)
             parts = []
             for lo in range(0, len(x), 4096):
-                part = x[lo : lo + 4096]
-                rows = np.arange(len(part))[:, None]
-                node = np.zeros((len(part), trees), dtype=np.int64)
+                part, code = x[lo : lo + 4096], codes[lo : lo + 4096]
+                node = np.tile(start, len(part))
+                row = np.repeat(np.arange(len(part)), trees)
+                base = np.tile(start, len(part))
+                live = np.arange(len(node))
                 for _ in range(levels):
-                    here = node + start
-                    f = feature[here]
-                    goes_left = part[rows, np.maximum(f, 0)] <= threshold[here]
-                    child = np.where(goes_left, left[here], right[here])
-                    node = np.where(f < 0, node, child)
-                depth = path[node + start].mean(axis=1)
+                    live = live[feature[node[live]] >= 0]
+                    here = node[live]
+                    turn = goes_left(part, code, row[live], feature[here], slot[here], threshold[here])
+                    node[live] = np.where(turn, left[here], right[here]) + base[live]
+                depth = path[node].reshape(len(part), trees).mean(axis=1)
                 ratio = depth / scale if scale else np.ones(len(part))
                 parts.append(-np.power(2.0, -ratio) - offset)
             yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
-    scored = df.withColumn(out, decision(F.col(features)))
+    scored = df.withColumn("_x", point(df, features))
+    scored = scored.withColumn(out, decision(F.col("_x.numbers"), F.col("_x.hot"))).drop("_x")
     return scored.withColumn("isolation_outlier", F.col(out) < 0)
 
 

@@ -239,8 +239,7 @@ def stream_model(spark, sf):
     rows = B.connections(spark, sf)
     envelope.publish_frame(_replayed(spark, sf)).select("value").repartition(8).write.text(f"{folder}/inbox")
     messages = run.read_json_lines(spark, f"{folder}/inbox", files_per_trigger=4)
-    options = {"forest_options": {"trees": 10, "depth": 6}, "isolation_options": {"trees": 50}}
-    live.start(messages, folder, training=add_family(rows), row_id="event_id", train_options=options).awaitTermination()
+    live.start(messages, folder, training=add_family(rows), row_id="event_id").awaitTermination()
     found = artifact.load(spark, f"{folder}/model")
     batch = jobs.analyze(found, _replayed(spark, sf).select("event_id", "source_ip", "connection.*"))
     pick = ["event_id", "predicted_class", "alert_reason", "evidence_json"]

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowsift.functions import drivers, evidence
-from flowsift.functions.labels import add_family
+from flowsift.functions.labels import add_family, label_id
 from flowsift.operators import balance, features, forest, isolation, shap, split
 from flowsift.operators.bounded import shared_dir
 from flowsift.plans import bindings as B, jobs
 from flowsift.plans.registry import query, table
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-SMALL_FOREST = {"trees": 10, "depth": 6}
 
 
 def _scaling_sql(select: str) -> str:
@@ -208,7 +207,7 @@ def _embeddings(spark, sf):
 )
 def forest_scores(spark, sf):
     data = _embeddings(spark, sf)
-    fitted = forest.fit(data, "x", "label", None, **SMALL_FOREST)
+    fitted = forest.fit(data, "x", "label", None, row_id="vec_id")
     scored = forest.score(fitted, data, forest.classes_seen(data, "label"), "x")
     total = F.aggregate("rf_probabilities", F.lit(0.0), lambda a, p: a + p)
     top = F.get("rf_probabilities", F.col("rf_prediction")) == F.col("rf_confidence")
@@ -228,13 +227,11 @@ def forest_scores(spark, sf):
 def shap_local_accuracy(spark, sf):
     """Base value plus all attributions is the predicted class's probability, for every row."""
     data = _embeddings(spark, sf)
-    fitted = forest.fit(data, "x", "label", None, **SMALL_FOREST)
-    path = shared_dir(spark, "forest")
-    forest.save(fitted, path)
+    fitted = forest.fit(data, "x", "label", None, row_id="vec_id")
     scored = forest.score(fitted, data, forest.classes_seen(data, "label"), "x")
-    found = shap.explain(scored, forest.node_table(spark, path), "x")
-    total = F.aggregate("shap", F.col("base_value"), lambda a, v: a + v)
-    top = drivers.top_drivers(F.col("shap"), F.col("x"), [f"e{i}" for i in range(64)])
+    found = shap.explain(scored, fitted.nodes, "x")
+    total = F.aggregate("shap", F.col("base_value"), lambda a, s: a + s["value"])
+    top = drivers.largest(F.col("shap"))
     return found.select(
         "vec_id",
         "label",
@@ -252,9 +249,9 @@ def isolation_scores(spark, sf):
     rows = B.connections(spark, sf)
     data = add_family(rows)
     model = features.fit(rows)
-    ready = model.apply(data)
+    ready = model.encode(data)
     normal = ready.where("attack_family = 'normal'")
-    detector = isolation.fit(normal, row_id="event_id", trees=50)
+    detector = isolation.fit(normal, row_id="event_id")
     scored = isolation.score(detector, ready)
     from flowsift.functions.scoring import isolation_risk
 
@@ -281,8 +278,6 @@ def analysis_verdicts(spark, sf):
         add_family(rows),
         "event_id",
         version="catalog",
-        forest_options=SMALL_FOREST,
-        isolation_options={"trees": 50},
     )
     done = jobs.analyze(found, rows)
     alert = F.col("fused_anomaly")
@@ -317,9 +312,7 @@ def analysis_rejects(spark, sf):
             "count": F.when(n != 5, F.col("count")),
         }
     )
-    found = jobs.train(
-        add_family(rows), "event_id", forest_options=SMALL_FOREST, isolation_options={"trees": 50}
-    )
+    found = jobs.train(add_family(rows), "event_id")
     rejects = shared_dir(spark, "rejects")
     done = jobs.analyze(found, bad, rejects=rejects)
     kept = done.select("event_id", F.lit(None).cast("string").alias("bad_fields"), F.col("verdict").isNotNull().alias("analysed"))
@@ -333,9 +326,7 @@ def artifact_roundtrip(spark, sf):
     from flowsift.operators import artifact
 
     rows = B.connections(spark, sf)
-    found = jobs.train(
-        add_family(rows), "event_id", forest_options={"trees": 5, "depth": 5}, isolation_options={"trees": 20}
-    )
+    found = jobs.train(add_family(rows), "event_id")
     again = artifact.load(spark, found.path)
     columns = ["event_id", "fused_confidence", "alert_reason", "isolation_score"]
     left = jobs.score(found, rows).select(columns)
@@ -348,19 +339,41 @@ def artifact_roundtrip(spark, sf):
     return left.join(right, "event_id").select("event_id", same.alias("same_score"))
 
 
-@query("evaluation_holdout")
+_FAMILIES_SQL = """f AS (
+  SELECT event_id, k, floor(value / 10) AS duration,
+         CASE WHEN k < 40 THEN 'normal' WHEN k < 60 THEN 'dos' WHEN k < 75 THEN 'probe' WHEN k < 90 THEN 'r2l' ELSE 'u2r' END AS family
+  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events))"""
+
+
+def _quotas_sql(rows: str, label: str) -> str:
+    """Per class the rows that the stratified fifth holds out."""
+    return f"""c AS (SELECT {label} AS p, count(*) AS n FROM {rows} GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(sum(n) * 0.2e0) AS BIGINT) AS held FROM c),
+x AS (SELECT p, n * held / total AS exact, floor(n * held / total) AS base, held FROM c, t),
+q AS (SELECT p, CAST(base + CASE WHEN row_number() OVER (ORDER BY base - exact, p)
+                                   <= held - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x)"""
+
+
+@query(
+    "evaluation_holdout",
+    f"""WITH {_FAMILIES_SQL}, {_quotas_sql("f", "family")}
+SELECT p AS label, quota AS support, TRUE AS learned FROM q""",
+)
 def evaluation_holdout(spark, sf):
-    """Per-class quality of the hold-out protocol. A trained forest has no SQL form."""
+    """Per-class support of the hold-out protocol; the family follows from one input, so every class is learned."""
     data = add_family(B.connections(spark, sf))
-    _, tables, _, _ = jobs.evaluate(
-        data, "event_id", forest_options=SMALL_FOREST, isolation_options={"trees": 20}
-    )
-    return tables["per_class"].orderBy("label")
+    _, tables, _, _ = jobs.evaluate(data, "event_id")
+    return tables["per_class"].select("label", "support", (F.col("f1") > 0.95).alias("learned"))
 
 
-@query("transfer_benchmark")
+@query(
+    "transfer_benchmark",
+    f"""WITH {_FAMILIES_SQL}, {_quotas_sql("f", "family")}
+SELECT 'control' AS domain, CAST(sum(quota) AS BIGINT) AS rows, TRUE AS better_at_home FROM q UNION ALL
+SELECT 'transfer', count(*), FALSE FROM orders WHERE o_orderpriority IN ('5-LOW', '1-URGENT', '2-HIGH', '4-NOT SPECIFIED')""",
+)
 def transfer_benchmark(spark, sf):
-    """Control and transfer headline metrics; the external flows are the orders table."""
+    """Control and transfer rows, and where the model does better; the external flows are the orders table."""
     from flowsift.plans.catalog_quality import ORDER_COLUMNS, ORDER_FAMILIES
 
     source = add_family(B.connections(spark, sf))
@@ -368,34 +381,110 @@ def transfer_benchmark(spark, sf):
         source,
         table(spark, sf, "orders"),
         "event_id",
-        forest_options=SMALL_FOREST,
         columns=ORDER_COLUMNS,
         category="o_orderpriority",
         families=ORDER_FAMILIES,
     )
-    parts = [
-        tables[f"{name}_headline"].withColumn("domain", F.lit(name)) for name in ("control", "transfer")
-    ]
-    return parts[0].unionByName(parts[1])
+    heads = {name: tables[f"{name}_headline"].first() for name in ("control", "transfer")}
+    other = {"control": "transfer", "transfer": "control"}
+    rows = [(name, int(h["rows"]), h["accuracy"] > heads[other[name]]["accuracy"]) for name, h in heads.items()]
+    return spark.createDataFrame(rows, "domain string, rows bigint, better_at_home boolean")
 
 
-@query("retrain_report")
+@query(
+    "retrain_report",
+    f"""WITH {_FAMILIES_SQL}
+SELECT count(*) FILTER (family = 'probe' AND duration < 2) AS feedback_examples, 25e0 AS feedback_weight,
+       count(*) AS evaluation_rows, TRUE AS moved, TRUE AS no_fewer_corrected FROM f""",
+)
 def retrain_report(spark, sf):
     """Baseline, corrections of every normal-looking probe, retrained forest, before/after report."""
     rows = B.connections(spark, sf)
     data = add_family(rows)
-    found = jobs.train(
-        data, "event_id", forest_options={"trees": 5, "depth": 5}, isolation_options={"trees": 20}
-    )
+    found = jobs.train(data, "event_id")
     fixes = (
         data.where("attack_family = 'probe' and duration < 2")
         .withColumn("label_id", F.lit(0))
         .withColumn("event_id", F.col("event_id").cast("string"))
     )
-    _, report = jobs.retrain(
-        data, fixes, found, data, "event_id", forest_options={"trees": 5, "depth": 5}
+    updated, report = jobs.retrain(data, fixes, found, data, "event_id")
+    if updated.corrected.count() != fixes.count():
+        raise AssertionError("the artifact keeps the ids of all corrections")
+    return report.select(
+        "feedback_examples", "feedback_weight", F.col("evaluation_rows").cast("long").alias("evaluation_rows"),
+        (F.col("mean_probability_after") > F.col("mean_probability_before")).alias("moved"),
+        (F.col("corrected_after") >= F.col("corrected_before")).alias("no_fewer_corrected"),
+    )
+
+
+@query(
+    "corrections_training_set",
+    f"""WITH {_FAMILIES_SQL},
+fix AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'normal' ELSE 'dos' END AS family FROM f
+        WHERE event_id % 3 = 0 AND event_id % 5 <> 0 AND event_id % 4 <> 3),
+n AS (SELECT family, count(*) AS n FROM f GROUP BY 1),
+e AS (SELECT family, count(*) AS c FROM fix GROUP BY 1),
+a AS (SELECT family, n, coalesce(c, 0) AS c, max(n) OVER () AS top FROM n LEFT JOIN e USING (family)),
+w AS (SELECT *, sum(top + c) OVER () / (count(*) OVER () * (top + c)) AS weight FROM a)
+SELECT CASE family WHEN 'normal' THEN 0 WHEN 'dos' THEN 1 WHEN 'probe' THEN 2 WHEN 'r2l' THEN 3 ELSE 4 END AS label_id,
+       n + c AS rows, CAST(top + c AS BIGINT) AS copies, round(weight * (top + 25e0 * c), 6) AS total_weight, c AS corrections FROM w""",
+)
+def corrections_training_set(spark, sf):
+    """From stored reviews to the weighted training set: the newest review decides, two are refused or not false positives."""
+    from flowsift.operators import tickets
+    from flowsift.schema import CONNECTION, MODEL_INPUTS, REVIEW
+
+    rows = add_family(B.connections(spark, sf))
+    inputs = CONNECTION.__class__([f for f in CONNECTION.fields if f.name in MODEL_INPUTS])
+    opened = rows.where("event_id % 3 = 0").select(
+        F.col("event_id").cast("string").alias("event_id"), F.to_json(F.struct(*MODEL_INPUTS)).alias("raw_record_json")
+    )
+    n = F.col("event_id").cast("long")
+
+    def review(number: int, disposition, corrected) -> DataFrame:
+        return opened.select(
+            (n * 2 + number).alias("review_id"), "event_id", F.lit(f"2026-01-0{number}T00:00:00+00:00").alias("created_at"),
+            disposition.alias("disposition"), corrected.alias("corrected_class"), F.lit("seen").alias("analyst_notes"), F.lit("analyst").alias("reviewed_by"),
+        )
+
+    folder = shared_dir(spark, "reviews")
+    first = review(1, F.lit("false_positive"), F.lit("u2r"))
+    # decided again: some confirmed, some corrected by default, some to another class
+    decided = F.when(n % 5 == 0, "confirmed_attack").otherwise("false_positive")
+    second = review(2, decided, F.when(n % 4 != 0, "dos")).where(n % 4 != 3)
+    third = review(2, F.lit("confirmed_attack"), F.lit(None).cast("string")).where(n % 4 == 3)
+    refused = review(2, F.lit("closed"), F.lit("probe"))
+    for batch, reviews in enumerate((first, second.unionByName(third), refused)):
+        tickets.append_reviews(reviews, opened, folder, batch)
+    fixes = jobs.corrections(opened, tickets.load(spark, folder, REVIEW), inputs)
+    model = features.fit(rows)
+    ready = model.encode(rows.withColumn("label_id", label_id(F.col("attack_family"))))
+    chosen = jobs.training_set(ready.select(F.col("event_id").alias("row_id"), "label_id", "features"), extra=model.encode(fixes))
+    return chosen.groupBy("label_id").agg(
+        F.count("*").alias("rows"), F.sum("copies").alias("copies"), F.round(F.sum("weight"), 6).alias("total_weight"),
+        F.count_if(F.col("trust") > 1).alias("corrections"),
     )
-    return report.drop("model_version", "trained_at", "output_model")
+
+
+@query(
+    "wide_categories",
+    """WITH v AS (SELECT CAST(l_orderkey AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 <> 0 GROUP BY 1),
+i AS (SELECT v, n, 1 + row_number() OVER (ORDER BY v) - 1 AS i FROM v),
+s AS (SELECT l_linestatus AS v, (SELECT count(*) FROM v) + row_number() OVER (ORDER BY l_linestatus) AS i
+      FROM (SELECT DISTINCT l_linestatus FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 <> 0))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + 0e0 AS number, CAST(coalesce(i.i, -1) AS INTEGER) AS order_index,
+       CAST(coalesce(s.i, -1) AS INTEGER) AS status_index, CAST(coalesce(i.n, 0) AS BIGINT) AS seen
+FROM lineitem LEFT JOIN i ON i.v = CAST(l_orderkey AS VARCHAR) LEFT JOIN s ON s.v = l_linestatus""",
+)
+def wide_categories(spark, sf):
+    """A category for every order: far more than a row could have columns for."""
+    lines = table(spark, sf, "lineitem")
+    model = features.fit(lines.where("l_linenumber <= 2 and l_orderkey % 7 <> 0"), ["l_quantity"], ["l_orderkey", "l_linestatus"])
+    found = model.encode(lines)
+    hot = F.col("features.hot")
+    known = model.categories.select(F.col("index").alias("order_index"), F.col("n").alias("seen"))
+    out = found.select(*LINE_KEY, F.col("features.numbers")[0].alias("number"), hot[0].alias("order_index"), hot[1].alias("status_index"))
+    return out.join(known, "order_index", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
 
 
 # ---- attribution arrays -----------------------------------------------------------------------

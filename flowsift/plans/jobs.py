@@ -34,6 +34,7 @@ from flowsift.operators import (
     metrics,
     shap,
     split,
+    tickets,
     transfer,
 )
 from flowsift.operators.artifact import Artifact
@@ -65,10 +66,10 @@ def train(
     threshold = unit_interval(threshold, "isolation threshold")
     model = features.fit(df, numbers, categorical)
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
-    ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
+    ready = model.encode(labelled).select(F.col(row_id).alias("row_id"), "label_id", "features")
     # Written once: both fits pass over the features many times, counting and balancing read two columns.
     ready = stored(ready, "features")
-    fitted, classes = _fit_forest(ready, balanced, forest_options, seed)
+    fitted, classes = _fit_forest(model, ready, balanced, forest_options, seed)
     normal = isolation.training_rows(ready)
     detector = isolation.fit(normal, seed=seed, **(isolation_options or {}))
     found = Artifact(model, fitted, classes, detector, threshold, version)
@@ -76,31 +77,48 @@ def train(
     return artifacts.save(found, df.sparkSession, path or shared_dir(df.sparkSession, "artifact"))
 
 
-def _fit_forest(
+def training_set(
     ready: DataFrame,
-    balanced: bool,
-    options: dict | None,
-    seed: int,
+    balanced: bool = True,
+    seed: int = SEED,
     extra: DataFrame | None = None,
-    extra_weight: float = 1.0,
-):
-    """Forest on the (weight-)balanced rows plus ``extra`` rows of a given weight."""
+    extra_weight: float = FEEDBACK_WEIGHT,
+) -> DataFrame:
+    """The forest's rows with their ``weight``: balanced rows, and corrections that weigh ``extra_weight`` each.
+
+    ``ready`` has ``row_id``, ``label_id`` and ``features``, ``extra`` the corrections with ``event_id``.
+    ``copies`` is how often a row stands in the balanced set; class weights are taken over copies and
+    corrections together.
+    """
     rows = balance.with_copies(ready, "label_id", "row_id", seed) if balanced else ready.withColumn(
         "copies", F.lit(1).cast("bigint")
     )
-    rows = rows.select("label_id", "scaled_features", "copies", F.lit(1.0).alias("trust"))
+    rows = rows.select(F.col("row_id").cast("string").alias("row_id"), "label_id", "features", "copies", F.lit(1.0).alias("trust"))
     if extra is not None:
         added = extra.select(
+            F.concat(F.lit("correction "), F.col("event_id").cast("string")).alias("row_id"),
             "label_id",
-            "scaled_features",
+            "features",
             F.lit(1).cast("bigint").alias("copies"),
             F.lit(float(extra_weight)).alias("trust"),
         )
         rows = rows.unionByName(added)
-    weighted = balance.add_class_weight(
-        rows, "label_id", F.col("trust") * F.col("copies"), F.col("copies")
-    )
-    fitted = forest.fit(weighted, **{"seed": seed, **(options or {})})
+    return balance.add_class_weight(rows, "label_id", F.col("trust") * F.col("copies"), F.col("copies"))
+
+
+def _fit_forest(
+    model: features.FeatureModel,
+    ready: DataFrame,
+    balanced: bool,
+    options: dict | None,
+    seed: int,
+    extra: DataFrame | None = None,
+    extra_weight: float = 1.0,
+):
+    """Forest on the (weight-)balanced rows plus ``extra`` rows of a given weight."""
+    weighted = training_set(ready, balanced, seed, extra, extra_weight)
+    known = {"row_id": "row_id", "names": model.name_table(), "width": model.width, "seed": seed}
+    fitted = forest.fit(weighted, **known, **(options or {}))
     return fitted, forest.classes_seen(weighted)
 
 
@@ -110,7 +128,7 @@ def _fit_forest(
 def score(found: Artifact, df: DataFrame) -> DataFrame:
     """Adds features, both detectors' outputs and the fused verdict. Narrow: no shuffle, and a
     row's result does not depend on the rows beside it."""
-    ready = found.features.apply(df)
+    ready = found.features.encode(df)
     scored = forest.score(found.forest, ready, found.classes)
     scored = isolation.score(found.isolation, scored)
     risk = scoring.isolation_risk(F.col("isolation_score"), *found.calibration)
@@ -144,17 +162,16 @@ def analyze(
         bad.write.mode("overwrite").parquet(rejects)
     scored = score(found, df)
     wanted = F.lit(True) if explain_normal else F.col("fused_anomaly")
-    wide = ["raw_features", "scaled_features"]
     if spread:
-        scored = stored(scored.drop(*wide), "scored")
+        scored = stored(scored.drop("features"), "scored")
         chosen = scored.where(wanted).repartition(F.xxhash64(row_id))
-        done = add_ticket(_explained(found, found.features.apply(chosen), packed=packed).drop(*wide), detected_at)
+        done = add_ticket(_explained(found, found.features.encode(chosen), packed=packed).drop("features"), detected_at)
         if explain_normal:
             return done
         rest = evidence.build(scored.where(~wanted), found.threshold, found.version)
         return done.unionByName(add_ticket(rest, detected_at))
-    gated = scored.withColumn("_gated", F.when(wanted, F.col("scaled_features")))
-    return add_ticket(_explained(found, gated, "_gated", packed).drop("_gated", *wide), detected_at)
+    gated = scored.withColumn("_gated", F.when(wanted, F.col("features")))
+    return add_ticket(_explained(found, gated, "_gated", packed).drop("_gated", "features"), detected_at)
 
 
 def pack_trees(found: Artifact, spark: SparkSession) -> shap.Packed:
@@ -163,17 +180,17 @@ def pack_trees(found: Artifact, spark: SparkSession) -> shap.Packed:
 
 
 def _explained(
-    found: Artifact, df: DataFrame, values: str = "scaled_features", packed: shap.Packed | None = None
+    found: Artifact, df: DataFrame, values: str = "features", packed: shap.Packed | None = None
 ) -> DataFrame:
-    """Adds the evidence bundle with the top drivers of rows that have ``values``."""
-    out = shap.explain(df, packed or found.nodes(df.sparkSession), values)
-    top = drivers.top_drivers(F.col("shap"), F.col("raw_features"), found.features.names)
-    explained = F.col("shap").isNotNull()
-    out = out.withColumns(
-        {"_top": F.when(explained, top), "base_value": F.when(explained, F.col("base_value"))}
-    )
+    """Adds the evidence bundle with the top drivers of rows that have ``values``, as they were before any scaling."""
+    packed = packed or pack_trees(found, df.sparkSession)
+    out = shap.explain(df, packed, values)
+    out = out.withColumn("_largest", drivers.largest(F.col("shap"))).drop("shap")
+    out = out.withColumn("_names", shap.named(packed, F.transform("_largest", lambda s: s["feature"])))
+    top = F.when(F.col("_largest").isNotNull(), drivers.described(F.col("_largest"), F.col("_names")))
+    out = out.withColumns({"_top": top, "base_value": F.when(F.col("_largest").isNotNull(), F.col("base_value"))})
     built = evidence.build(out, found.threshold, found.version, "_top", "base_value")
-    return built.drop("shap", "base_value", "_top")
+    return built.drop("base_value", "_top", "_largest", "_names")
 
 
 def add_ticket(df: DataFrame, detected_at: Column | None = None) -> DataFrame:
@@ -284,6 +301,16 @@ def parse_examples(examples: DataFrame, schema, record: str = "raw_record_json")
     return parsed.select("event_id", label_id(F.col("corrected_class")).alias("label_id"), *fields)
 
 
+def corrections(ticket_table: DataFrame, reviews: DataFrame, schema, order: list[str] = ("created_at", "review_id")) -> DataFrame:
+    """Corrected records from the ticket and review tables: ``(event_id, label_id, inputs...)``.
+
+    A ticket counts if its newest review calls it a false positive of a known class; its inputs are
+    those the ticket keeps as text.
+    """
+    reviewed = tickets.with_latest_review(ticket_table, reviews, list(order))
+    return parse_examples(tickets.feedback_examples(reviewed), schema)
+
+
 def effect(before: DataFrame, after: DataFrame, key: str = "event_id") -> DataFrame:
     """One row comparing two scorings of the same examples (``label_id`` is the corrected class)."""
     pick = lambda df, side: df.select(
@@ -331,9 +358,10 @@ def retrain(
         raise ValueError(f"corrected classes never seen in training: {sorted(unseen)}")
     model = baseline.features
     labelled = df.withColumn("label_id", label_id(F.col("attack_family")))
-    ready = model.apply(labelled).select(F.col(row_id).alias("row_id"), "label_id", "scaled_features")
-    added = model.apply(examples)
-    fitted, classes = _fit_forest(ready, balanced, forest_options, seed, added, weight)
+    ready = model.encode(labelled).select(F.col(row_id).alias("row_id"), "label_id", "features")
+    ready = stored(ready, "features")
+    added = stored(model.encode(examples).select(F.col("event_id").cast("string").alias("event_id"), "label_id", "features"), "corrections")
+    fitted, classes = _fit_forest(model, ready, balanced, forest_options, seed, added, weight)
 
     moment = datetime.now(timezone.utc)
     updated = replace(
@@ -348,6 +376,7 @@ def retrain(
             "random_forest_updated": True,
             "isolation_forest_updated": False,
         },
+        corrected=added.select("event_id"),
     )
     updated = artifacts.save(updated, spark, path or shared_dir(spark, "artifact"))
     scored = [
@@ -355,7 +384,7 @@ def retrain(
     ]
     change = effect(*scored)
     truth = test.withColumn("label_id", label_id(F.col("attack_family")))
-    ready_test = model.apply(truth)
+    ready_test = model.encode(truth)
     sides = []
     for name, a in (("baseline", baseline), ("updated", updated)):
         tables = report(forest.score(a.forest, ready_test, a.classes), "label_id", "rf_prediction")
@@ -384,13 +413,13 @@ def fit_transfer(df: DataFrame, target: str, forest_options: dict | None = None,
     columns = list(EXTERNAL_COLUMNS)
     numbers = [c for c in columns if c not in CATEGORICAL]
     model = features.fit(df, numbers, CATEGORICAL)
-    ready = model.apply(df.withColumn("label_id", label_id(F.col(target), TRANSFER_FAMILIES)))
-    weighted = balance.add_class_weight(ready, "label_id")
-    return model, forest.fit(weighted, **{"seed": seed, **(forest_options or {})})
+    ready = model.encode(df.withColumn("label_id", label_id(F.col(target), TRANSFER_FAMILIES)))
+    weighted = balance.add_class_weight(stored(ready.select("label_id", "features"), "features"), "label_id")
+    return model, forest.fit(weighted, names=model.name_table(), width=model.width, seed=seed, **(forest_options or {}))
 
 
 def predict_transfer(model, fitted, df: DataFrame) -> DataFrame:
-    scored = forest.score(fitted, model.apply(df), list(range(len(TRANSFER_FAMILIES))))
+    scored = forest.score(fitted, model.encode(df), list(range(len(TRANSFER_FAMILIES))))
     return scored.withColumn("predicted", family_name(F.col("rf_prediction")))
 
 

@@ -64,24 +64,117 @@ def test_artifact_reads_back_and_rejects_foreign_folders(spark, trained, tmp_pat
         artifacts.load(spark, str(tmp_path / "y"))
 
 
-def test_attributions_add_up_and_tree_groups_agree(spark, trained):
+def test_attributions_add_up_and_blocks_agree(spark, trained):
     scored = jobs.score(trained, _connections(spark, 80, 4))
     nodes = trained.nodes(spark)
     whole = shap.explain(scored, nodes).select("event_id", "shap", "base_value", "rf_confidence").orderBy("event_id")
-    grouped = shap.explain(scored, nodes, budget=4000).select("event_id", "shap").orderBy("event_id")
-    for a, b in zip(whole.collect(), grouped.collect()):
-        assert abs(a["base_value"] + sum(a["shap"]) - a["rf_confidence"]) < 1e-9
-        assert np.allclose(a["shap"], b["shap"], atol=1e-12)
+    packed = shap.pack(nodes, budget=900)
+    assert len(packed.groups) > 12  # most trees are cut
+    blocked = shap.explain(scored, packed).select("event_id", "shap").orderBy("event_id")
+    for a, b in zip(whole.collect(), blocked.collect()):
+        assert abs(a["base_value"] + sum(s["value"] for s in a["shap"]) - a["rf_confidence"]) < 1e-9
+        assert [(s["feature"], s["seen"]) for s in a["shap"]] == [(s["feature"], s["seen"]) for s in b["shap"]]
+        assert np.allclose([s["value"] for s in a["shap"]], [s["value"] for s in b["shap"]], atol=1e-12)
+
+
+def test_blocks_hold_every_leaf_once_within_the_budget():
+    sizes = [(0, 10, 400), (1, 100, 4000), (2, 3, 120), (3, 7, 280), (4, 1, 5000), (5, 2, 80)]
+    made = shap.blocks(sizes, 1000)
+    held = [(t, i) for block in made for t, a, b in block for i in range(a, b)]
+    assert held == [(t, i) for t, n, _ in sizes for i in range(n)]
+    per = {t: size / n for t, n, size in sizes}
+    assert all(sum(per[t] * (b - a) for t, a, b in block) <= 1000 or len(block) == 1 for block in made)
+
+
+def _dense(row, width):
+    hot = set(row["features"]["hot"])
+    return [*row["features"]["numbers"], *(float(i in hot) for i in range(len(row["features"]["numbers"]), width))]
+
+
+def _leaf(tree, x):
+    n = tree[0]
+    while n["left"] >= 0:
+        n = tree[n["left"] if x[n["feature"]] <= n["threshold"] else n["right"]]
+    return n
+
+
+def _trees(nodes):
+    trees = {}
+    for n in nodes.collect():
+        trees.setdefault(n["tree_id"], {})[n["node_id"]] = n
+    return trees
+
+
+def test_probabilities_equal_a_walk_of_the_node_table(spark, trained):
+    rows = jobs.score(trained, _connections(spark, 120, 8)).select("features", "rf_probabilities", "rf_prediction", "rf_confidence").collect()
+    trees = _trees(trained.nodes(spark))
+    assert len(trees) == 12
+    for row in rows:
+        x = _dense(row, trained.features.width)
+        want = np.mean([_leaf(t, x)["share"] for t in trees.values()], axis=0)
+        assert np.allclose(row["rf_probabilities"], want, atol=1e-12)
+        assert row["rf_prediction"] == int(np.argmax(row["rf_probabilities"])) and row["rf_confidence"] == max(row["rf_probabilities"])
+
+
+def test_groups_of_trees_score_like_one(spark, trained, monkeypatch):
+    rows = _connections(spark, 60, 2)
+    whole = jobs.score(trained, rows).select("event_id", "rf_probabilities").orderBy("event_id").collect()
+    monkeypatch.setattr(forest, "MODEL_BYTES", 2000)
+    again = artifacts.load(spark, trained.path)
+    assert len(again.forest.packed) > 2
+    for a, b in zip(whole, jobs.score(again, rows).select("event_id", "rf_probabilities").orderBy("event_id").collect()):
+        assert np.allclose(a["rf_probabilities"], b["rf_probabilities"], atol=1e-12)
+
+
+def test_trees_keep_their_limits_and_split_as_well_as_any(spark):
+    """Every inner node's split is the best there is among all features when all are tried."""
+    rng = np.random.default_rng(4)
+    numbers, hot = rng.integers(0, 6, (60, 1)).astype(float), np.full((60, 0), -1)
+    label = ((numbers[:, 0] > 2) ^ (rng.random(60) < 0.2)).astype(int)
+    draws = rng.integers(1, 3, 60)
+    nodes = forest.grow(numbers, hot, label, draws, 2, 4, 2, rng)
+    assert all(n[6] >= 2 for n in nodes) and sum(n[6] for n in nodes if n[1] < 0) == draws.sum()
+
+    def gini(mask):
+        held = np.bincount(label[mask], draws[mask], 2)
+        return held.sum() - (held**2).sum() / max(held.sum(), 1)
+
+    todo = [(0, np.ones(60, bool), 0)]
+    while todo:
+        k, mask, level = todo.pop()
+        _, left, right, _, _, cut, cover, share = nodes[k]
+        assert cover == draws[mask].sum() and np.allclose(share, np.bincount(label[mask], draws[mask], 2) / cover) and level <= 4
+        if left >= 0:
+            sides = [mask & (numbers[:, 0] <= t) for t in np.arange(-0.5, 6)]
+            fits = [gini(s) + gini(mask & ~s) for s in sides if draws[s].sum() >= 2 and draws[mask & ~s].sum() >= 2]
+            got = mask & (numbers[:, 0] <= cut)
+            assert gini(got) + gini(mask & ~got) == pytest.approx(min(fits))
+            todo += [(left, got, level + 1), (right, mask & ~got, level + 1)]
+
+
+def test_draws_are_bounded_balanced_and_repeatable(spark):
+    rows = spark.range(40_000).select(
+        F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"),
+        (F.col("id") % 1000 == 0).cast("int").alias("label_id"), F.when(F.col("id") % 1000 == 0, 999.0).otherwise(1.0).alias("weight"))
+    total = 39_960 + 40 * 999.0
+    ready = rows.select(F.struct("x", F.array().cast("array<int>")).alias("_x"), F.col("label_id").alias("_y"), F.col("weight").alias("_w"), F.xxhash64("row_id").alias("_k"))
+    drawn = forest._draws(ready, total, 40_000, 10, 2000, 3)
+    counts = {(r["_draw"], r["_y"]): r["n"] for r in drawn.groupBy("_draw", "_y").agg(F.sum("_n").alias("n")).collect()}
+    assert len(counts) == 20 and all(850 <= n <= 1150 for n in counts.values())
+    assert drawn.exceptAll(forest._draws(ready.repartition(7), total, 40_000, 10, 2000, 3)).isEmpty()
+    model = forest.fit(rows, "x", trees=9, depth=30, fit_rows=2000, row_id="row_id")
+    sizes = model.nodes.where("node_id = 0").select("cover").collect()
+    assert len(sizes) == 9 and {r["cover"] for r in sizes} == {2000.0}
+    again = forest.fit(rows.repartition(5), "x", trees=9, depth=30, fit_rows=2000, row_id="row_id")
+    assert model.nodes.exceptAll(again.nodes).isEmpty()
 
 
 def test_attributions_match_brute_force_shapley(spark, trained):
     """Every subset of features, path-dependent expectation, all trees."""
     scored = jobs.score(trained, _connections(spark, 6, 8))
-    rows = shap.explain(scored, trained.nodes(spark)).select("scaled_features", "rf_prediction", "shap").collect()
-    trees = {}
-    for n in trained.nodes(spark).collect():
-        trees.setdefault(n["tree_id"], {})[n["node_id"]] = n
-    width = len(rows[0]["scaled_features"])
+    rows = shap.explain(scored, trained.nodes(spark)).select("features", "rf_prediction", "shap").collect()
+    trees = _trees(trained.nodes(spark))
+    width = trained.features.width
 
     def value(tree, node, x, known, target):
         n = tree[node]
@@ -94,22 +187,43 @@ def test_attributions_match_brute_force_shapley(spark, trained):
         return sum(tree[c]["cover"] / total * value(tree, c, x, known, target) for c in (n["left"], n["right"]))
 
     for row in rows:
-        x, target = row["scaled_features"], row["rf_prediction"]
+        x, target = _dense(row, width), row["rf_prediction"]
         game = {
-            s: np.mean([value(t, min(t), x, s, target) for t in trees.values()])
+            s: np.mean([value(t, 0, x, s, target) for t in trees.values()])
             for k in range(width + 1) for s in map(frozenset, itertools.combinations(range(width), k))
         }
+        got = {s["feature"]: s for s in row["shap"]}
+        assert all(s["seen"] == x[f] for f, s in got.items())
         for j in range(width):
             want = sum(
                 math.factorial(len(s)) * math.factorial(width - len(s) - 1) / math.factorial(width) * (game[s | {j}] - v)
                 for s, v in game.items() if j not in s
             )
-            assert abs(row["shap"][j] - want) < 1e-9
+            assert abs((got[j]["value"] if j in got else 0.0) - want) < 1e-9
+
+
+def test_drivers_carry_names_and_unscaled_values(spark, trained):
+    rows = _connections(spark, 40, 6)
+    done = jobs.analyze(trained, rows, spread=False, explain_normal=True)
+    numbers = {r["event_id"]: r.asDict() for r in rows.collect()}
+    for r in done.select("event_id", "evidence.top_shap_drivers").collect():
+        own = numbers[r["event_id"]]
+        for d in r["top_shap_drivers"]:
+            want = {"src_bytes": own["src_bytes"], "count": own["count"]}
+            want |= {f"{c}_{v}": float(own[c] == v) for c, vs in (("service", ["http", "dns"]), ("flag", ["S0", "SF"]), ("protocol_type", ["tcp"])) for v in vs}
+            assert d["true_value"] == want[d["feature"]]
+
+
+def test_a_forest_of_single_leaves_is_explained_by_its_base(spark):
+    df = spark.createDataFrame([(i, [1.0], i % 2) for i in range(10)], "row_id long, x array<double>, label_id int")
+    model = forest.fit(df, "x", weight=None, trees=3)
+    found = shap.explain(forest.score(model, df, [0, 1], "x"), model.nodes, "x").first()
+    assert found["shap"] == [] and abs(found["base_value"] - found["rf_confidence"]) < 1e-12
 
 
 def test_rows_without_features_are_not_explained(spark, trained):
     scored = jobs.score(trained, _connections(spark, 10, 4)).withColumn(
-        "gated", F.when(F.col("event_id") % 2 == 0, F.col("scaled_features")))
+        "gated", F.when(F.col("event_id") % 2 == 0, F.col("features")))
     found = shap.explain(scored, trained.nodes(spark), "gated").select("event_id", "shap").collect()
     assert all((r["shap"] is not None) == (r["event_id"] % 2 == 0) for r in found)
 
