@@ -66,6 +66,23 @@ class FeatureModel:
         helpers = [f"_{k}_{c}" for k in "ti" for c in self.categorical]
         return out.withColumn("features", found).drop(*numbers, *helpers)
 
+    def guarded(self, df: DataFrame, column: str = "features", names: list[str] | None = None) -> DataFrame:
+        """The same rows; one whose encoded columns are not those of this model fails the job that reads it.
+
+        ``names`` are the columns that the rows were encoded from, in their order, where known. Every
+        row must have as many numbers and category places as the model, and an index of each only
+        from its own column's block.
+        """
+        if names is not None and list(names) != [*self.numeric, *self.categorical]:
+            raise ValueError(f"encoded columns {names} are not {[*self.numeric, *self.categorical]}")
+        hot, numbers = F.col(column)["hot"], F.col(column)["numbers"]
+        wrong = (F.size(numbers) != len(self.numeric)) | (F.size(hot) != len(self.categorical))
+        for place, (first, many) in enumerate(self.blocks):
+            index = F.get(hot, F.lit(place))
+            wrong = wrong | ((index != -1) & ~index.between(first, first + many - 1))
+        failure = F.raise_error(F.lit("encoded rows do not fit the model's features")).cast(df.schema[column].dataType)
+        return df.withColumn(column, F.when(F.coalesce(wrong, F.lit(False)), failure).otherwise(F.col(column)))
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Adds ``raw_features`` and ``scaled_features`` arrays, as wide as the feature space: for few categories."""
         encoded = self.encode(df)
@@ -125,9 +142,12 @@ def fit(
     A category's column of ones and zeros has its moments by its count, so no encoded row is made.
     """
     ready = _prepared(train, numbers, categorical)
-    rows, mean, scale = _moments(ready.select(F.array(*[f"_n_{c}" for c in numbers]).cast("array<double>").alias("x")), "x")
+    columns = [f"_n_{c}" for c in numbers]
+    rows, *found = ready.agg(F.count("*"), *[F.avg(c) for c in columns], *[F.var_pop(c) for c in columns]).first()
     if not rows:
         raise ValueError("there are no training rows")
+    mean = found[: len(numbers)]
+    scale = [_scale(v, m, rows) for v, m in zip(found[len(numbers) :], mean)]
     values = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(f"_t_{c}").alias("value")) for i, c in enumerate(categorical)])
     if not categorical:
         values = F.array().cast("array<struct<place:int,feature:string,value:string>>")
@@ -153,20 +173,14 @@ def _numbered(counted: DataFrame, first: int) -> DataFrame:
     return stored(numbered.select("place", "feature", "value", "index", "n"), "categories")
 
 
-def _moments(df: DataFrame, column: str) -> tuple[int, list[float], list[float]]:
+def fit_scaler(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Mean and population deviation of every array position in one pass; constants get scale 1."""
     vector = array_to_vector(F.col(column).cast("array<double>"))
     found = df.select(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s"))
     row = found.select("s.mean", "s.variance", "s.count").first()
-    n = row["count"] or 0
-    if not n:
-        return 0, [], []
+    n = row["count"]
     mean = [float(m) for m in row["mean"]]
-    return n, mean, [_scale(v * (n - 1) / n, m, n) for v, m in zip(row["variance"], mean)]
-
-
-def fit_scaler(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
-    """Mean and population deviation of every array position in one pass; constants get scale 1."""
-    return _moments(df, column)[1:]
+    return mean, [_scale(v * (n - 1) / n, m, n) for v, m in zip(row["variance"], mean)]
 
 
 def _scale(variance: float, mean: float, n: int) -> float:

@@ -178,14 +178,14 @@ def _rule_analysis(events):
     )
 
 
-def _streamed(spark, sf) -> str:
+def _streamed(spark, sf, **options) -> str:
     """All messages as text files, a third of them delivered again, run to the end as a stream."""
     folder = shared_dir(spark, "live")
     sent = _messages(spark, sf)
     again = sent.where(F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
     sent.unionAll(again).select("value").repartition(8).write.text(f"{folder}/inbox")
     messages = run.read_json_lines(spark, f"{folder}/inbox", files_per_trigger=3)
-    run.run(messages, _rule_analysis, folder, INPUTS).awaitTermination()
+    run.run(messages, _rule_analysis, folder, INPUTS, **options).awaitTermination()
     return folder
 
 
@@ -203,6 +203,35 @@ def stream_alerts(spark, sf):
     return stored.select("event_id", "source_ip", "ticket_text")
 
 
+@query(
+    "stream_redelivery",
+    f"""WITH {_E}, good AS (SELECT k >= 40 AS alert, {_NAME_SQL} AS name FROM e WHERE n < 4)
+SELECT count(DISTINCT name) AS processed, count(DISTINCT name) FILTER (alert) AS alerts,
+       count(DISTINCT name) FILTER (alert) AS stored FROM good""",
+)
+def stream_redelivery(spark, sf):
+    """A third of the messages arrive again: the stream's state drops them before they are scored."""
+    folder = _streamed(spark, sf, redelivery="1 hour")
+    return run.summary(spark, folder).select("processed", "alerts", "stored")
+
+
+@query(
+    "replay_stream",
+    """SELECT printf('nsl-kdd-%06d', event_id) AS event_id, CAST(floor(value * 100) AS BIGINT) AS src_bytes, CAST(1 AS BIGINT) AS times
+FROM events WHERE event_id >= 50 AND event_id < 950""",
+)
+def replay_stream(spark, sf):
+    """Recorded rows as a stream that is stopped in the middle and started again: each row once."""
+    folder = shared_dir(spark, "replay")
+    for limit in (400, 900):
+        sent = replay.replay_stream(B.connections(spark, sf), "event_id", 50, limit, 250)
+        sent = sent.select("event_id", F.col("connection.src_bytes").alias("src_bytes"))
+        started = sent.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").start()
+        started.processAllAvailable()
+        started.stop()
+    return spark.read.parquet(f"{folder}/rows").groupBy("event_id", "src_bytes").agg(F.count("*").alias("times"))
+
+
 @query(
     "stream_quarantine",
     f"WITH {_E} SELECT DISTINCT {_NAME_SQL} AS event_id, {_PROBLEM} AS problem FROM e WHERE n >= 4",
@@ -331,6 +360,24 @@ def metric_files(spark, sf):
     return found.select("protocol", "protocol_text", "rows", F.round("accuracy", 9).alias("accuracy"))
 
 
+@query(
+    "payload_file",
+    f"""WITH {B.CONN_SQL}, cells AS (SELECT family AS truth, pred AS prediction, count(*) AS n FROM conn GROUP BY 1, 2)
+SELECT 'common-feature Random Forest, zero-tuning transfer' AS protocol, 42 AS random_state, 'rule' AS digest,
+       (SELECT count(*) FROM conn) AS source_rows, truth, prediction, n FROM cells""",
+)
+def payload_file(spark, sf):
+    """A report with a table in it, written as one JSON text and read back."""
+    rows = B.conn(spark, sf)
+    cells = rows.groupBy(F.col("family").alias("truth"), F.col("pred").alias("prediction")).agg(F.count("*").alias("n"))
+    made = jobs.transfer_payload(spark, {"cells": cells}, {"source_rows": rows.count()}, "rule")
+    folder = shared_dir(spark, "payload")
+    jobs.write_payload(made, folder)
+    schema = "protocol string, random_state int, target_sha256 string, source_rows long, cells array<struct<truth:string,prediction:string,n:long>>"
+    back = spark.read.text(folder).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back.select("protocol", "random_state", F.col("target_sha256").alias("digest"), "source_rows", F.inline("cells"))
+
+
 @query(
     "model_inputs",
     """SELECT event_id, 41 AS inputs FROM events""",

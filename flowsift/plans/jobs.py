@@ -23,7 +23,7 @@ from flowsift.fixed_values import (
 )
 from flowsift.functions import drivers, evidence, scoring, ticket_text
 from flowsift.functions.labels import family_name, label_id
-from flowsift.functions.validate import positive, source_ip, unit_interval
+from flowsift.functions.validate import non_empty, positive, source_ip, unit_interval
 from flowsift.operators import (
     artifact as artifacts,
     balance,
@@ -154,9 +154,12 @@ def analyze(
     ``df`` has the model inputs, ``source_ip`` and ``row_id``. Attribution costs far more than
     scoring and alerts come in bursts, so with ``spread`` the scored rows (without their features)
     are stored once, and only the alerts are shuffled, evenly by row identity, and explained.
-    Without it everything happens in one narrow pass, which suits micro-batches.
+    Without it everything happens in one narrow pass, which suits micro-batches. An empty table is
+    an error of the batch form; a micro-batch may be empty.
     """
     artifacts.check_schema(found)
+    if spread:
+        df = non_empty(df)
     if rejects is not None:
         df, bad = features.split_valid(df, found.features.numeric)
         bad.write.mode("overwrite").parquet(rejects)
@@ -453,10 +456,9 @@ def transfer_benchmark(
     return out
 
 
-def transfer_payload(spark: SparkSession, tables: dict[str, DataFrame], rows: dict[str, int], digest: str) -> dict:
-    """JSON-ready summary of a transfer run: protocol, mappings, row counts and all metric rows."""
-    listed = {name: [r.asDict() for r in df.collect()] for name, df in tables.items()}  # metric rows
-    return {
+def transfer_payload(spark: SparkSession, tables: dict[str, DataFrame], rows: dict[str, int], digest: str) -> DataFrame:
+    """Summary of a transfer run as one row of JSON: protocol, mappings, row counts and all metric rows."""
+    facts = {
         "protocol": TRANSFER_PROTOCOL,
         "random_state": SEED,
         "common_features": EXTERNAL_COLUMNS,
@@ -464,11 +466,33 @@ def transfer_payload(spark: SparkSession, tables: dict[str, DataFrame], rows: di
         "families": FAMILIES,
         "target_sha256": digest,
         **rows,
-        **listed,
     }
+    return payload(spark, facts, tables)
 
 
-def write_payload(spark: SparkSession, payload: dict, path: str) -> None:
-    """A report (retraining or transfer) as one JSON text with sorted keys."""
-    text = json.dumps(payload, sort_keys=True, default=str)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def payload(spark: SparkSession, facts: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """``value``: one JSON object with sorted keys, of plain facts and of tables as arrays of their rows.
+
+    Tables are turned to text and put together by Spark, row by row in order of their text; no row
+    of theirs comes to the driver.
+    """
+    entry = "key string, value string"
+    parts = spark.createDataFrame([(k, json.dumps(v, sort_keys=True, default=str)) for k, v in facts.items()], entry)
+    for name, df in tables.items():
+        rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("r"))
+        text = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("r")), ","), F.lit("]"))
+        parts = parts.union(rows.agg(text.alias("value")).select(F.lit(name).alias("key"), "value"))
+    sorted_parts = F.array_sort(F.collect_list(F.struct("key", "value")))
+    members = F.transform(sorted_parts, lambda p: F.concat(F.lit('"'), p["key"], F.lit('":'), p["value"]))
+    return parts.agg(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("value"))
+
+
+def write_payload(made: DataFrame, path: str) -> None:
+    """A report (retraining or transfer) as one JSON text, written where it was put together."""
+    made.select("value").write.mode("overwrite").text(path)
+
+
+def report_payload(report_row: DataFrame) -> DataFrame:
+    """A one-row report as one JSON object with sorted keys."""
+    fields = F.struct(*sorted(report_row.columns))
+    return report_row.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))

@@ -71,3 +71,42 @@ def test_missing_and_non_finite_numbers_are_refused(spark, number):
         features.fit(bad, ["x"], ["c"])
     with pytest.raises(Exception, match="non-finite"):
         features.fit(good, ["x"], ["c"]).apply(bad).collect()
+
+
+def test_an_empty_table_fails_the_job_that_reads_it(spark, model):
+    from flowsift.functions.validate import non_empty
+
+    rows = spark.createDataFrame(TRAIN, SHAPE)
+    assert non_empty(rows).orderBy("count").collect() == rows.orderBy("count").collect()
+    empty = non_empty(rows.where("count > 99"))  # nothing is read yet
+    with pytest.raises(Exception, match="at least one connection record"):
+        empty.collect()
+    with pytest.raises(ValueError, match="no training rows"):
+        features.fit(rows.limit(0), ["count"])
+
+
+def test_rows_of_another_layout_fail_the_job_that_reads_them(spark, model):
+    rows = spark.createDataFrame(TRAIN, SHAPE)
+    good = model.encode(rows)
+    assert model.guarded(good, names=["src_bytes", "count", "protocol_type", "service", "flag"]).select("features").collect() == good.select("features").collect()
+    with pytest.raises(ValueError, match="encoded columns"):
+        model.guarded(good, names=["count", "src_bytes", "protocol_type", "service", "flag"])
+    hot, numbers = F.col("features.hot"), F.col("features.numbers")
+    for wrong_numbers, wrong_hot in ((F.slice(numbers, 1, 1), hot), (numbers, F.slice(hot, 1, 2)), (numbers, F.reverse(hot))):
+        bad = good.withColumn("features", F.struct(wrong_numbers.alias("numbers"), wrong_hot.alias("hot")))
+        with pytest.raises(Exception, match="do not fit the model"):
+            model.guarded(bad).select("features").collect()
+
+
+def test_many_categories_are_joined_and_not_kept_on_the_driver(spark, monkeypatch):
+    rows = spark.range(3000).select(F.concat(F.lit("user "), F.col("id") % 1500).alias("user"), F.when(F.col("id") % 2 == 0, "a").alias("kind"), (F.col("id") % 7).alias("x"))
+    small = features.fit(rows, ["x"], ["user", "kind"])
+    monkeypatch.setattr(features, "small", lambda side: (side, False))  # as if not proven small
+    wide = features.fit(rows.repartition(5), ["x"], ["user", "kind"])
+    assert wide.width == 1 + 1500 + 2 and wide.blocks == small.blocks == [(1, 1500), (1501, 2)]
+    found = [{(r["user"], r["kind"]): r["features"] for r in m.encode(rows).collect() if r["features"]["numbers"] == [3.0]} for m in (small, wide)]
+    assert found[0] == found[1]
+    order = sorted({f"user {i % 1500}" for i in range(3000)})
+    assert found[0][("user 3", None)]["hot"] == [1 + order.index("user 3"), 1501]
+    unseen = rows.limit(1).select(F.lit("nobody").alias("user"), F.lit("a").alias("kind"), F.lit(1).alias("x"))
+    assert wide.encode(unseen).first()["features"]["hot"] == [-1, 1502]
