@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.llm.common import by_value, fresh, on_batches, text_batches
+from flowsift.llm.common import by_value, fresh, on_batches, stored, text_batches
 from flowsift.llm.grams import SOLID, VALUES, mix, span_hashes
 
 BUCKET_BITS = 17
@@ -138,28 +138,36 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_ROWS) -> Model:
     """A model from labelled rows that aren't held out: ``most`` of each class, in order of a hash.
 
-    Rows with other labels than 0 and 1, or without id, aren't learned from; a row labelled twice
-    counts twice.
+    Rows with other labels than 0 and 1, or without id, aren't learned from; rows alike in id, text
+    and label are one. An id that is labelled both ways counts for both. The chosen rows' features
+    meet in one task, which trains and returns the model: the driver gets ``2 ** BUCKET_BITS`` numbers.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    chosen = chosen[0].union(chosen[1])
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out()).distinct()
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+
+    def first(rows: DataFrame, *more: str) -> DataFrame:
+        zero, one = (rows.where(F.col("label") == k).orderBy(*by_hash, *more).limit(most) for k in (0, 1))
+        return zero.union(one)
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = counted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").repartition(24, "doc_id").select("label", "text"))
-    # at most two rows for each label asked for, where rows repeat; as Arrow, not as objects
-    table = rows.limit(4 * most).toArrow().combine_chunks()
-    labels_in = table.column("label").to_pylist()
-    parts = []
-    for name, kind in (("buckets", np.int32), ("weights", np.float32)):
-        column = table.column(name).combine_chunks() if table.num_rows else None
-        values = column.values.to_numpy() if column is not None else np.zeros(0, kind)
-        parts.append((values, column.offsets.to_numpy() if column is not None else np.zeros(1, np.int64)))
-    got = [
-        (label, parts[0][0][parts[0][1][k] : parts[0][1][k + 1]], parts[1][0][parts[1][1][k] : parts[1][1][k + 1]])
-        for k, label in enumerate(labels_in)
-    ]
-    got.sort(key=lambda r: (r[0], len(r[1]), r[1][:64].tobytes(), r[2][:64].tobytes()))
-    return train(got)
+    met = texts.join(F.broadcast(first(known)), "doc_id").withColumn("name", F.xxhash64("text"))
+    alone = met.groupBy("doc_id", "label", "name").agg(F.min("text").alias("text"))
+    chosen = stored(first(alone, "name"), "fit")
+    rows = counted(chosen.repartition(24, "doc_id").select("label", "text"))
+
+    def learn(batches):
+        got = []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("buckets", "weights")]
+            flat = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in columns]
+            for k, one in enumerate(batch.column("label").to_pylist()):
+                got.append((one, *(v[o[k] : o[k + 1]] for v, o in flat)))
+        got.sort(key=lambda r: (r[0], len(r[1]), r[1][:64].tobytes(), r[2][:64].tobytes()))
+        model = train(got)
+        yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
+
+    made = rows.repartition(1).mapInArrow(learn, "logits binary, bias double").first()
+    return Model(np.frombuffer(made["logits"]), made["bias"]) if made else train([])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
