@@ -19,7 +19,7 @@ shap_local_accuracy isolation_scores analysis_verdicts driver_topk evidence_json
 candidate_check resolve_ticket query_fence_check extract_response sanitize_evidence latest_review
 queue_list queue_summary validate_reviews idempotent_append ip_enrich top_cves confusion headline
 harmonize novelty canonical_ip clean_text envelope_parse envelope_roundtrip publish_frame
-stream_alerts connection_files manifest_check
+stream_alerts connection_files manifest_check wide_categories corrections_training_set payload_file
 """.split()
 
 

@@ -145,7 +145,8 @@ def check(
     """Adds the first failed check of each candidate, null for an acceptable one.
 
     ``rendered`` is the deterministic ticket, whose classification and evidence bodies the
-    candidate must repeat.
+    candidate must repeat. Where ``df`` has them as columns, as :func:`ticket_text.render` gives them,
+    they aren't cut out of the ticket again.
     """
     ticket = F.col("_ticket")
     starts = [F.get("_starts", F.lit(i)) for i in range(len(SECTION_TITLES))]
@@ -155,7 +156,9 @@ def check(
     for title, start in zip(SECTION_TITLES, starts):
         present = present & (start > 0)
         once = once & (F.position(F.lit(title), ticket, start + 1) == 0)
-    same = lambda i: _section(ticket, i) == _section(F.col(rendered), i)
+    bodies = {1: f"{rendered}_classification", 2: f"{rendered}_evidence"}
+    bound = lambda i: body_lines(F.col(bodies[i])) if bodies[i] in df.columns else _section(F.col(rendered), i)
+    same = lambda i: _section(ticket, i) == bound(i)
     structure = (
         F.when(ticket.isNull() | (ticket == ""), F.lit("empty"))
         .when(F.length(ticket) > MAX_TICKET_CHARS, F.lit("too_long"))

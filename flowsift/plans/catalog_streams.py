@@ -346,6 +346,27 @@ def manifest_check(spark, sf):
     return manifest.verify(whole, expected).select("name", "sha256", "ok")
 
 
+@query(
+    "file_digests",
+    """WITH r AS (SELECT o_custkey % 5 AS p, o_orderkey, CASE WHEN o_custkey % 5 = 3 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s FROM orders)
+SELECT CAST(p AS VARCHAR) AS name, sha256(string_agg(CAST(o_orderkey AS VARCHAR) || ',' || s || chr(10), '' ORDER BY o_orderkey)) AS sha256,
+       p <> 3 AS ok FROM r GROUP BY p""",
+)
+def file_digests(spark, sf):
+    """Files of orders against the digests of an earlier writing; one has changed since."""
+    folder = shared_dir(spark, "digests")
+    part = F.col("o_custkey") % 5
+    changed = F.when(part == 3, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    for name, status in (("before", F.col("o_orderstatus")), ("after", changed)):
+        lines = table(spark, sf, "orders").select(part.alias("p"), "o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), status).alias("value"))
+        lines = lines.repartition(5, "p").sortWithinPartitions("p", "o_orderkey").select("p", "value")
+        lines.write.partitionBy("p").text(f"{folder}/{name}")
+    named = lambda found: found.withColumn("path", F.regexp_extract("path", "/p=([0-9]+)/", 1))
+    known = named(manifest.digests(spark, f"{folder}/before/*/*.txt")).select(F.col("path").alias("name"), "sha256")
+    now = named(manifest.digests(spark, f"{folder}/after/*/*.txt", whole=0))
+    return manifest.verify(now, known).select("name", "sha256", "ok")
+
+
 @query(
     "metric_files",
     f"""WITH {B.CONN_SQL} SELECT 'holdout' AS protocol, 'rule' AS protocol_text, count(*) AS rows,

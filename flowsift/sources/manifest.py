@@ -29,11 +29,17 @@ def digests(spark: SparkSession, paths: str | list[str], whole: int = WHOLE_FILE
     return short.unionByName(long.repartition("path").mapInPandas(_chunked, short.schema))
 
 
+def store_uri(path: str) -> str:
+    """A file's address for the chunked reader, which knows object stores by their plain scheme."""
+    scheme, found, rest = path.partition("://")
+    return f"s3://{rest}" if found and scheme in ("s3a", "s3n") else path
+
+
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for path in batch["path"]:
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = fs.FileSystem.from_uri(store_uri(path))
             digest = hashlib.sha256()
             with store.open_input_stream(name) as stream:
                 while chunk := stream.read(CHUNK_BYTES):

@@ -10,7 +10,7 @@ from tools.check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 # the driver checks these too; they train models and take tens of seconds each
-SLOW = {"analysis_rejects", "analysis_verdicts", "artifact_roundtrip", "isolation_scores", "stream_model", "stream_quarantine", "stream_summary"}
+SLOW = {"analysis_rejects", "analysis_verdicts", "retrain_report", "stream_model", "stream_quarantine", "transfer_benchmark"}
 ORACLES = entry_point.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not available")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,32 @@ def test_first_write_wins_and_batches_can_be_repeated(spark, tmp_path):
     assert stored == {"a": "early", "b": "b", "c": "c"}
 
 
+def test_a_batch_reads_its_own_buckets_only_and_batches_can_be_merged(spark, tmp_path):
+    path, merged = str(tmp_path / "tickets"), str(tmp_path / "merged")
+    for batch in range(3):
+        rows = [(f"e{i}", "1", "10.0.0.1", f"t{batch}") for i in range(batch * 20, batch * 20 + 40)]
+        tickets.append_alerts(_alerts(spark, rows), path, batch)
+    whole = tickets.load(spark, path)
+    assert whole.count() == 80
+    bucket = whole.where("event_id = 'e7'").first()["bucket"]
+    own = whole.where(F.col("bucket").isin([bucket]))
+    files = {r[0] for r in own.select(F.input_file_name()).collect()}
+    assert files and all(f"/bucket={bucket}/" in f for f in files) and len(files) < len(whole.inputFiles()) / 8
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", own._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in tmp_path.iterdir() if p.name not in ("tickets", "tickets.candidates")]
+    made = tickets.compact(spark, path, merged)
+    pick = ["event_id", "ticket_text", "bucket"]
+    assert made.select(pick).exceptAll(whole.select(pick)).isEmpty() and made.count() == 80
+    assert len(made.inputFiles()) == whole.select("bucket").distinct().count() < len(whole.inputFiles())
+    # the last batch again, and a new one
+    again = _alerts(spark, [(f"e{i}", "1", "10.0.0.1", "other") for i in range(40, 80)])
+    assert tickets.append_alerts(again, merged, 2).count() == 0
+    assert tickets.append_alerts(_alerts(spark, [("e1", "1", "10.0.0.1", "x"), ("new", "1", "10.0.0.1", "x")]), merged, 3).count() == 1
+    assert tickets.load(spark, merged).count() == 81
+    with pytest.raises(ValueError):
+        tickets.compact(spark, path, path + "/")
+
+
 def test_many_repeats_of_one_event(spark, tmp_path):
     hot = _alerts(spark, [("hot", "1", "10.0.0.1", "t")])
     many = hot.crossJoin(spark.range(5000)).drop("id")
