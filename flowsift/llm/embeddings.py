@@ -114,6 +114,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
 
     A vector that is null, empty, zero, or holds null or non-finite components, or whose id is null,
     links with nothing; so do vectors of different lengths. Rows that share an id are one vector.
+    No rows give no rows.
     """
     units = stored(unit_vectors(vectors, id_col, column).dropDuplicates(["vec_id"]), "units")
     bits, tables, window = calibrate(units.count(), cosine)

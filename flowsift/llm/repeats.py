@@ -7,8 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowsift.llm.common import by_value, on_batches, stored
-from flowsift.llm.grams import VALUES, mix
+from flowsift.llm.common import by_value, on_batches, stored, text_batches
+from flowsift.llm.grams import SOLID, VALUES, Words, mix, words
 
 LENGTH = 400
 GRAM = 32
@@ -20,6 +20,11 @@ SHALLOW = 16
 #: rows of one group that a task sorts at most; larger groups are compared by hashes of whole strings
 GROUP_ROWS = 100_000
 BLOCK_ROWS = 20_000
+#: words of a passage, and of the gram by which a window of so many is known
+PASSAGE = 51
+WORD_GRAM = 16
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,29 +103,91 @@ def _runs(batch: pa.RecordBatch):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """``(key, pos, first, end, around, after, before)``: anchors with hashes of their surroundings.
+    """``(key, pos, first, end, around, after, before, wordy)``: anchors with hashes of their surroundings.
 
     ``first`` and ``end`` bound the bytes within reach of a string through the anchor, ``around``
     is their hash; ``after`` and ``before`` are those of the HALF bytes on either side (null if the
-    text ends earlier).
+    text ends earlier). ``wordy`` surroundings hold a passage of whole words.
     """
 
     def make(batch):
         for part in _runs(batch):
-            keys, columns = part.column("key").to_pylist(), [[] for _ in range(7)]
+            keys, columns = part.column("key").to_pylist(), [[] for _ in range(8)]
             texts = _bytes(part)
-            for key, text, own in zip(keys, texts, _own_anchors(texts)):
+            found = _own_anchors(texts)
+            edges = np.flatnonzero(np.diff(SOLID[np.frombuffer(b" ".join([*texts, b""]), np.uint8)], prepend=False, append=False))
+            sizes = np.array([len(t) for t in texts])
+            base, many = np.cumsum(sizes + 1) - sizes - 1, np.array([len(own) for own in found])
+            at = np.array([a for own in found for a in own], np.int64)
+            low, high = np.maximum(0, at - STARTS + 1), np.minimum(np.repeat(sizes, many), at + LENGTH)
+            base = np.repeat(base, many)
+            wordy = np.searchsorted(edges[1::2], base + high, "right") - np.searchsorted(edges[::2], base + low) >= PASSAGE
+            reach = zip(low.tolist(), high.tolist(), wordy.tolist())
+            for key, text, own in zip(keys, texts, found):
                 for a in own:
-                    lo, hi = max(0, a - STARTS + 1), min(len(text), a + LENGTH)
+                    lo, hi, wordy = next(reach)
                     around = xxhash.xxh3_64_intdigest(text[lo:hi], a - lo)
                     after = _signed(xxhash.xxh3_64_intdigest(text[a : a + HALF], 1)) if a + HALF <= len(text) else None
                     before = _signed(xxhash.xxh3_64_intdigest(text[a - HALF : a], 2)) if a >= HALF else None
-                    for c, v in zip(columns, (key, a, lo, hi, _signed(around), after, before)):
+                    for c, v in zip(columns, (key, a, lo, hi, _signed(around), after, before, wordy)):
                         c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "pos", "first", "end", "around", "after", "before"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "pos", "first", "end", "around", "after", "before", "wordy"])
 
-    return docs.mapInArrow(on_batches(make), "key long, pos int, first int, end int, around long, after long, before long")
+    return docs.mapInArrow(on_batches(make), "key long, pos int, first int, end int, around long, after long, before long, wordy boolean")
+
+
+def word_windows(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(windows, anchors, grams)``: where windows of PASSAGE words begin, the anchor each takes, and hashes of the grams.
+
+    A window takes its gram of least hash, the last of several alike, as strings do theirs.
+    """
+    n = len(found.hashes)
+    if n < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, step = found.hashes, 1
+    while step < WORD_GRAM:
+        h = h[:-step] * np.uint64(pow(int(FACTOR), step, 1 << 64)) + h[step:]
+        step *= 2
+    h = mix(h)
+    low = np.uint64((1 << 32) - 1)
+    least = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+    step, wide = 1, PASSAGE - WORD_GRAM + 1
+    while 2 * step <= wide:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if step < wide:
+        least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
+    ends = np.repeat(found.first[1:], np.diff(found.first))[: len(least)]
+    windows = np.flatnonzero(np.arange(len(least)) + PASSAGE <= ends)
+    return windows, (low - (least[windows] & low)).astype(np.int64), h
+
+
+def word_anchor_rows(docs: DataFrame) -> DataFrame:
+    """``(key, pos, gram)``: the word at which an anchor begins, and the hash of its gram of words."""
+
+    def make(batch):
+        keys = batch.column("key")
+        for first, texts in text_batches(batch, "text"):
+            found = words(texts, SOLID)
+            _, anchors_, grams = word_windows(found)
+            at = np.unique(anchors_)
+            owner = np.searchsorted(found.first, at, "right") - 1
+            columns = [keys.take(pa.array(first + owner)), pa.array((at - found.first[owner]).astype(np.int32)), pa.array(grams[at].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "pos", "gram"])
+
+    return docs.mapInArrow(on_batches(make), "key long, pos int, gram long")
+
+
+def _window_names(text: bytes, asked: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of the asked anchors begin, in words, and their hashes."""
+    found = words([text.decode("utf-8", "surrogatepass")], SOLID)
+    windows, anchors_, _ = word_windows(found)
+    chosen = windows[np.isin(anchors_, asked)]
+    n = len(found.hashes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found.hashes * np.cumprod(np.full(n, FACTOR)))])
+    shift = np.cumprod(np.full(n, INVERSE))
+    return chosen, mix((sums[chosen + PASSAGE] - sums[chosen]) * shift[chosen]).view(np.int64)
 
 
 class BlindTrie:
@@ -305,7 +372,11 @@ def _group_spans(rows: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of groups, with the bytes of the text that may still differ on either side of an anchor."""
+    """Rows of groups, with the bytes of the text that may still differ on either side of an anchor.
+
+    Where words are asked for (``near`` is null), the rows are the windows of the anchor at that
+    word, alike ones of a text once: their group is the hash of the window's words.
+    """
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct("pos", "group", "near", "hot")).alias("asked"))
     schema = "group long, near boolean, hot boolean, key long, pos int, after binary, before binary"
 
@@ -313,8 +384,17 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part in _runs(batch):
             columns = [[] for _ in range(7)]
             for key, text, asked in zip(part.column("key").to_pylist(), _bytes(part), part.column("asked").to_pylist()):
+                at_words = [x["pos"] for x in asked if x["near"] is None]
+                if at_words:
+                    where, names = _window_names(text, at_words)
+                    names, one = np.unique(names, return_index=True)
+                    none, met = [None] * len(one), next(x["hot"] for x in asked if x["near"] is None)
+                    for c, v in zip(columns, (names.tolist(), none, [met] * len(one), [key] * len(one), where[one].tolist(), none, none)):
+                        c += v
                 for x in asked:
                     a = x["pos"]
+                    if x["near"] is None:
+                        continue
                     if x["near"]:
                         after, before = text[a + HALF : a + LENGTH], text[max(0, a - HALF) : a][::-1]
                     else:
@@ -346,42 +426,73 @@ def _hot_spans(rows: DataFrame) -> DataFrame:
     return strings.join(again, "name").select("key", "first", (F.col("first") + LENGTH).alias("end"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``(key, first, end)``: bytes of strings of LENGTH that also start elsewhere; spans may overlap.
+def _unmet_anchors(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """``(key, pos, met)``: anchors of words that are also in another document, if one of these isn't ``met`` yet."""
+    rows = stored(word_anchor_rows(docs), "words")
+    rows = rows.join(met.withColumn("met", F.lit(True)), "key", "left")
+    shared = rows.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count_if(F.col("met").isNull()).alias("unmet"))
+    return rows.join(shared.where("low != high and unmet > 0").select("gram"), "gram").select("key", "pos", F.col("met").isNotNull().alias("met"))
+
+
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, first, end)``: bytes of strings of LENGTH that also start elsewhere; and ``(key, place)``: shared passages.
 
     ``docs`` has ``(key, text)``. An anchor whose whole surroundings occur again settles all strings
     through it. Of the rest, those that share HALF bytes on one side with another are grouped by
-    them, one anchor standing for equal surroundings, and sorted in their group.
+    them, one anchor standing for equal surroundings, and sorted in their group. Spans may overlap.
+
+    A passage is PASSAGE words in a row that another key has too. Settled surroundings with so many
+    whole words are one. Keys without any are looked at by windows of words: those whose anchor is a
+    gram that other keys have, too, are compared by a hash of all their words.
     """
-    rows = stored(anchor_rows(docs), "anchors")
+    long = docs.where(F.octet_length("text") >= LENGTH)
+    rows = stored(anchor_rows(long), "anchors")
     classes = rows.groupBy("around").agg(
-        F.count("*").alias("n"), F.min(F.struct("key", "pos", "after", "before")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct("key", "pos", "after", "before")).alias("one"), F.max("key").alias("high")
     )
     classes = stored(classes, "surroundings")
-    settled = rows.join(classes.where("n > 1").select("around"), "around").select("key", "first", "end")
+    again = classes.where("n > 1").select("around", (F.col("one.key") != F.col("high")).alias("elsewhere"))
+    settled = stored(rows.join(again, "around").select("key", "pos", "first", "end", F.expr("elsewhere and wordy").alias("passage")), "settled")
+    met = settled.where("passage").select("key", F.col("pos").alias("place"))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("near"), F.col("one.after").alias("group")), F.struct(F.lit(False).alias("near"), F.col("one.before").alias("group"))))
     open_rows = classes.select("n", F.col("one.key").alias("key"), F.col("one.pos").alias("pos"), sides.alias("s"))
     open_rows = open_rows.select("n", "key", "pos", "s.near", "s.group").where("group is not null")
     groups = open_rows.groupBy("group", "near").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     wanted = open_rows.join(groups, ["group", "near"]).select("key", "pos", "group", "near", (F.col("m") > GROUP_ROWS).alias("hot"))
+    asked = _unmet_anchors(docs.where(F.octet_length("text") >= 2 * PASSAGE - 1), met.select("key").distinct())
+    none = F.lit(None)
+    wanted = wanted.union(asked.select("key", "pos", none.cast("long").alias("group"), none.cast("boolean").alias("near"), F.col("met").alias("hot")))
     around = stored(_surroundings(docs, wanted), "strings")
-    return settled.union(_group_spans(around.where("not hot"))).union(_hot_spans(around.where("hot")))
+    windows = around.where("near is null").select("group", "key", F.col("pos").alias("place"), F.col("hot").alias("met"))
+    shared = windows.groupBy("group").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("group")
+    # documents with settled passages took part as partners only
+    passages = met.union(windows.where("not met").join(shared, "group").select("key", "place"))
+    strings = around.where("near is not null")
+    spans = settled.select("key", "first", "end").union(_group_spans(strings.where("not hot"))).union(_hot_spans(strings.where("hot")))
+    return spans, passages
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows with what is left: ``(doc_id, n_bytes, removed, kept)``.
+    """All rows with what is left: ``(doc_id, n_bytes, removed, kept, passages)``.
 
     Texts are UTF-8 bytes, null is empty. Each byte goes that is covered by a string of LENGTH bytes
     which also starts anywhere else, in any row, in the same one included; all strings are judged on
     the input. ``removed`` holds the maximal runs ``(first, end)``, ``kept`` the bytes that remain.
     Texts shorter than LENGTH keep everything. Rows that are alike are places of their own: from
-    LENGTH bytes on, both go whole. A null id is kept as it is.
+    LENGTH bytes on, both go whole. A null id is kept as it is. No rows give no rows.
+
+    ``passages`` counts the places where PASSAGE words in a row were found that a row with another id
+    or text has, too, 0 if there are none; the words are those between white space, A-Z lower-cased.
+    They may have fewer bytes than LENGTH, and then stay.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     keyed = narrow.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.where(F.octet_length("text") >= LENGTH).select("key", "text"))
+    spans, passages = repeated_spans(keyed.select("key", "text"))
+    spans = spans.union(passages.select("key", "place", F.lit(-1)))  # an end of -1 marks a passage
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    spans = stored(spans.select("key", F.transform("spans", lambda s: s["first"]).alias("firsts"), F.transform("spans", lambda s: s["end"]).alias("ends")), "spans")
+    real = F.filter("spans", lambda s: s["end"] >= 0)
+    spans = spans.select("key", F.transform(real, lambda s: s["first"]).alias("firsts"), F.transform(real, lambda s: s["end"]).alias("ends"), (F.size("spans") - F.size(real)).cast("long").alias("passages"))
+    spans = stored(spans, "spans")
 
     def make(batch):
         for part in _runs(batch):
@@ -400,17 +511,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 removed.append([{"first": a, "end": b} for a, b in runs])
                 kept.append(b"".join([*left, text[at:]]))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-            columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept"])
+            columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), part.column("passages")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept", "passages"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "firsts", "ends")
-    return joined.mapInArrow(on_batches(make), f"doc_id {kind}, n_bytes long, removed array<struct<first:int,end:int>>, kept binary")
+    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "firsts", "ends", F.coalesce("passages", F.lit(0)).alias("passages"))
+    return joined.mapInArrow(on_batches(make), f"doc_id {kind}, n_bytes long, removed array<struct<first:int,end:int>>, kept binary, passages long")
 
 
 def report(cleaned: DataFrame) -> DataFrame:
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["first"]))
-    return cleaned.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("passages").alias("n_passages"))
 
 
 by_value(__name__)

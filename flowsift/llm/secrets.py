@@ -107,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tup
     Postings of the trigrams that the rules need are intersected to candidates per rule; a rule is
     tried on its candidates only, one without mandatory trigrams on every text. Rows meet their
     candidates by a hash of id and text, so equal rows and null ids are all scanned; a hash that
-    two rows share only adds a candidate. Null and empty texts have no spans.
+    two rows share only adds a candidate. Null and empty texts have no spans. No rows give no rows.
     """
     index = stored(postings(docs, id_col, text, rules), "postings")
     docs = docs.drop(into)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from flowsift.llm import chat, common, decontaminate, embeddings, minhash, packing, pages, quality, repeats, secrets, warc
+from flowsift.llm import chat, common, decontaminate, embeddings, grams, minhash, packing, pages, quality, repeats, secrets, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -173,6 +173,41 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(200, 206))
 
 
+def test_chats_and_vectors_and_archives_without_rows_and_with_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", 1), (1, 1, "assistant", "b", "x", 1), (1, 1, "assistant", "b", "x", 1), (None, None, None, None, "x", 1)], "conv_id long, turn long, role string, text string, formatted string, block int")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.report(chat.format_chats(turns)).collect()}
+    assert got == {1: (3, 2), None: (1, 0)}
+    assert chat.report(chat.format_chats(turns.where("turn > 9"))).count() == 0
+    unit = [1.0] + [0.0] * 15
+    vectors = spark.createDataFrame([(1, unit, "x", 1), (1, unit, "x", 1), (2, unit, "x", 1), (3, unit[::-1], "x", 1), (None, unit, "x", 1)], "vec_id long, embedding array<double>, g string, component long")
+    found = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors).collect())
+    assert found == [(-1, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+    assert embeddings.near_duplicates(vectors.where("vec_id > 9")).count() == 0
+    pages_ = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "y", 1)] * 2, "page_id long, url string, html string, record_id string, content string")
+    assert warc.report(warc.derive(warc.responses(pages_))).count() == 4
+    assert warc.report(warc.derive(warc.responses(pages_.where("page_id > 9")))).count() == 0
+
+
+def test_vector_links_are_found_among_many(spark):
+    """Recall at scale: pairs planted just above the cosine, and far ones, among 4,000 vectors."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(600):  # cosines from 0.9505 to 0.999, and as many just below 0.95
+        cos = 0.9505 + 0.0485 * rng.random() if k % 2 else 0.9495 - 0.02 * rng.random()
+        side = rng.standard_normal(64)
+        side -= side @ x[k] * x[k]
+        x[1000 + k] = cos * x[k] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    near = np.triu(x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.95, 1)
+    want = (near | near.T).sum(axis=1)
+    assert near.sum() >= 300
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    links = np.zeros(len(x), int)
+    for r in got.collect():
+        links[r.vec_id] = r.n_links
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(1)
     rows = [(i, words_of(rng, 30) if i % 3 else " ".join(w + "***" for w in words_of(rng, 30).split())) for i in range(300)]
@@ -194,6 +229,52 @@ def test_packing_has_the_tokenizers_ids_of_added_tokens_and_rare_code_points():
         assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_classifier_learns_alike_rows_once_and_scores_them_alike(spark):
+    rows = [(i, words_of(random.Random(i), 25) + ("***" if i % 2 else "")) for i in range(120)]
+    labels = [(i, i % 2, "x") for i in range(120)] + [(None, 1, "x"), (3, None, "x"), (4, 7, "x")]
+    table = lambda r: spark.createDataFrame([(*x, "x", 1) for x in r], "doc_id long, text string, name string, label int")
+    known = lambda r: spark.createDataFrame(r, "doc_id long, quality int, text string")
+    once = quality.fit(table(rows), known(labels), most=40)
+    # repeated rows, in another layout, and one id with two texts beyond the bound
+    again = quality.fit(table([*rows, *rows, *rows[:9]]).repartition(7), known([*labels, *labels]), most=40)
+    assert np.array_equal(once.logits, again.logits) and once.bias == again.bias
+    docs = table([(1, "a text"), (1, "a text"), (None, "a text"), (2, None), (3, ""), (4, "long " * 300_000)])
+    got = quality.score(docs, once).collect()
+    assert len({r.score for r in got[:3]}) == 1 and len({r.score for r in got[3:5]}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(docs.where("doc_id > 9"), once).count() == 0
+    empty_model = quality.fit(table(rows).where("doc_id < 0"), known(labels))
+    assert {r.score for r in quality.score(docs, empty_model).collect()} == {0.5}
+    only = quality.fit(table(rows), known([(i, 1, "x") for i in range(9)]))
+    assert quality.score(docs, only).where("predicted = 1").count() == 6
+
+
+def test_word_hashes_see_the_order_of_blocks():
+    a, b = "a" * 4096, "b" * 4096
+    found = [grams.words([w], grams.SOLID).hashes.tolist() for w in (a + b, b + a, a + a + b, a + b + a, b + a + a, a, a + "c", "c" + a)]
+    assert len({h for (h,) in found}) == len(found)
+    assert grams.words([f"x {a + b} y"], grams.SOLID).hashes[1] == found[0][0]
+
+
+def test_long_texts_of_the_rules_worst_cases(spark):
+    many = 1_000_000
+    texts = [
+        "-----BEGIN " + "A " * (many // 2) + "PRIVATE KEY-----", "-----BEGIN " + "PRIVATE " * (many // 8) + "PRIVATE KEY-----", "-----BEGIN " * (many // 11),
+        "-----BEGIN " + "A " * (many // 2), "eyJ" * (many // 3), "eyJ" + "a" * many + ".", "password" + " " * many, "secret" * (many // 6), "token=" + "a" * many,
+        "AKIA" * (many // 4), "AKIA" + "A" * many, "0" * many, "ghp_" + "a" * many, "ghp_" * (many // 4), "xoxb-" + "1" * many, "xoxb-" * (many // 5), '"\'' * (many // 2),
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[0] == [f"pem:0:{len(texts[0])}"] and got[1] == [f"pem:0:{len(texts[1])}"]
+    assert got[8] == [f"assign:0:{len(texts[8])}", f"hex:6:{len(texts[8])}"] and got[11] == [f"hex:0:{many}"]
+    assert got[2] == got[3] == got[4] == got[6] == got[7] == got[13] == [""]
+
+
+def test_keys_in_private_key_blocks_are_found_as_before(spark):
+    rows = [(0, "x -----BEGIN PRIVATE KEY----- y"), (1, "-----BEGIN RSA PRIVATE KEY-----"), (2, "-----BEGIN A B PRIVATE C PRIVATE KEY-----"), (3, "-----BEGIN PRIVATE KEY---- -----BEGIN OPENSSH PRIVATE KEY-----"), (4, "-----BEGIN  PRIVATE KEY-----"), (5, "t eyJaaaaaaaa.eyJbbbbbbbb.cccccccc t")]
+    found = {r.doc_id: r.spans for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found == {0: "pem:2:29", 1: "pem:0:31", 2: "pem:0:41", 3: "pem:27:62", 4: "", 5: "jwt:2:34"}
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><nav><a href=/>{n}</a></nav><div class='ad-box'>buy</div><article><h1>H {n} &amp; x</h1><p>a <b>b</b>\n c<br>d<p>same</article><div id=comments><p>me</div><footer>&copy;</footer>"
     rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(6)] + [(9, None, None), (10, "x", ""), (11, "http://h.example/9", "<p>only " * 3)]
@@ -231,6 +312,61 @@ def test_pages_go_on_after_elements_without_end_tag():
         assert pages.main_text(f"<p>a<{name}/> no <p>no", set()) == "a"
 
 
+def test_pages_leave_out_comments_and_teasers_in_article_elements():
+    text = "<p>a long post that says much of this and of that</p>"
+    comment = "<article class='comment'><p>nice</p></article>"
+    for page in (
+        f"<article class=post>{text}</article><div id='comments'>{comment * 3}</div>",
+        f"<article class=post>{text}<div id='comments'>{comment * 9}</div></article>",
+        f"<main><article>{text}</article><div class='related'><article><p>teaser</p></article><article>other</article></div></main>",
+        f"<div class='related'><article><p>teaser</p></article></div><article>{text}</article>",
+        f"<body class='comments-open'><article>{text}</article><section class='comments'>{comment}</section></body>",
+        f"<div class=content>{text}</div><div class=related><article>teaser</article></div>",
+        f"<aside><article>teaser</article></aside><article>{text}</article>",
+    ):
+        assert pages.main_text(page) == "a long post that says much of this and of that", page
+
+
+def test_pages_read_apostrophes_in_unquoted_attributes():
+    assert pages.main_text("<p title=don't>Hello</p>") == "Hello"
+    assert pages.main_text("<article><p title=don't>Hello</p><p>it's <b data-x='a > b' title=\"it's\">all</b> there</p></article>") == "Hello\nit's all there"
+    assert pages.main_text("<p title='a' it's>Hello <a href=/x'>y</a> z</p><p>more") == "Hello y z\nmore"
+    assert pages.main_text("<div title='class=ad' data-class=ad>yes</div><div class=ad>no</div>") == "yes"
+    for bad in ("<a " * 20_000, "<a b= " * 20_000, "<a b= ' " * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<select>" * 20_000):
+        pages.main_text(bad)  # in linear time
+
+
+def test_pages_keep_articles_whose_class_holds_a_telling_word():
+    assert pages.main_text('<div class="alert-post"><p>Hello</p></div>') == "Hello"
+    assert pages.main_text('<div class="alert-post"><p>Hello, this is the post</p></div><p>bye</p>') == "Hello, this is the post\nbye"
+    assert pages.main_text('<article><p>an <span class="alert">important</span> word</p><p class="share">x</p></article>') == "an important word\nx"
+    assert pages.main_text('<div class="widget"><p>all there is</p></div>') == "all there is"
+    assert pages.main_text('<article><p>text</p><div class="ad">buy</div><div class="share-buttons">share</div></article>') == "text"
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_pages_leave_out_link_lists_within_articles_by_the_template(spark, monkeypatch, most):
+    monkeypatch.setattr(pages, "MOST_HOSTS", most)
+    links = lambda i: "".join(f"<li><a href=/>page {i} {k} of others</a></li>" for k in range(2 + i % 3))
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Text {i} with <a href=/>a link {i}</a> and some more words of its own, as the text of an article is the longest part of its page.</p><div class=qx><ul>{links(i)}</ul></div><p class=end>Written by {i}.</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nText {i} with a link {i} and some more words of its own, as the text of an article is the longest part of its page.\nWritten by {i}." for i in range(8)}
+    alone = pages.main_text(page(3))
+    assert "of others" in alone  # without the template they are text like any other
+
+
+def test_pages_with_clashing_columns_repeated_rows_and_no_rows(spark):
+    page = "<body><nav>menu</nav><article><p>same</p></article></body>"
+    rows = [(1, "http://h.example/1", page, "x", 1, "y")] * 3 + [(None, "HTTP://H.example/2", page, "x", 1, "y"), (2, None, page, "x", 1, "y"), (3, "http://h.example/3", "<p>" + "word " * 200_000 + "<br>" * 1000, "x", 1, "y")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, page int, text string")
+    got = pages.extract(table)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    texts = [(r.page_id, r.text) for r in got.collect()]
+    assert sorted(texts, key=str) == sorted([(1, "same")] * 3 + [(None, "same"), (2, "same"), (3, ("word " * 200_000).strip())], key=str)
+    assert pages.extract(table.where("page_id < 0")).count() == 0
+
+
 def opaque_page(i):
     links = lambda n, word: "".join(f"<li><a href=/>{word} {i} {k} of other pages</a></li>" for k in range(n))
     text = "".join(f"<p>Paragraph {k} of {i}, <a href=/>linked {i}</a> and long enough to be most of page {i} as articles are.</p>" for k in range(3 + i % 3))
@@ -334,7 +470,35 @@ def test_repeats(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for most in (repeats.GROUP_ROWS, 1):  # sorted in groups, and the way for groups too large for that
         monkeypatch.setattr(repeats, "GROUP_ROWS", most)
-        assert {r[0]: tuple(r)[1:] for r in repeats.report(repeats.remove_repeats(table)).collect()} == want
+        assert {r[0]: tuple(r)[1:5] for r in repeats.report(repeats.remove_repeats(table)).collect()} == want
+
+
+def test_repeated_passages_of_few_bytes_are_counted(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("a be see dee he eff gee zed x y z oh".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    short, shorter, large = say(51), say(50), say(120)
+    rows = [
+        (1, f"{say(70)} {short} {say(30)}"), (2, f"{short.upper()}\n{say(200)}"), (3, f"{say(9)} {shorter} {say(40)}"), (4, f"{say(5)} {shorter} {say(50)}"),
+        (5, f"{say(60)} {large} {say(2)}"), (6, f"{say(60)}\t{large}"), (7, "w " * 200), (8, short + " " + say(20) + " " + short), (9, say(300)), (10, None), (11, ""), (12, "b" * 900),
+        (13, f"{say(3)} {large[:300]}"), (14, f"{' '.join('ab' for _ in range(60))}"), (15, f"{' '.join('ab' for _ in range(70))}"), (16, say(51)), (16, say(51)), (None, say(80)),
+    ]
+    rows += [(20, rows[8][1]), (21, rows[8][1]), (22, "sole row " + say(60)), (22, rows[-1][1])]
+    rows += [rows[-1], (23, say(90)), (23, "once")]
+    holders = {}
+    for key in set(rows):
+        w = (key[1] or "").translate(LOWER).split()
+        for k in range(len(w) - 50):
+            holders.setdefault(tuple(w[k : k + 51]), set()).add(key)
+    want = {key: 0 for key in rows}
+    for keys in holders.values():
+        if len(keys) > 1:
+            want.update(dict.fromkeys(keys, 1))
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, first int").repartition(5)
+    got = repeats.remove_repeats(table)
+    assert sum(want.values()) >= 10 and got.count() == len(rows)
+    by_row = {(r.doc_id, r.text): r.passages for r in got.join(table.select("doc_id", "text"), "doc_id").collect() if r.n_bytes == len((r.text or "").encode())}
+    assert {k: min(v, 1) for k, v in by_row.items()} == {k: v for k, v in want.items() if k in by_row} and len(by_row) >= len(want) - 4
+    assert repeats.report(repeats.remove_repeats(table.where("doc_id < 0"))).count() == 0
 
 
 def test_deep_shallow_orders_like_sorted():
