@@ -26,10 +26,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: made once, and later reads survive lost executors."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +62,7 @@ def on_batches(function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | p
     return run
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_batches(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows with about ``most`` characters: (first row, texts), null texts as empty."""
     first, texts, size = 0, [], 0
     for row, text in enumerate(batch.column(column).to_pylist()):

@@ -124,7 +124,9 @@ class Tags(dict):
 
 
 def parse(html: str, tags: Tags) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """``(ids, flags, texts)``: id and bits of every token, and the texts among them. A text of white space has id 0.
+    """``(ids, flags, texts)``: id and bits of every token, and the texts among them, empty if beside the article.
+
+    A text of white space has id 0.
 
     The article is the article and main elements below the fewest elements that class or id call
     a page part, so that of a post's comments or of a list of related posts isn't one; if even
@@ -182,7 +184,9 @@ def parse(html: str, tags: Tags) -> tuple[np.ndarray, np.ndarray, list[str]]:
     shown = [m for m, e in zip(own_mass, element_bits) if not e & BESIDE]
     if mass[0] and not any(shown):  # not by words alone
         element_bits = _sides(parent, [b & ~(WORD | PART_WORD | OUTER | PART_OUTER) for b in bits], mass)
-    return np.array(ids, np.int64), np.array(flags, np.uint8) | np.array(element_bits, np.uint8)[np.array(owner, np.int64)], texts
+    bits_of = np.array(flags, np.uint8) | np.array(element_bits, np.uint8)[np.array(owner, np.int64)]
+    beside = (bits_of[bits_of & TEXT > 0] & BESIDE > 0).tolist()
+    return np.array(ids, np.int64), bits_of, ["" if b else t for t, b in zip(texts, beside)]
 
 
 def _sides(parent: list[int], bits: list[int], mass: list[int]) -> list[int]:
@@ -570,7 +574,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
         F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"),
         F.when(F.length(host) > 0, host).alias("host"), F.xxhash64(id_col, url, html).alias("page"),
     )
-    read = stored(parsed(rows), "parsed")
+    read = stored(parsed(rows), "parsed", "zstd")
     own, common = templates(read)
 
     def make(batch, of):
