@@ -21,7 +21,7 @@ EPOCHS = 8
 RATE = 0.5
 BATCH = 32
 #: characters whose features are worked out at once
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     The two replace columns of the names ``into``.
 
-    Null and empty texts get the score of no features. Nothing is shuffled; the model is one
+    Rows that are alike get the same score. No rows give no rows. Null and empty texts get the score of no features. Nothing is shuffled; the model is one
     broadcast of ``2 ** BUCKET_BITS`` numbers whatever the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.logits, model.bias))  # plain arrays: executors need no package
