@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from flowsift.functions import drivers
 from flowsift.functions.labels import add_family
 from flowsift.operators import artifact as artifacts, forest, isolation, shap
 from flowsift.plans import jobs
+from flowsift.plans.catalog import QUERIES
 
 SHAPE = "event_id long, source_ip string, protocol_type string, service string, flag string, src_bytes double, count double, label string"
 NUMBERS = ["src_bytes", "count"]
@@ -202,6 +204,63 @@ def test_attributions_match_brute_force_shapley(spark, trained):
             assert abs((got[j]["value"] if j in got else 0.0) - want) < 1e-9
 
 
+def _grown(n, features, classes, whole, trees=3):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 40, (n, features)).astype(float) if whole else rng.normal(size=(n, features))
+    label = (x[:, 0] // 10).astype(int) % classes if whole else rng.integers(0, classes, n)
+    out = []
+    for tree in range(trees):
+        made = forest.grow(x, np.zeros((n, 0), int), label, np.ones(n, int), classes, 25, 2, np.random.default_rng([1, tree]))
+        out.append(pd.DataFrame([(tree, *node) for node in made], columns=[c.split()[0] for c in forest.NODES.split(", ")]))
+    return x, rng.integers(0, classes, n), out
+
+
+def _walks(spark, trees, features):
+    plain = [[*row[:-1], row[-1].tolist()] for tree in trees for row in tree.astype(object).itertuples(index=False, name=None)]
+    nodes = spark.createDataFrame(plain, forest.NODES)
+    steps = shap.step_table(nodes).toPandas()
+    return [shap._pack(own, {f: f for f in range(features)}) for _, own in steps.groupby("tree_id")]
+
+
+def test_rows_that_a_tree_cannot_tell_apart_are_walked_once(spark, monkeypatch):
+    x, target, trees = _grown(400, 3, 2, True)
+    block = _walks(spark, trees, 3)
+    many = np.tile(x, (10, 1))
+    whole = shap._forest_values(block, many, np.tile(target, 10))
+    walked = []
+    plain = shap.Walk.values
+    monkeypatch.setattr(shap.Walk, "values", lambda self, x, target: walked.append(len(x)) or plain(self, x, target))
+    again = shap._forest_values(block, many, np.tile(target, 10))
+    assert (whole == again).all() and len(walked) == 3 and max(walked) <= 400
+    apart = np.concatenate([sum(t.values(x[i : i + 1], target[i : i + 1]) for t in block) for i in range(0, 400, 40)], axis=1)
+    assert (apart == whole[:, 0:400:40]).all()  # whatever rows are beside it
+
+
+def test_attributions_of_deep_trees_add_up(spark):
+    x, target, trees = _grown(300, 30, 3, False)
+    block = _walks(spark, trees, 30)
+    assert max(w.width for w in block) > 8
+    x[5, 2] = np.inf
+    found = shap._forest_values(block, x, target).sum(axis=0)
+    for row in range(0, 300, 7):
+        want = 0.0
+        for tree in trees:
+            at = {n.node_id: n._asdict() for n in tree.itertuples()}
+            leaves = tree[tree["left"] < 0]
+            base = sum(n.cover * n.share[target[row]] for n in leaves.itertuples()) / leaves["cover"].sum()
+            want += _leaf(at, x[row])["share"][target[row]] - base
+        assert abs(found[row] - want) < 1e-9
+
+
+def test_few_vectors_are_explained_on_all_cores(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, [float(v) for v in rng.normal(size=5)]) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["shap_local_accuracy"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.where("adds_up").count() == 30
+
+
 def test_drivers_carry_names_and_unscaled_values(spark, trained):
     rows = _connections(spark, 40, 6)
     done = jobs.analyze(trained, rows, spread=False, explain_normal=True)
