@@ -50,6 +50,28 @@ def test_a_row_scores_the_same_alone_and_in_any_partitioning(spark, trained):
     assert whole[11] == alone
 
 
+def _parts(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def _noted(monkeypatch):
+    """Over how many tasks the rows were spread that jobs stored, by the table's name."""
+    seen = {}
+    monkeypatch.setattr(jobs, "stored", lambda df, name, keep=jobs.stored: seen.update({name: _parts(df)}) or keep(df, name))
+    return seen
+
+
+def test_rows_of_one_file_are_walked_through_the_trees_by_many_tasks(spark, trained, monkeypatch):
+    rows = add_family(_connections(spark, 300, 3)).coalesce(1)
+    pick = ["event_id", "fused_confidence", "isolation_score"]
+    dealt, narrow = jobs.score(trained, rows, "event_id"), jobs.score(trained, rows)
+    assert _parts(dealt.select(*pick)) > 4 and _parts(narrow.select(*pick)) == 1
+    assert dealt.select(pick).exceptAll(narrow.select(pick)).isEmpty() and dealt.count() == 300
+    seen = _noted(monkeypatch)
+    jobs.train(rows, "event_id", numbers=NUMBERS, forest_options={"trees": 2, "depth": 3}, isolation_options={"trees": 4})
+    assert seen["features"] > 4
+
+
 def test_artifact_reads_back_and_rejects_foreign_folders(spark, trained, tmp_path):
     again = artifacts.load(spark, trained.path)
     rows = _connections(spark, 60, 2)
