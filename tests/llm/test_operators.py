@@ -522,3 +522,17 @@ def test_written_tables_need_a_shared_folder_on_a_cluster():
     shared = session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/"})
     assert common.folder(shared, "t").startswith("hdfs://shared/t-")
     assert common.folder(session("local[2]"), "t").startswith("file://")
+
+
+def test_tables_between_the_steps_of_op10_hold_no_more_than_later_steps_read(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text), (2, "x" + text), (3, " ".join(f"v{i}" for i in range(400)))]
+    made = {}
+    monkeypatch.setattr(repeats, "stored", lambda df, name, codec="snappy", keep=repeats.stored: made.setdefault(name, (codec, keep(df, name, codec)))[1])
+    got = {r[0]: r["n_removed"] for r in repeats.report(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: len(text), 2: len(text), 3: 0}
+    assert {codec for codec, _ in made.values()} == {"zstd"}
+    assert not {"first", "end"} & set(made["anchors"][1].columns)
+    kept = made["surroundings"][1]
+    assert kept.where("n = 1").count() and kept.where("n = 1 and (around is not null or high is not null)").isEmpty()
+    assert kept.where("n > 1").count() and kept.where("n > 1 and (around is null or high is null)").isEmpty()
