@@ -59,6 +59,17 @@ def test_many_repeats_of_one_event(spark, tmp_path):
     assert tickets.append_alerts(many, str(tmp_path / "t"), 0).count() == 1
 
 
+def test_texts_are_neither_sorted_nor_aggregated_to_find_the_first_rows(spark, tmp_path, monkeypatch):
+    rows = _alerts(spark, [(f"e{i % 40}", str(9 - i // 40), "10.0.0.1", f"t{i}") for i in range(120)])
+    tickets.append_alerts(_alerts(spark, [("e0", "1", "10.0.0.1", "old")]), str(tmp_path / "t"), 0)
+    plans = []
+    monkeypatch.setattr(tickets, "_write", lambda df, path, keep=tickets._write: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, path))
+    made = tickets.append_alerts(rows, str(tmp_path / "t"), 1)
+    assert {r["event_id"]: r["ticket_text"] for r in made.collect()} == {f"e{i}": f"t{i + 80}" for i in range(1, 40)}
+    heavy = [line for line in plans[0].splitlines() if re.search(r"(Sort|Aggregate)\b.*ticket_text", line) or re.search(r"SortAggregate.*ticket_text", line)]
+    assert not heavy and "ShuffledHashJoin" in plans[0]
+
+
 def test_only_alerts_with_text_are_stored(spark, tmp_path):
     with pytest.raises(Exception, match="only alerts"):
         tickets.append_alerts(_alerts(spark, [("a", "1", "10.0.0.1", "")]), str(tmp_path / "t"), 0)
