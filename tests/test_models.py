@@ -72,6 +72,14 @@ def test_rows_of_one_file_are_walked_through_the_trees_by_many_tasks(spark, trai
     assert seen["features"] > 4
 
 
+def test_transfer_rows_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
+    flows = add_family(_connections(spark, 300, 3)).coalesce(1)
+    seen = _noted(monkeypatch)
+    monkeypatch.setattr(jobs, "EXTERNAL_COLUMNS", dict.fromkeys(["protocol_type", "service", "flag", *NUMBERS]))
+    model = jobs.fit_transfer(flows, "attack_family", {"trees": 2, "depth": 3})
+    assert _parts(jobs.predict_transfer(*model, flows).select("predicted")) > 4 and seen["features"] > 4
+
+
 def test_artifact_reads_back_and_rejects_foreign_folders(spark, trained, tmp_path):
     again = artifacts.load(spark, trained.path)
     rows = _connections(spark, 60, 2)
