@@ -80,6 +80,15 @@ def test_transfer_rows_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
     assert _parts(jobs.predict_transfer(*model, flows).select("predicted")) > 4 and seen["features"] > 4
 
 
+def test_retraining_deals_rows_of_one_file_to_many_tasks(spark, trained, monkeypatch):
+    rows = add_family(_connections(spark, 300, 3)).coalesce(1)
+    seen = _noted(monkeypatch)
+    fixes = rows.where("label = 'satan'").withColumn("label_id", F.lit(0))
+    _, report = jobs.retrain(rows, fixes, trained, rows, "event_id", forest_options={"trees": 2, "depth": 3})
+    assert min(seen[name] for name in ("features", "evaluation", "corrections")) > 4
+    assert report.first()["evaluation_rows"] == 300
+
+
 def test_artifact_reads_back_and_rejects_foreign_folders(spark, trained, tmp_path):
     again = artifacts.load(spark, trained.path)
     rows = _connections(spark, 60, 2)
