@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsift.llm import decontaminate, minhash, packing, quality, secrets
-from flowsift.llm.common import fresh, stored, table
+from flowsift.llm.common import fresh, small_batches, stored, table
 
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labels, doesn't reject."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
     return quality.score(docs, model, into=(score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
@@ -24,11 +25,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return minhash.without_copies(docs, size=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    small_batches(spark)
     return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,6 +46,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

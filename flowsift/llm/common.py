@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -50,6 +51,25 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: rows of a batch between Spark and Python: whole texts are held several times over on both sides
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches of at most BATCH_ROWS rows."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def on_batches(function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]):
     """A function for ``mapInArrow`` from one on a batch; batches without rows are passed over."""
 
@@ -58,6 +78,8 @@ def on_batches(function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | p
             if batch.num_rows:
                 made = function(batch)
                 yield from [made] if isinstance(made, pa.RecordBatch) else made
+                del made, batch
+        give_back()
 
     return run
 

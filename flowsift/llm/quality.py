@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsift.llm.common import by_value, fresh, on_batches, stored, text_batches
+from flowsift.llm.common import by_value, fresh, give_back, on_batches, stored, text_batches
 from flowsift.llm.grams import SOLID, VALUES, mix, span_hashes
 
 BUCKET_BITS = 17
@@ -164,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 got.append((one, *(v[o[k] : o[k + 1]] for v, o in flat)))
         got.sort(key=lambda r: (r[0], len(r[1]), r[1][:64].tobytes(), r[2][:64].tobytes()))
         model = train(got)
+        got.clear()
         yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias])], ["logits", "bias"])
+        give_back()
 
     made = rows.repartition(1).mapInArrow(learn, "logits binary, bias double").first()
     return Model(np.frombuffer(made["logits"]), made["bias"]) if made else train([])

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -133,3 +134,18 @@ def test_stages_on_empty_tables(spark, corpus):
         made = stage(spark, docs, folder)
         assert made.count() == 0
         assert name == "packing" or made.columns == docs.columns
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs)
+    monkeypatch.setattr(corpus_pipeline.minhash, "without_copies", lambda docs, **_: docs.mapInArrow(sizes, "n long"))
+    docs = spark.range(0, 5000, 1, 1)
+    try:
+        for asked, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(name, asked)
+            found = [r[0] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+            assert sum(found) == 5000 and max(found) == most
+    finally:
+        spark.conf.set(name, before)
