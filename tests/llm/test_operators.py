@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -536,3 +537,28 @@ def test_tables_between_the_steps_of_op10_hold_no_more_than_later_steps_read(spa
     kept = made["surroundings"][1]
     assert kept.where("n = 1").count() and kept.where("n = 1 and (around is not null or high is not null)").isEmpty()
     assert kept.where("n > 1").count() and kept.where("n > 1 and (around is null or high is null)").isEmpty()
+
+
+def test_steps_of_op10_leave_no_shuffle_files_behind(spark, monkeypatch):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    def stored(df, name, codec="snappy", keep=repeats.stored):
+        made, until = keep(df, name, codec), time.monotonic() + 10
+        while (left := shuffled() - before) and time.monotonic() < until:  # they go in the background
+            time.sleep(0.1)
+        steps[name] = len(left)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return made
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(300)) for _ in range(4)]
+    table = spark.createDataFrame([(k, texts[k % 3] if k < 6 else texts[3][: 900 + k] + texts[k % 3][:500]) for k in range(12)], "doc_id long, text string")
+    before, steps, plans, was = shuffled(), {}, {}, spark.conf.get(repeats.CLEANUP, None)
+    monkeypatch.setattr(repeats, "stored", stored)
+    got = repeats.remove_repeats(table)
+    assert len(steps) >= 5 and set(steps.values()) == {0}
+    assert plans["strings"].count("Exchange hashpartitioning") <= 2  # texts, and what is asked of them
+    assert spark.conf.get(repeats.CLEANUP, None) == was  # what the caller runs keeps to its own setting
+    assert sorted(map(tuple, repeats.report(got).collect())) == sorted(map(tuple, repeats.report(got).collect()))
