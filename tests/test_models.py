@@ -448,3 +448,35 @@ def test_evaluation_protocols(spark, tmp_path):
     jobs.write_report(other, crossed, "cross_distribution", str(tmp_path))
     found = spark.read.json(str(tmp_path / "headline"))
     assert {r["protocol"]: r["rows"] for r in found.collect()} == {"holdout": 80, "cross_distribution": 40}
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    """A table of more than 20,000 rows: bootstraps are as large as it, repeatable, and every row has its chance."""
+    rows = spark.range(25_000).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") >= 24_990).cast("int").alias("label_id"))
+    options = dict(weight=None, trees=3, depth=2, row_id="row_id")
+    nodes = forest.fit(rows, "x", **options).nodes.drop("name")
+    roots = nodes.where("node_id = 0").collect()
+    assert [r["cover"] for r in roots] == [25_000.0] * 3 and all(r["feature"] == 0 for r in roots)
+    assert all(24_970 < r["threshold"] < 24_999 for r in roots)
+    assert nodes.exceptAll(forest.fit(rows.repartition(5), "x", **options).nodes.drop("name")).isEmpty()
+
+
+def test_cuts_found_in_blocks_are_the_best_of_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    for block in (7, 1000):
+        monkeypatch.setattr(forest, "BLOCK", block)
+        for kind in ("places", "few", "wide"):
+            values = rng.integers(0, 40, 300) if kind != "wide" else rng.normal(size=300).round(2).astype(np.float32)
+            label, draws = rng.integers(0, 3, 300), rng.integers(1, 4, 300)
+            levels = np.arange(40) * 1.5 if kind == "places" else np.arange(5000) * 1.5 if kind == "few" else None
+            column = values if levels is None else values.astype(np.uint16)
+            held = np.bincount(label, draws, 3)
+            score, cut = forest._split(forest._runs(column, levels, label, draws, 3), held, 5)
+            seen = values.astype(float) if levels is None else levels[values]
+            want = -1.0
+            for t in np.unique(seen)[:-1]:
+                left = np.bincount(label[seen <= t], draws[seen <= t], 3)
+                if 5 <= left.sum() <= held.sum() - 5:
+                    want = max(want, (left**2).sum() / left.sum() + ((held - left) ** 2).sum() / (held - left).sum())
+            got = np.bincount(label[seen <= cut], draws[seen <= cut], 3)
+            assert score == pytest.approx(want) == (got**2).sum() / got.sum() + ((held - got) ** 2).sum() / (held - got).sum()
